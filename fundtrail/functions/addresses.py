@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..params import Params
 
@@ -69,7 +70,7 @@ def _bech32(text: str) -> str:
     return "witness-v1-plus" if version else ("p2wpkh" if size == 20 else "p2wsh")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def checksum_verdict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     segwit = ("bc1", "tb1", "bcrt1")
     for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries  # noqa: F401
+from . import entity_queries, graph_queries, utxo_queries  # noqa: F401
 from .registry import CHECKS, QUERIES, runnable
 
 
