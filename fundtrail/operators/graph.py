@@ -135,7 +135,8 @@ def khop(seeds: DataFrame, index: GraphIndex, hop_depth: int) -> DataFrame:
     limit = F.least("hop_depth", F.lit(hop_depth)) if "hop_depth" in seeds.columns else F.lit(hop_depth)
     start = seeds.select("seed", limit.alias("_limit"))
     start = start.groupBy("seed").agg(F.max("_limit").alias("_limit"))
-    visited = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), "_limit")
+    start = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), "_limit")
+    visited = materialize(start, "khop") if hop_depth > 1 else start
     frontier = visited
     for hop in range(1, hop_depth + 1):
         reached = (

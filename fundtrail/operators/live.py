@@ -31,18 +31,16 @@ def bounded_expansion(seeds: DataFrame, io: DataFrame, params: Params, hop_depth
     looked-up addresses; both caps are the tracer's own limits and are reported by
     :func:`expansion_meta`.
     """
-    capped = materialize(
-        newest_txs_per_address(address_transactions(io), params.tx_cap), "live-txs"
-    )
-    sides = tx_pairs(io)
+    pairs = materialize(address_transactions(io), "live-pairs")
+    capped = materialize(newest_txs_per_address(pairs, params.tx_cap), "live-txs")
     level = seeds.select("seed", F.col("seed").alias("address")).distinct().join(
         capped.select("address").distinct(), "address", "left_semi"
     ).select("seed", "address", F.lit(0).alias("level"))
-    fetched = level
+    fetched = level = materialize(level, "live-level")
     txs = here = level.join(capped, "address")
     for depth in range(1, hop_depth):
         frontier = (
-            here.select("seed", "tx_hash").distinct().join(sides, "tx_hash").select("seed", "address").distinct()
+            here.select("seed", "tx_hash").distinct().join(pairs.select("tx_hash", "address"), "tx_hash").select("seed", "address").distinct()
             .join(fetched.select("seed", "address"), ["seed", "address"], "left_anti")
         )
         used = fetched.groupBy("seed").agg(F.count("*").alias("used"))
@@ -63,10 +61,6 @@ def bounded_expansion(seeds: DataFrame, io: DataFrame, params: Params, hop_depth
     return Expansion(fetched, txs)
 
 
-def tx_pairs(io: DataFrame) -> DataFrame:
-    return with_address(io).select("tx_hash", "address").distinct()
-
-
 def case_flows(expansion: Expansion, io: DataFrame) -> DataFrame:
     """(seed, tx_hash, side, address, time_step, fetch_order) for every transaction of a case.
 
@@ -97,32 +91,26 @@ def expansion_meta(expansion: Expansion, params: Params) -> DataFrame:
 def live_hops(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     """Hop of every address of a case's flow graph from its seed; -1 where no flow connects it.
 
-    One hop leads from an input to the outputs of the same transaction or back. A (case,
-    transaction, side) is entered once, however many of its addresses are reached.
+    One hop leads from an input to the outputs of the same transaction or back. The addresses
+    of one side lie at most two hops apart, so a (case, transaction, side) is entered at most
+    twice, however many of its addresses are reached.
     """
     flows = materialize(flows.select("seed", "tx_hash", "side", "address").distinct(), "live-flows")
     opposite = F.when(F.col("side") == "in", "out").otherwise("in").alias("side")
-    start = seeds.select("seed", F.col("seed").alias("address"), F.lit(0).alias("hop")).distinct()
-    visited, entered, frontier, hop = start, None, start, 0
-    while True:
+    start = materialize(seeds.select("seed", F.col("seed").alias("address"), F.lit(0).alias("hop")).distinct(), "live-hop")
+    visited, frontier, hop = start, start, 0
+    while not is_empty(frontier):
         hop += 1
         doors = flows.join(frontier.select("seed", "address"), ["seed", "address"]).select(
             "seed", "tx_hash", opposite
         ).distinct()
-        if entered is not None:
-            doors = doors.join(entered, ["seed", "tx_hash", "side"], "left_anti")
-        doors = materialize(doors, "live-doors")
-        fresh = (
+        frontier = materialize(
             flows.join(doors, ["seed", "tx_hash", "side"]).select("seed", "address").distinct()
             .join(visited.select("seed", "address"), ["seed", "address"], "left_anti")
-            .withColumn("hop", F.lit(hop))
+            .withColumn("hop", F.lit(hop)),
+            "live-hop",
         )
-        fresh = materialize(fresh, "live-hop")
-        if is_empty(fresh):
-            break
-        visited = visited.unionByName(fresh)
-        entered = doors if entered is None else entered.unionByName(doors)
-        frontier = fresh
+        visited = visited.unionByName(frontier)
     everyone = flows.select("seed", "address").distinct().unionByName(start.select("seed", "address")).distinct()
     return everyone.join(visited, ["seed", "address"], "left").withColumn("hop", F.coalesce("hop", F.lit(-1)))
 

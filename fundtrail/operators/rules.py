@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import RULE_FANOUT, RULE_MIXER, RULE_PEEL, Params
+from ..session import materialize
 from .chains import forwarding_nodes, peel_chains, peel_links
 from .graph import GraphIndex, graph_degrees
 from .ranking import top_per_key
@@ -61,6 +62,8 @@ def mixer_adjacent(mixers: DataFrame, index: GraphIndex, max_hops: int) -> DataF
             .withColumn("hops", F.lit(hop))
         )
         best = top_per_key(best.unionByName(found), ["node"], two_nearest, 2)
+        if hop < max_hops:
+            best = materialize(best, "mixers")
         frontier = best.where(F.col("hops") == hop)
     return (
         best.where("hops > 0")

@@ -109,7 +109,10 @@ class Tables:
 
     @property
     def wallet_rules(self) -> DataFrame:
-        return rules.run_rules(self.nodes, self.nodes, self.raw_edges, self.index, self.mixers, self.params, peel=self.peel)
+        return self.once("wallet_rules", lambda: self.run_rules(self.peel))
+
+    def run_rules(self, peel: DataFrame | None = None) -> DataFrame:
+        return rules.run_rules(self.nodes, self.nodes, self.raw_edges, self.index, self.mixers, self.params, peel=peel)
 
     # learned signal ------------------------------------------------------------------
 
@@ -202,6 +205,9 @@ class Tables:
     @property
     def io(self) -> DataFrame:
         """Flat inputs and outputs; a side without discount has no address."""
+        return self.once("io", self._io)
+
+    def _io(self) -> DataFrame:
         qty = F.col("l_quantity").cast("int") % 10
         address = F.concat_ws("-", F.col("l_partkey").cast("string"), (F.col("l_suppkey") % 20).cast("string"), qty.cast("string"))
         orders = self.read("orders").select("o_orderkey", epoch("o_orderdate").alias("block_time"))

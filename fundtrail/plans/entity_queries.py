@@ -261,13 +261,12 @@ def attribute_clusters(t: Tables):
     return attributed(t)
 
 
-@query("unmatched_tags", "select * from tagset where address not in (select address from tagmatch)")
+@query("unmatched_tags", """
+    select * from tagset where address not in (select address from tagmatch)
+    union all select position, 'ghost-' || address, name, source, jurisdiction from tagset""")
 def unmatched_tags(t: Tables):
-    ghosts = t.tags.select(
-        F.concat(F.lit("ghost-"), "address").alias("address"), "name", "source", "jurisdiction", "position"
-    )
-    missed = clusters.unmatched_tags(t.tags.unionByName(ghosts), matches(t))
-    return missed.where(~F.col("address").startswith("ghost-"))
+    ghosts = t.tags.withColumn("address", F.concat(F.lit("ghost-"), "address"))
+    return clusters.unmatched_tags(t.tags.unionByName(ghosts), matches(t))
 
 
 @query("cluster_verdict_join", "select entity_id as cluster_id, tx_id, verdict from verdictset join ent using (tx_id)")

@@ -294,7 +294,7 @@ def mixer_adjacent(t: Tables):
            concat_ws(',', case when peel_fired then 'peel_chain' end, case when fanout_fired then 'rapid_fan_out' end, case when mixer_fired then 'mixer_adjacent' end) as rules_fired,
            chain_length_hops, position, out_degree, time_step_spread, mixer_id, hops_from_mixer from ruleset""")
 def run_rules(t: Tables):
-    return t.wallet_rules.select(
+    return t.run_rules().select(
         "tx_id", "rule_score", "rule_flag", F.concat_ws(",", "rules_fired").alias("rules_fired"),
         "chain_length_hops", "position", "out_degree", "time_step_spread", "mixer_id", "hops_from_mixer",
     )
