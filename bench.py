@@ -45,7 +45,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     run = catalog.queries()
     t = Tables(spark, sf_dir)
-    t.read("lineitem").join(t.read("orders"), t.read("lineitem")["l_orderkey"] == t.read("orders")["o_orderkey"]).count()
+    t.read("lineitem").groupBy("l_suppkey").count().collect()  # start the JVM's code paths
     times = {
         "build_edges": timed(lambda: t.raw_edges), "build_index": timed(lambda: t.index), "build_peel": timed(lambda: t.peel),
         "build_rules": timed(lambda: t.wallet_rules), "build_entities": timed(lambda: t.entities), "build_split": timed(lambda: t.split),

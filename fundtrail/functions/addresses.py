@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,33 +32,58 @@ def _base58(text: str) -> str:
             return "malformed"
         number = number * 58 + digit
     zeros = len(text) - len(text.lstrip("1"))
-    raw = bytes(zeros) + number.to_bytes((number.bit_length() + 7) // 8, "big")
-    if len(raw) != 25:
+    if zeros + (number.bit_length() + 7) // 8 != 25:
         return "malformed"
+    raw = number.to_bytes(25, "big")
     digest = hashlib.sha256(hashlib.sha256(raw[:21]).digest()).digest()
     if digest[:4] != raw[21:]:
         return "bad-checksum"
     return {0: "p2pkh", 5: "p2sh"}.get(raw[0], "wrong-network")
 
 
-def _bech32(text: str) -> str:
-    low = text.lower()
-    if text not in (low, text.upper()) or len(text) > 90:
-        return "malformed"
-    prefix, _, data = low.rpartition("1")
-    # A data part too short for its checksum counts as a checksum failure.
-    if len(data) < 6:
-        return "bad-checksum"
-    if any(ch not in BECH32 for ch in data):
-        return _base58(text)
-    digits = [BECH32.index(ch) for ch in data]
-    check = 1
-    for value in [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix] + digits:
-        top, check = check >> 25, (check & 0x1FFFFFF) << 5 ^ value
-        for bit, mask in enumerate(GENERATOR):
-            check ^= mask if top >> bit & 1 else 0
-    if check not in (PLAIN, MODIFIED):
-        return "bad-checksum"
+# What each value of the top five bits folds back into the running checksum.
+FOLD = np.array(
+    [np.bitwise_xor.reduce([g for i, g in enumerate(GENERATOR) if top >> i & 1] or [0]) for top in range(32)],
+    dtype=np.int64,
+)
+DIGIT = np.full(128, -1, dtype=np.int64)
+DIGIT[[ord(c) for c in BECH32]] = range(32)
+
+
+def _checksums(words: np.ndarray) -> np.ndarray:
+    """Bech32 checksum of every row of five-bit words, one column step at a time."""
+    check = np.ones(len(words), dtype=np.int64)
+    for column in words.T:
+        check = ((check & 0x1FFFFFF) << 5) ^ column ^ FOLD[check >> 25]
+    return check
+
+
+def _bech32_batch(texts: pd.Series) -> pd.Series:
+    """Verdicts of segwit-looking strings; rows of equal length and separator go together."""
+    low = texts.str.lower()
+    out = pd.Series("malformed", index=texts.index, dtype=object)
+    sized = ((texts == low) | (texts == texts.str.upper())) & (texts.str.len() <= 90)
+    mark = low.str.rfind("1")
+    for (size, at), group in low[sized].groupby([low.str.len(), mark]):
+        # A data part too short for its checksum counts as a checksum failure.
+        if size - at - 1 < 6:
+            out[group.index] = "bad-checksum"
+            continue
+        codes = np.frombuffer("".join(group).encode(), dtype=np.uint8).reshape(len(group), size).astype(np.int64)
+        prefix, digits = codes[:, :at], DIGIT[codes[:, at + 1:]]
+        clean = (digits >= 0).all(axis=1)
+        words = np.hstack([prefix >> 5, np.zeros((len(group), 1), np.int64), prefix & 31, digits])
+        check = _checksums(words)
+        for i in np.flatnonzero(clean & ((check == PLAIN) | (check == MODIFIED))):
+            out[group.index[i]] = _program(group.iloc[i][:at], digits[i].tolist(), int(check[i]))
+        out[group.index[clean & (check != PLAIN) & (check != MODIFIED)]] = "bad-checksum"
+        # Not a segwit string after all: judged by the other encoding.
+        for i in group.index[~clean]:
+            out[i] = _base58(texts[i])
+    return out
+
+
+def _program(prefix: str, digits: list[int], check: int) -> str:
     version, payload = digits[0], digits[1:-6]
     if version > 16 or (check == PLAIN) != (version == 0):
         return "malformed"
@@ -74,9 +100,14 @@ def _bech32(text: str) -> str:
 def checksum_verdict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     segwit = ("bc1", "tb1", "bcrt1")
     for batch in batches:
-        yield batch.map(
-            lambda s: _bech32(s) if s.lower().startswith(segwit) else _base58(s), na_action="ignore"
-        )
+        batch = batch.reset_index(drop=True)
+        out = pd.Series(None, index=batch.index, dtype=object)
+        known = batch.notna()
+        wit = known & batch.str.lower().str.startswith(segwit, na=False)
+        out[wit] = _bech32_batch(batch[wit])
+        rest = known & ~wit
+        out[rest] = batch[rest].map(_base58)
+        yield out
 
 
 KINDS = ("p2pkh", "p2sh", "p2wpkh", "p2wsh", "witness-v1-plus")
@@ -89,8 +120,8 @@ def guard_verdict(text: Column, max_length: int) -> Column:
         .when(text == "", "empty")
         .when(F.length(text) > max_length, "too-long")
         .when(~text.rlike(r"^[\x21-\x7e]+$"), "non-ascii-or-whitespace")
-        # No base58 string has characters outside this alphabet.
-        .when(~text.rlike("^(?i)(bc1|tb1|bcrt1)") & ~text.rlike(f"^[{BASE58}]+$"), "malformed")
+        # 25 bytes in base58 take 25 to 35 characters of its alphabet.
+        .when(~text.rlike("^(?i)(bc1|tb1|bcrt1)") & ~text.rlike(f"^[{BASE58}]{{25,35}}$"), "malformed")
     )
 
 

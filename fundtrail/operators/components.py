@@ -26,9 +26,11 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     edges = materialize(edges, "cc-edges")
     maps: list[DataFrame] = []
     while not is_empty(edges):
-        key = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps))).alias("h"), F.col(c).alias("n"))
-        picks = edges.groupBy("src").agg(F.min(key("dst")).alias("best")).select(
-            F.col("src").alias("node"), F.least("best", key("src"))["n"].alias("pick")
+        # Equal hashes may pick either node; the next round's hash tells them apart.
+        order = lambda c: F.xxhash64(F.col(c), F.lit(len(maps)))
+        best = edges.groupBy("src").agg(F.min_by("dst", order("dst")).alias("nbr"), F.min(order("dst")).alias("h"))
+        picks = best.select(
+            F.col("src").alias("node"), F.when(F.col("h") < order("src"), F.col("nbr")).otherwise(F.col("src")).alias("pick")
         )
         picks = materialize(picks, "cc-picks")
         maps.append(picks)

@@ -20,10 +20,11 @@ def tx_time_step(block_time: Column) -> Column:
 def flatten_transactions(txs: DataFrame) -> DataFrame:
     """Transactions with ``inputs`` and ``outputs`` lists -> the flat form."""
     keys = [c for c in ("tx_hash", "timestamp", "block_height") if c in txs.columns]
-    side = lambda name, tag: txs.select(
-        *keys, F.lit(tag).alias("side"), F.posexplode(name).alias("ordinal", "item")
-    ).select(*keys, "side", "ordinal", "item.address", "item.amount_sats")
-    return side("inputs", "in").unionByName(side("outputs", "out"))
+    item = lambda tag: lambda x, i: F.struct(
+        F.lit(tag).alias("side"), i.alias("ordinal"), x["address"].alias("address"), x["amount_sats"].alias("amount_sats")
+    )
+    items = F.concat(F.transform("inputs", item("in")), F.transform("outputs", item("out")))
+    return txs.select(*keys, F.explode(items).alias("item")).select(*keys, "item.*")
 
 
 def with_address(io: DataFrame) -> DataFrame:

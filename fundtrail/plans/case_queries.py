@@ -223,7 +223,7 @@ def alert_state(t: Tables):
     landing, sink, checkpoint = t.landed(t.polls, "polls"), scratch_path(t.spark, "state"), scratch_path(t.spark, "state-cp")
     stream = watch.stream_polls(t.spark, landing, max_files=4)
     watch.stream_alert_state(stream, t.watchlist, sink, checkpoint, {"availableNow": True}).awaitTermination()
-    return flat_state(t.spark.read.parquet(sink))
+    return flat_state(watch.read_alert_state(t.spark, sink))
 
 
 @query("stream_alerts", """

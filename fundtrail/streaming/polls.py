@@ -127,15 +127,23 @@ def alert_history(outcomes: DataFrame, bucket: Column) -> DataFrame:
 
 
 def stream_alert_state(polls: DataFrame, watchlist: DataFrame, sink: str, checkpoint: str, trigger: dict):
-    """Start the monitoring query; every trigger overwrites the state table at ``sink``."""
+    """Start the monitoring query. Each batch adds the addresses it changed under its own
+    batch folder, so a repeated batch replaces itself and readers never see a gap."""
     state = alert_state(read_polls(watched_polls(polls, watchlist)))
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(sink)
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")
     return (
-        state.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+        state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         .foreachBatch(write).trigger(**trigger).start()
     )
 
 
+def read_alert_state(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest state of every address from the batches written so far."""
+    rows = spark.read.parquet(sink)
+    columns = [c for c in rows.columns if c not in ("address", "batch")]
+    return rows.groupBy("address").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("address", "s.*")
+
+
 def stream_alerts(polls: DataFrame, watchlist: DataFrame, sink: str, checkpoint: str, trigger: dict):
     """Start the alert feed: one appended row per poll with a relevant transaction."""
     alerts = mempool_alerts(read_polls(watched_polls(polls, watchlist)))
