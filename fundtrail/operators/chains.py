@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import is_empty, materialize
-from .graph import graph_degrees
 
 
 def forwarding_nodes(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -77,9 +76,9 @@ def chain_positions(links: DataFrame) -> DataFrame:
     )
 
 
-def peel_chains(nodes: DataFrame, edges: DataFrame, min_hops: int, max_gap: int) -> DataFrame:
+def peel_chains(nodes: DataFrame, degrees: DataFrame, min_hops: int, max_gap: int) -> DataFrame:
     """Every node of a chain of at least ``min_hops`` forwarding nodes, measured from its head."""
-    forwarding = materialize(forwarding_nodes(nodes, graph_degrees(edges)), "forwarding")
+    forwarding = materialize(forwarding_nodes(nodes, degrees), "forwarding")
     placed = materialize(chain_positions(peel_links(forwarding, max_gap)), "chain")
     length = placed.where("not is_cycle").groupBy("head").agg((F.max("position") + 1).alias("chain_length"))
     return (

@@ -63,11 +63,26 @@ def non_hub_edges(edges: DataFrame, hub_nodes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """Both directions of every edge, keyed by (node, part); ``parts`` lists split nodes only."""
+    """Both directions of every edge, keyed by (node, part); ``parts`` lists split nodes only.
+
+    A row says which way the simple edges between ``node`` and ``nbr`` go, so degrees and
+    simple edges come from the index without another pass over the raw edges.
+    """
 
     adjacency: DataFrame
     parts: DataFrame
 
+    def simple_edges(self) -> DataFrame:
+        return self.adjacency.where("is_out").select(F.col("node").alias("src"), F.col("nbr").alias("dst"))
+
+    def degrees(self) -> DataFrame:
+        return self.adjacency.groupBy("node").agg(
+            F.count_if("is_in").alias("in_degree"),
+            F.count_if("is_out").alias("out_degree"),
+            F.min(F.when(F.col("is_in"), F.col("nbr"))).alias("any_src"),
+            F.min(F.when(F.col("is_out"), F.col("nbr"))).alias("any_dst"),
+        )
+
     def expand(self, frontier: DataFrame, node: str = "node") -> DataFrame:
         """Join a frontier to its neighbours, one salted group per part of a hot node."""
         parts = self.parts.select(F.col("node").alias(node), "n_parts")
@@ -88,7 +103,7 @@ def build_graph_index(edges: DataFrame, part_rows: int = PART_ROWS) -> GraphInde
             "fwd",
         )
         .groupBy("node", "nbr")
-        .agg(F.max("fwd").alias("is_out"))
+        .agg(F.max("fwd").alias("is_out"), (~F.min("fwd")).alias("is_in"))
     )
     parts = (
         arcs.groupBy("node").count()
@@ -100,6 +115,7 @@ def build_graph_index(edges: DataFrame, part_rows: int = PART_ROWS) -> GraphInde
         F.pmod(F.xxhash64("nbr"), F.coalesce("n_parts", F.lit(1))).cast("int").alias("part"),
         "nbr",
         "is_out",
+        "is_in",
     )
     return GraphIndex(adjacency, parts)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_labelled
@@ -24,11 +24,9 @@ def train_split(nodes: DataFrame, split: DataFrame) -> DataFrame:
 def class_weights(labelled: DataFrame) -> DataFrame:
     """Balanced weight n / (classes * class count), worked out from the class counts alone."""
     counts = labelled.groupBy("label").agg(F.count("*").alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total"), F.count("*").alias("classes"))
-    return counts.select(
-        "label", "rows",
-        F.round(total.select("total").scalar() / (total.select("classes").scalar() * F.col("rows")), 6).alias("weight"),
-    )
+    both = Window.partitionBy()  # one row per class
+    weight = F.sum("rows").over(both) / (F.count("*").over(both) * F.col("rows"))
+    return counts.select("label", "rows", F.round(weight, 6).alias("weight"))
 
 
 def train_model(rows: DataFrame, params: Params, max_depth: int = 12) -> PipelineModel:

@@ -51,7 +51,7 @@ def next_in_sequence(
     ``bucket`` must not decrease along ``order``. Each window group is one bucket of one
     key; the last row of a bucket takes the first value of the key's next bucket.
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = materialize(df.withColumn("_bucket", bucket), "sequence")
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     first = rows.groupBy(*keys, "_bucket").agg(
         F.min(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_first")
@@ -76,7 +76,7 @@ def running_last(
 
     The carry into a bucket comes from a table with one row per (key, bucket).
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = materialize(df.withColumn("_bucket", bucket), "history")
     inner = (
         Window.partitionBy(*keys, "_bucket").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

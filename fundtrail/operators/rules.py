@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..params import RULE_FANOUT, RULE_MIXER, RULE_PEEL, Params
 from ..session import materialize
 from .chains import forwarding_nodes, peel_chains, peel_links
-from .graph import GraphIndex, graph_degrees
+from .graph import GraphIndex, graph_degrees, induced_subgraph, khop, with_node_attributes
 from .ranking import top_per_key
 
 
-def fan_out(nodes: DataFrame, edges: DataFrame, min_out: int, max_in: int, window: int) -> DataFrame:
-    """Nodes with few inputs and many outputs whose known successor steps lie close together."""
-    bursts = graph_degrees(edges).where((F.col("out_degree") >= min_out) & (F.col("in_degree") <= max_in))
+def fan_out(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, min_out: int, max_in: int, window: int) -> DataFrame:
+    """Nodes with few inputs and many outputs whose known successor steps lie close together.
+
+    ``edges`` are simple; only those of nodes with fitting degrees meet the steps.
+    """
+    bursts = degrees.where((F.col("out_degree") >= min_out) & (F.col("in_degree") <= max_in))
     successors = fan_out_successors(edges.join(bursts.select(F.col("node").alias("src")), "src", "left_semi"), nodes)
     spread = (
         successors.where("succ_step >= 0")
@@ -32,9 +35,9 @@ def fan_out(nodes: DataFrame, edges: DataFrame, min_out: int, max_in: int, windo
 
 
 def fan_out_successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each node with every distinct successor and that successor's step (-1 if unknown)."""
+    """Each node with every successor over simple edges and its step (-1 if unknown)."""
     step = nodes.select(F.col("tx_id").alias("dst"), F.col("time_step").alias("succ_step"))
-    return edges.select("src", "dst").distinct().join(step, "dst", "left").select(
+    return edges.select("src", "dst").join(step, "dst", "left").select(
         F.col("src").alias("tx_id"), F.col("dst").alias("successor"),
         F.coalesce("succ_step", F.lit(-1)).alias("succ_step"),
     )
@@ -133,7 +136,7 @@ def score_rules(wallets: DataFrame, peel: DataFrame, burst: DataFrame, mixer: Da
     )
 
 
-def run_rules(wallets: DataFrame, nodes: DataFrame, edges: DataFrame, index: GraphIndex, mixers: DataFrame, params: Params, peel: DataFrame | None = None) -> DataFrame:
+def run_rules(wallets: DataFrame, nodes: DataFrame, index: GraphIndex, mixers: DataFrame, params: Params, peel: DataFrame | None = None) -> DataFrame:
     """Rules for every wallet of the table.
 
     A rule looks at a wallet's neighbourhood of ``hop_depth`` hops. At depths of at least
@@ -141,28 +144,27 @@ def run_rules(wallets: DataFrame, nodes: DataFrame, edges: DataFrame, index: Gra
     once over the graph; shallower depths go through :func:`run_rules_shallow`.
     """
     if params.hop_depth < params.peel_min_hops:
-        return run_rules_shallow(wallets, nodes, edges, index, mixers, params)
+        return run_rules_shallow(wallets, nodes, index, mixers, params)
+    degrees = materialize(index.degrees(), "degrees")
     if peel is None:
-        peel = peel_chains(nodes, edges, params.peel_min_hops, params.peel_max_gap)
-    burst = fan_out(nodes, edges, params.fanout_min_out, params.fanout_max_in, params.fanout_window)
+        peel = peel_chains(nodes, degrees, params.peel_min_hops, params.peel_max_gap)
+    burst = fan_out(nodes, index.simple_edges(), degrees, params.fanout_min_out, params.fanout_max_in, params.fanout_window)
     mixer = mixer_adjacent(mixers_in_graph(mixers, nodes), index, min(params.mixer_max_hops, params.hop_depth))
     return score_rules(wallets, peel, burst, mixer, params)
 
 
-def run_rules_shallow(wallets: DataFrame, nodes: DataFrame, edges: DataFrame, index: GraphIndex, mixers: DataFrame, params: Params) -> DataFrame:
+def run_rules_shallow(wallets: DataFrame, nodes: DataFrame, index: GraphIndex, mixers: DataFrame, params: Params) -> DataFrame:
     """Rules when the neighbourhood is too small for the peel rule to see the whole graph.
 
     The same chain operator runs on (seed, node) pairs, so degrees stop at the rim.
     """
-    from .graph import induced_subgraph, khop, with_node_attributes
-
-    reach = khop(wallets.select(F.col("tx_id").alias("seed")), index, params.hop_depth)
+    reach = materialize(khop(wallets.select(F.col("tx_id").alias("seed")), index, params.hop_depth), "reach")
     pair = lambda c: F.struct(F.col("seed"), F.col(c).alias("node"))
     local_nodes = with_node_attributes(reach, nodes).select(pair("node").alias("tx_id"), "time_step")
     local_edges = induced_subgraph(reach, index).select(pair("src").alias("src"), pair("dst").alias("dst"))
-    peel = peel_chains(local_nodes, local_edges, params.peel_min_hops, params.peel_max_gap)
+    peel = peel_chains(local_nodes, graph_degrees(local_edges), params.peel_min_hops, params.peel_max_gap)
     own = peel.where("tx_id.seed = tx_id.node").withColumn("tx_id", F.col("tx_id.seed"))
-    burst = fan_out(nodes, edges, params.fanout_min_out, params.fanout_max_in, params.fanout_window)
+    burst = fan_out(nodes, index.simple_edges(), index.degrees(), params.fanout_min_out, params.fanout_max_in, params.fanout_window)
     mixer = mixer_adjacent(mixers_in_graph(mixers, nodes), index, min(params.mixer_max_hops, params.hop_depth))
     return score_rules(wallets, own, burst, mixer, params)
 

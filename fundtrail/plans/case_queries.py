@@ -140,7 +140,7 @@ def attribution_status(t: Tables):
                          from reach2 join nodes on tx_id = node group by 1) r using (seed)
     left join (select seed, count(*) as edge_count from sub2 group by 1) s using (seed) join verdictset v on v.tx_id = c.seed join caseattr a on a.seed = c.seed""")
 def case_summary(t: Tables):
-    reach = graph.khop(t.seeds, t.index, 2)
+    reach = t.reach(2)
     stats = graph.subgraph_stats(reach, graph.induced_subgraph(reach, t.index), t.nodes)
     return cases.case_summary(t.cases, stats, t.verdicts, attribution(t))
 
@@ -151,7 +151,7 @@ def case_summary(t: Tables):
            case when peel_fired then 'PeelChain' when fanout_fired then 'FanOut' when mixer_fired then 'MixerHop' else 'Standard' end as "Marker"
     from sub2 s join reach2 a on a.seed = s.seed and a.node = src join reach2 b on b.seed = s.seed and b.node = dst join ruleset on tx_id = src""")
 def case_ledger_export(t: Tables):
-    reach = graph.khop(t.seeds, t.index, 2)
+    reach = t.reach(2)
     ledger = cases.case_ledger(graph.induced_subgraph(reach, t.index), reach, t.wallet_rules)
     path = scratch_path(t.spark, "ledger")
     sinks.write_ledger_csv(path, ledger)

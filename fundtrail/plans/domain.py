@@ -73,7 +73,7 @@ class Tables:
 
     @property
     def edges(self) -> DataFrame:
-        return graph.simple_edges(self.raw_edges)
+        return self.index.simple_edges()
 
     @property
     def index(self) -> graph.GraphIndex:
@@ -83,7 +83,11 @@ class Tables:
 
     @property
     def degrees(self) -> DataFrame:
-        return graph.graph_degrees(self.raw_edges)
+        return self.index.degrees()
+
+    def reach(self, hops: int) -> DataFrame:
+        """Neighbourhoods of all reported seeds, written because every caller reads them twice."""
+        return materialize(graph.khop(self.seeds, self.index, hops), "reach")
 
     @property
     def mixers(self) -> DataFrame:
@@ -105,14 +109,14 @@ class Tables:
     @property
     def peel(self) -> DataFrame:
         p = self.params
-        return self.once("peel", lambda: chains.peel_chains(self.nodes, self.raw_edges, p.peel_min_hops, p.peel_max_gap))
+        return self.once("peel", lambda: chains.peel_chains(self.nodes, self.degrees, p.peel_min_hops, p.peel_max_gap))
 
     @property
     def wallet_rules(self) -> DataFrame:
         return self.once("wallet_rules", lambda: self.run_rules(self.peel))
 
     def run_rules(self, peel: DataFrame | None = None) -> DataFrame:
-        return rules.run_rules(self.nodes, self.nodes, self.raw_edges, self.index, self.mixers, self.params, peel=peel)
+        return rules.run_rules(self.nodes, self.nodes, self.index, self.mixers, self.params, peel=peel)
 
     # learned signal ------------------------------------------------------------------
 
@@ -145,6 +149,9 @@ class Tables:
     @property
     def cases(self) -> DataFrame:
         """A complaint per customer with orders; the suspect is the customer's first order."""
+        return self.once("cases", self._cases)
+
+    def _cases(self) -> DataFrame:
         first = self.read("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("seed"))
         c = self.read("customer")
         return c.join(first, F.col("c_custkey") == F.col("o_custkey")).select(
@@ -158,6 +165,9 @@ class Tables:
     @property
     def tag_lines(self) -> DataFrame:
         """A tag list in its text form: one line per supplier, some commented out or broken."""
+        return self.once("tag_lines", self._tag_lines)
+
+    def _tag_lines(self) -> DataFrame:
         first = self.read("lineitem").groupBy("l_suppkey").agg(F.min("l_orderkey").alias("first_tx"))
         s = self.read("supplier").join(first, F.col("s_suppkey") == F.col("l_suppkey")).join(
             self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")
@@ -179,6 +189,9 @@ class Tables:
     @property
     def address_map(self) -> DataFrame:
         """Each supplier name with the first and last order it served."""
+        return self.once("address_map", self._address_map)
+
+    def _address_map(self) -> DataFrame:
         ends = self.read("lineitem").groupBy("l_suppkey").agg(
             F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last")
         ).select("l_suppkey", F.explode(F.array("first", "last")).alias("tx_id"))

@@ -128,7 +128,7 @@ def integrity_check(t: Tables):
 
 @query("simple_edges", "select src, dst from edges")
 def simple_edges(t: Tables):
-    return t.edges
+    return graph.simple_edges(t.raw_edges)
 
 
 @query("undirected_edges", "select node, nbr from und")
@@ -139,7 +139,9 @@ def undirected_edges(t: Tables):
 @query("degrees", """
     select node, degree, in_degree, out_degree from rawdeg join gdeg using (node)""")
 def degrees(t: Tables):
-    return graph.edge_degrees(t.raw_edges).join(t.degrees.select("node", "in_degree", "out_degree"), "node")
+    return graph.edge_degrees(t.raw_edges).join(
+        graph.graph_degrees(t.raw_edges).select("node", "in_degree", "out_degree"), "node"
+    )
 
 
 @query("hubs", "select node, degree from rawdeg where degree > 4")
@@ -181,7 +183,7 @@ def khop_own_depth(t: Tables):
 
 @query("induced_subgraph", "select seed, src, dst from sub2")
 def induced_subgraph(t: Tables):
-    return graph.induced_subgraph(graph.khop(t.seeds, t.index, 2), t.index)
+    return graph.induced_subgraph(t.reach(2), t.index)
 
 
 @query("subgraph_stats", """
@@ -190,7 +192,7 @@ def induced_subgraph(t: Tables):
            coalesce((select count(*) from sub2 s where s.seed = r.seed), 0) as edge_count
     from reach2 r join nodes on tx_id = node group by r.seed""")
 def subgraph_stats(t: Tables):
-    reach = graph.khop(t.seeds, t.index, 2)
+    reach = t.reach(2)
     return graph.subgraph_stats(reach, graph.induced_subgraph(reach, t.index), t.nodes)
 
 
@@ -213,7 +215,7 @@ def hop_growth_check(t: Tables):
     with kept as (select seed, node from reach2 join verdictset on tx_id = node where hop <= 1 and verdict = 'watch')
     select s.seed, s.src, s.dst from sub2 s join kept a on a.seed = s.seed and a.node = s.src join kept b on b.seed = s.seed and b.node = s.dst""")
 def trace_view_filter(t: Tables):
-    reach = graph.khop(t.seeds, t.index, 2)
+    reach = t.reach(2)
     sub = graph.induced_subgraph(reach, t.index)
     tagged = reach.join(t.verdicts.select(F.col("tx_id").alias("node"), "verdict"), "node")
     return graph.trace_view(tagged, sub, 1, "watch")[1]
@@ -258,24 +260,24 @@ def peel_links(t: Tables):
 @query("peel_chains", "select tx_id, head, position, chain_length_hops, time_step, false as is_cycle from peel")
 def peel_chains(t: Tables):
     p = t.params
-    return chains.peel_chains(t.nodes, t.raw_edges, p.peel_min_hops, p.peel_max_gap)
+    return chains.peel_chains(t.nodes, t.degrees, p.peel_min_hops, p.peel_max_gap)
 
 
 @query("peel_chains_long", "select tx_id, head, position, chain_length_hops from peel where chain_length_hops >= 3")
 def peel_chains_long(t: Tables):
-    found = chains.peel_chains(t.nodes, t.raw_edges, 3, t.params.peel_max_gap)
+    found = chains.peel_chains(t.nodes, t.degrees, 3, t.params.peel_max_gap)
     return found.select("tx_id", "head", "position", "chain_length_hops")
 
 
 @query("fan_out_successors", "select src as tx_id, dst as successor, time_step as succ_step from edges join nodes on tx_id = dst")
 def fan_out_successors(t: Tables):
-    return rules.fan_out_successors(t.raw_edges, t.nodes)
+    return rules.fan_out_successors(t.edges, t.nodes)
 
 
 @query("fan_out", "select tx_id, in_degree, out_degree, time_step_spread, seed_time_step from burst")
 def fan_out(t: Tables):
     p = t.params
-    return rules.fan_out(t.nodes, t.raw_edges, p.fanout_min_out, p.fanout_max_in, p.fanout_window)
+    return rules.fan_out(t.nodes, t.edges, t.degrees, p.fanout_min_out, p.fanout_max_in, p.fanout_window)
 
 
 @query("mixers_in_graph", "select mixer_id from mixerset where mixer_id in (select node from gdeg)")
@@ -314,7 +316,7 @@ def run_rules(t: Tables):
            seed in (select tx_id from nearmix where hops_from_mixer <= 1) as mixer_fired from seedset""")
 def run_rules_shallow(t: Tables):
     wallets = t.seeds.select(F.col("seed").alias("tx_id"))
-    found = rules.run_rules(wallets, t.nodes, t.raw_edges, t.index, t.mixers, t.params.with_(hop_depth=1))
+    found = rules.run_rules(wallets, t.nodes, t.index, t.mixers, t.params.with_(hop_depth=1))
     return found.select("tx_id", "peel_fired", "fanout_fired", "mixer_fired")
 
 
