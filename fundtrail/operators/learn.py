@@ -121,7 +121,7 @@ def load_model(path: str) -> PipelineModel:
 
 def audit_sample(nodes: DataFrame, seed: int, n_licit: int = 25, n_illicit: int = 25, n_any: int = 60) -> DataFrame:
     """Seeded sample per stratum, ordered by hash so that it never depends on partitioning."""
-    key = F.xxhash64("tx_id", F.lit(seed))
+    key = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("tx_id").cast("string")).cast("binary"))
     take = lambda rows, n, name: rows.orderBy(key, "tx_id").limit(n).select(F.lit(name).alias("stratum"), "tx_id", "label")
     return (
         take(nodes.where("label = 0"), n_licit, "licit")

@@ -172,7 +172,10 @@ def eval_metrics(t: Tables):
     return learn.eval_metrics(test.join(t.stand_in_risk, "tx_id"), t.params.learned_threshold)
 
 
-@query("audit_sample")
+@query("audit_sample", """
+    (select 'licit' as stratum, tx_id, label from nodes where label = 0 order by md5('42:' || tx_id), tx_id limit 25) union all
+    (select 'illicit', tx_id, label from nodes where label = 1 order by md5('42:' || tx_id), tx_id limit 25) union all
+    (select 'any', tx_id, label from nodes order by md5('42:' || tx_id), tx_id limit 60)""")
 def audit_sample(t: Tables):
     return learn.audit_sample(t.nodes, t.params.seed)
 
