@@ -95,18 +95,18 @@ def change_address_links(io: DataFrame) -> DataFrame:
     return inputs.join(change_outputs(io), "tx_hash").select("tx_hash", "address", "change_address")
 
 
-def cospend_links(io: DataFrame) -> DataFrame:
-    """A star per transaction: smallest input address to each other input address."""
-    inputs = with_address(io).where("side = 'in'").select("tx_hash", "address").distinct()
-    first = inputs.groupBy("tx_hash").agg(F.min("address").alias("first"))
-    return inputs.join(first, "tx_hash").where("address <> first").select(F.col("first").alias("src"), F.col("address").alias("dst"))
+def ownership_links(io: DataFrame) -> DataFrame:
+    """A star per transaction: smallest input address to its other inputs and to its change."""
+    inputs = with_address(io).where("side = 'in'").select("tx_hash", "address")
+    first = inputs.groupBy("tx_hash").agg(F.min("address").alias("src"))
+    owned = inputs.unionByName(change_outputs(io).withColumnRenamed("change_address", "address"))
+    return owned.join(first, "tx_hash").where("address <> src").select("src", F.col("address").alias("dst"))
 
 
 def utxo_components(io: DataFrame) -> DataFrame:
     """(address, cluster) over co-spend and change links, addresses without links included."""
-    change = change_address_links(io).select(F.col("address").alias("src"), F.col("change_address").alias("dst"))
     nodes = with_address(io).select(F.col("address").alias("node")).distinct()
-    return connected_components(nodes, cospend_links(io).unionByName(change)).toDF("address", "cluster")
+    return connected_components(nodes, ownership_links(io)).toDF("address", "cluster")
 
 
 def utxo_clusters(components: DataFrame, sample: int) -> DataFrame:

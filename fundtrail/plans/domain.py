@@ -16,7 +16,7 @@ from ..operators import chains, entities, graph, learn, rules, utxo
 from ..operators.correlate import correlate
 from ..operators.ranking import next_in_sequence
 from ..params import Params
-from ..session import materialize, prepare, scratch_path
+from ..session import materialize, prepare, scratch_path, spread
 from ..sources import lists
 
 # Thresholds fitted to the shape of the test tables; the library defaults stay as they are.
@@ -256,7 +256,10 @@ class Tables:
         paid = F.struct(who("s", "l_suppkey").alias("address"), (sats - F.lit(100)).alias("amount_sats"))
         change = F.struct(F.when(~data, who("c", "l_orderkey")).alias("address"), F.lit(100).cast("long").alias("amount_sats"))
         key = F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")])
-        return self.read("lineitem").select(
+        needed = self.read("lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"
+        )
+        return spread(needed).select(
             F.sha2(key, 256).alias("tx_hash"),
             F.when(F.col("l_returnflag") != "N", epoch("l_shipdate")).alias("timestamp"),
             F.when(F.col("l_returnflag") != "N", F.col("l_orderkey") + 1).alias("block_height"),
@@ -289,7 +292,7 @@ class Tables:
             .when(kind == "signup", F.when(F.col("value") > 25, F.array(spend, gain)).otherwise(F.array(gain)))
         )
         reason = F.when(kind == "error", F.when(F.col("value") > 50, "rate-limited").when(F.col("value") > 20, "timeout"))
-        return self.read("events").select(
+        return spread(self.read("events").select("event_id", "ts", "user_id", "event_type", "value")).select(
             F.col("event_id").alias("poll_id"), me.alias("address"), F.unix_micros(F.col("ts").cast("timestamp")).alias("poll_ts"),
             (kind != "error").alias("success"), reason.alias("reason"), txs.alias("txs"),
         )

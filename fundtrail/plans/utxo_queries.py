@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import records
 from ..functions.addresses import address_quality, quality_counts
 from ..operators import live, utxo
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources import explorer
 from . import views  # noqa: F401
 from .domain import Tables
@@ -116,7 +116,8 @@ def quality(t: Tables):
         F.concat(F.lit("1"), F.substring(digits, 1, 33)), F.concat(F.lit("bc1q"), F.substring(digits, 1, 38)),
         F.col("l_partkey").cast("string"), F.concat(F.lit(" "), "l_returnflag", F.lit(" x")),
     )
-    return quality_counts(address_quality(t.read("lineitem").select(F.explode(texts).alias("address"))))
+    keys = spread(t.read("lineitem").select("l_orderkey", "l_partkey", "l_returnflag"))
+    return quality_counts(address_quality(keys.select(F.explode(texts).alias("address"))))
 
 
 @query("address_guards", """

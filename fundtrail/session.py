@@ -51,5 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core ahead of costly work on every row.
+
+    A small file comes as one or two partitions and is dealt out; a large table already has
+    more partitions than that and passes unchanged, without an exchange.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
