@@ -17,7 +17,7 @@ from fundtrail.plans import catalog
 from fundtrail.plans.domain import Tables
 
 HEADLINE = (
-    "rule_hit_counts run_rules peel_chains fan_out mixer_adjacent entities time_split leakage_report khop_neighbourhood "
+    "rule_hit_counts run_rules fan_out mixer_adjacent leakage_report khop_neighbourhood "
     "subgraph_stats case_summary batch_verdicts signal_overlap cluster_summary attribute_clusters sink_cluster_report "
     "convergence utxo_clusters change_address_links bounded_expansion live_hops scan_tx_json_esplora record_constraints "
     "address_quality train_and_evaluate mempool_alerts alert_history alert_state"

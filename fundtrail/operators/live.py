@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..params import Params
 from ..session import is_empty, materialize
+from .graph import build_graph_index
 from .ranking import top_per_key
+from .rules import run_rules
 from .utxo import address_transactions, newest_txs_per_address, tx_time_step, with_address
 
 
@@ -140,3 +142,20 @@ def tx_flow_edges(flows: DataFrame, kept: DataFrame) -> DataFrame:
     inside = flows.join(kept.select("seed", "address"), ["seed", "address"], "left_semi")
     side = lambda tag, name: inside.where(F.col("side") == tag).select("seed", "tx_hash", F.col("address").alias(name)).distinct()
     return side("in", "src").join(side("out", "dst"), ["seed", "tx_hash"]).where("src <> dst").select("seed", "src", "dst").distinct()
+
+
+def live_rules(nodes: DataFrame, edges: DataFrame, mixers: DataFrame, params: Params) -> DataFrame:
+    """The rule results of every case's seed on the case's own flow graph.
+
+    ``nodes`` has (seed, address, time_step) and ``edges`` (seed, src, dst). The rules run once
+    over all cases with (seed, address) pairs as node ids, so cases cannot touch each other.
+    """
+    pair = lambda c: F.struct(F.col("seed"), F.col(c).alias("address"))
+    graph_nodes = nodes.select(pair("address").alias("tx_id"), "time_step")
+    index = build_graph_index(edges.select(pair("src").alias("src"), pair("dst").alias("dst")))
+    known = nodes.join(mixers.select(F.col("mixer_id").alias("address")), "address", "left_semi").select(
+        pair("address").alias("mixer_id")
+    )
+    seeds = graph_nodes.where("tx_id.address = tx_id.seed").select("tx_id")
+    found = run_rules(seeds, graph_nodes, index, known, params)
+    return found.withColumns({"tx_id": F.col("tx_id.seed"), "mixer_id": F.col("mixer_id.address")})

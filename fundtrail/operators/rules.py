@@ -169,6 +169,13 @@ def run_rules_shallow(wallets: DataFrame, nodes: DataFrame, index: GraphIndex, m
     return score_rules(wallets, own, burst, mixer, params)
 
 
+def rule_report(scored: DataFrame, mixers: DataFrame, params: Params) -> DataFrame:
+    """Scored wallets with the thresholds in force and whether a mixer list was there."""
+    thresholds = F.create_map(*[F.lit(x) for kv in params.as_dict().items() for x in (kv[0], str(kv[1]))])
+    loaded = mixers.limit(1).agg(F.count("*") > 0)
+    return scored.withColumns({"engine_params": thresholds, "mixer_list_loaded": loaded.scalar()})
+
+
 def peel_peers(reach: DataFrame, peel: DataFrame) -> DataFrame:
     """Peel-chain nodes near each seed that is itself in no chain."""
     flagged = peel.select(F.col("tx_id").alias("node"))

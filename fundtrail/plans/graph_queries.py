@@ -342,6 +342,14 @@ def contributing_signals(t: Tables):
     return signals.select("tx_id", "rule", "s.fired", "s.weight", detail.alias("detail"))
 
 
+@query("rule_report", """
+    select tx_id, rule_score, '4' as hub_degree, '3' as fanout_min_out, true as mixer_list_loaded from ruleset""")
+def rule_report(t: Tables):
+    report = rules.rule_report(t.wallet_rules, t.mixers, t.params)
+    threshold = lambda k: F.col("engine_params")[k].alias(k)
+    return report.select("tx_id", "rule_score", threshold("hub_degree"), threshold("fanout_min_out"), "mixer_list_loaded")
+
+
 @query("peel_peers", "select seed, node as peer from reach2 join peel on tx_id = node where seed not in (select tx_id from peel)")
 def peel_peers(t: Tables):
     return rules.peel_peers(graph.khop(t.seeds, t.index, 2), t.peel)

@@ -11,7 +11,7 @@ from ..session import materialize, spread
 from ..sources import explorer
 from . import views  # noqa: F401
 from .domain import Tables
-from .registry import query
+from .registry import query, view
 
 # The list-form transactions as flat rows, for the parsers' checks.
 FLAT = """
@@ -233,6 +233,42 @@ def tx_flow_edges(t: Tables):
     return live.tx_flow_edges(f, kept)
 
 
+view("mixaddr", """
+    select distinct a as mixer_id from (select min(address) as a from ioa
+        where side = 'out' and tx_hash in (select sha256(cast(mixer_id as varchar)) from mixerset) group by tx_hash)""")
+view("liveedge", """
+    select p.seed, src, dst from flowpair p join keptnode a on a.seed = p.seed and a.address = src
+    join keptnode b on b.seed = p.seed and b.address = dst""")
+view("livedeg", """
+    select seed, address, count(*) filter (k = 'i') as i, count(*) filter (k = 'o') as o
+    from (select seed, src as address, 'o' as k from liveedge union all select seed, dst, 'i' from liveedge) group by 1, 2""")
+view("livefwd", "select d.seed, d.address, i, time_step from livedeg d join keptnode n on n.seed = d.seed and n.address = d.address where o = 1 and i >= 1")
+view("livelink", """
+    select e.seed, src, dst from liveedge e join livefwd a on a.seed = e.seed and a.address = src
+    join livefwd b on b.seed = e.seed and b.address = dst
+    where b.i = 1 and not (a.time_step >= 0 and b.time_step >= 0 and b.time_step - a.time_step > 52)""")
+view("livenear", """
+    with u as (select seed, src as a, dst as b from liveedge union select seed, dst, src from liveedge)
+    select seed from u where a = seed and b in (select mixer_id from mixaddr)
+    union select x.seed from u x join u y on y.seed = x.seed and y.a = x.b where x.a = x.seed and y.b <> x.seed and y.b in (select mixer_id from mixaddr)""")
+view("livefan", """
+    select d.seed from livedeg d join liveedge e on e.seed = d.seed and e.src = d.address join keptnode n on n.seed = e.seed and n.address = e.dst
+    where d.address = d.seed and d.o >= 3 and d.i <= 1 and n.time_step >= 0 group by 1 having max(n.time_step) - min(n.time_step) <= 60""")
+
+
+@query("live_rules", """
+    select seed as tx_id, seed in (select seed from livelink where seed in (src, dst)) as peel_fired, seed in (select seed from livefan) as fanout_fired,
+           seed in (select seed from livenear) as mixer_fired from keptnode where address = seed""")
+def live_rules(t: Tables):
+    f = flows(t)
+    kept = materialize(live.capped_nodes(live.live_nodes(f, live.live_hops(f, known_seeds(t))), t.params.node_cap), "live-nodes")
+    first = t.mixers.select(F.sha2(F.col("mixer_id").cast("string"), 256).alias("tx_hash"))
+    mixers = utxo.with_address(t.io).where("side = 'out'").join(first, "tx_hash", "left_semi").groupBy("tx_hash").agg(
+        F.min("address").alias("mixer_id")
+    ).select("mixer_id").distinct()
+    return live.live_rules(kept, live.tx_flow_edges(f, kept), mixers, t.params).select("tx_id", "peel_fired", "fanout_fired", "mixer_fired")
+
+
 @query("live_node_cap", "select seed, address, hop from keptnode")
 def live_node_cap(t: Tables):
     return live.capped_nodes(live.live_hops(flows(t), known_seeds(t)), t.params.node_cap)

@@ -137,9 +137,14 @@ def stream_alert_state(polls: DataFrame, watchlist: DataFrame, sink: str, checkp
     )
 
 
-def read_alert_state(spark: SparkSession, sink: str) -> DataFrame:
-    """The newest state of every address from the batches written so far."""
+def read_alert_state(spark: SparkSession, sink: str, watchlist: DataFrame | None = None) -> DataFrame:
+    """The newest state of every address from the batches written so far.
+
+    With the current ``watchlist``, wallets taken off it since the stream began are dropped.
+    """
     rows = spark.read.parquet(sink)
+    if watchlist is not None:
+        rows = rows.join(watchlist.select("address"), "address", "left_semi")
     columns = [c for c in rows.columns if c not in ("address", "batch")]
     return rows.groupBy("address").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("address", "s.*")
 

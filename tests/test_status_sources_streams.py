@@ -209,6 +209,8 @@ def test_state_as_a_stream_over_late_files(spark, tmp_path):
         stream = watch.stream_polls(spark, str(landing), max_files=2)
         watch.stream_alert_state(stream, listed, str(tmp_path / "state"), str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
     assert as_dict(watch.read_alert_state(spark, str(tmp_path / "state"))) == WANT
+    kept = spark.createDataFrame([("raise",)], "address string")
+    assert set(as_dict(watch.read_alert_state(spark, str(tmp_path / "state"), kept))) == {"raise"}
 
 
 def test_unlisted_addresses_are_not_watched(spark):
