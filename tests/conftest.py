@@ -15,7 +15,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 def spark():
     session = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,6 +28,12 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def code_generation(request, spark):
+    """Compiling costs more than running on literal rows; queries over tables keep it on."""
+    spark.conf.set("spark.sql.codegen.wholeStage", str(request.module.__name__ == "test_registry").lower())
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
