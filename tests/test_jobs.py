@@ -77,3 +77,12 @@ def test_spanning_entities_fail_the_job_but_not_the_audit(spark, tmp_path):
     with pytest.raises(LeakageError):
         jobs.ingest(spark, str(raw), str(tmp_path / "store"), "run-1", n_features=2)
     assert spark.read.json(str(tmp_path / "store" / "split_audit")).count() == 1
+
+
+def test_scratch_tables_can_be_dropped(spark, monkeypatch, tmp_path):
+    from fundtrail import session
+
+    monkeypatch.setattr(session, "checkpoint_root", lambda _: str(tmp_path))
+    assert session.materialize(spark.range(3), "t").count() == 3 and (tmp_path / "fundtrail").exists()
+    session.drop_scratch(spark)
+    assert not list((tmp_path / "fundtrail").iterdir())
