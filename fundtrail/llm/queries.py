@@ -121,3 +121,72 @@ def bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import tokens_of
 
     return tokens_of(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op7_language_spans")
+def language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict
+
+    return predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op5_license_diagonals")
+def license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pareto_mix")
+def pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = r"""
+with d as (select row_number() over () as rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bw as (select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') as win
+       from (select item_id, ws, least(10, len(ws)) as k, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) as i from b where len(ws) > 0)),
+ks as (select distinct k from bw),
+dw as (select rid, i, k, array_to_string(ws[i:i + k - 1], ' ') as win
+       from (select rid, ws, k, unnest(range(1, len(ws) - k + 2)) as i from d, ks where len(ws) >= k)),
+m as (select rid, i, k, item_id from dw join bw using (k, win)),
+hit as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + k)) as p from m) group by rid),
+it as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, cast(item_id as varchar) as item from m) group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (rid) left join it using (rid)
+"""
+
+
+@query("op10_positional_index", DECONTAMINATION_SQL)
+def positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near_items")
+
+
+JACCARD_SQL = r"""
+with recursive d as (select row_number() over () as rid, doc_id,
+     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct rid, array_to_string(ws[i:i + 4], ' ') as g from (select rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select rid, count(*) as n from s group by rid),
+p as (select a.rid as a, b.rid as b, count(*) as c from s a join s b on a.g = b.g and a.rid <> b.rid group by all),
+l as (select a, b from p join n x on x.rid = a join n y on y.rid = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select rid as a, rid as b from d union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(doc_id) as component_id from r join d on d.rid = r.b group by a),
+k as (select a, count(*) as n_links from l group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(n_links, 0)::bigint as n_links
+from d left join n using (rid) join c on c.a = d.rid left join k on k.a = d.rid
+"""
+
+
+@query("op3_ngram_jaccard", JACCARD_SQL)
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
