@@ -19,7 +19,9 @@ segment of its own, cut into blocks like any other.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,41 +43,42 @@ READ_SCHEMA = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
 WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
-class Pieces(dict):
-    """Ids, as bytes, of pieces of text; a bounded cache in front of the tokenizer."""
-
-    def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Encodes whole texts, cutting them where the tokenizer cuts anyway.
 
     Its pre-tokenizer never joins what stands on either side of a single space between non-spaces, so such
-    a text is the pieces between spaces, each but the first led by its space. Texts with white
-    space beside a space, or with an added token's string, go to the tokenizer whole.
+    a text is the pieces between spaces, each but the first led by its space. Texts with white space beside a
+    space, or with an added token's string, go to the tokenizer whole. Pieces are kept in a bounded
+    cache; what a text has of new ones is encoded in one call.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first, self.later = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
+        self.pieces: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, wanted: set[str]) -> None:
+        """Put all wanted pieces, given without their space, into the cache."""
+        if len(self.pieces) + len(wanted) > CACHED_PIECES:
+            self.pieces.clear()
+        new = list(wanted.difference(self.pieces))
+        self.pieces.update(zip(new, self.encode([" " + p for p in new]), strict=True))
 
     def __call__(self, text: str) -> bytes:
         if "  " in text or "\n " in text or " \n" in text or any(c in text for c in WHITE) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, *later = text.split(" ")
-        return self.first[first] + b"".join(map(self.later.__getitem__, later))
+            return self.encode([text])[0]
+        first, *rest = text.split(" ")
+        pieces = self.pieces
+        wanted = set(rest)
+        if wanted.difference(pieces):
+            self.learn(wanted)
+        return (self.encode([first])[0] if first else b"") + b"".join(map(pieces.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
