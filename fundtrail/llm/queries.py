@@ -197,3 +197,32 @@ def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as ls from documents),
+w as (select rid, doc_id, i, array_to_string(ls[i:i + 2], chr(10)) as win from (select *, unnest(range(1, len(ls) - 1)) as i from d where len(ls) >= 3)),
+c as (select rid, i from w where regexp_matches(win, '[^\x20\x09-\x0D]')
+      qualify row_number() over (partition by win order by doc_id nulls last, rid, i) > 1),
+g as (select distinct rid, unnest(range(i, i + 3)) as p from c),
+n as (select rid, count(*) as n_deleted, count(*) filter (b is null or b <> p - 1) as n_runs, list(p) as gone
+      from (select rid, p, lag(p) over (partition by rid order by p) as b from g) group by rid)
+select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(n_deleted, 0)::bigint as n_deleted, coalesce(n_runs, 0)::bigint as n_runs,
+       md5(case when gone is null then text else coalesce(array_to_string(list_filter(ls, lambda x, i: not list_contains(gone, i)), chr(10)), '') end) as kept_md5
+from d left join n using (rid)
+"""
+
+
+@query("op8_line_runs", LINE_SQL)
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import clean_lines
+
+    found = clean_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", "n_runs", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
