@@ -154,7 +154,7 @@ class Matcher:
     def __init__(self, windows: Sequence[tuple[int, list[int]]], rarity: dict[int, int], slop: int):
         self.items = np.array([w[0] for w in windows], dtype=np.int64)
         self.sizes = np.array([len(w[1]) for w in windows], dtype=np.int64)
-        widest = int(self.sizes.max()) if len(self.sizes) else 0
+        widest = int(self.sizes.max()) if len(self.sizes) else 1
         # Terms of each window, rarest first, with the offset of each in the window; -1 past its end.
         self.terms = np.zeros((len(windows), widest), dtype=np.int64)
         self.offsets = np.full((len(windows), widest), -1, dtype=np.int64)
