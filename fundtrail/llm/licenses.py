@@ -135,6 +135,7 @@ def _verify(templates: Sequence[Template]):
                 for d in range(len(c)):
                     r, base = rows[c.row + d], int(w.first[d])
                     word = lambda i: low.bytes[w.starts[base + i] : w.ends[base + i]].tobytes().decode()
+                    looser = []
                     for s in r["spans"]:
                         t = words[s["template"]]
                         if templates[s["template"]].exact:
@@ -143,7 +144,14 @@ def _verify(templates: Sequence[Template]):
                         else:
                             text = [word(i) for i in range(s["start"], s["stop"])]
                             found = sum(m.size for m in SequenceMatcher(None, text, t, autojunk=False).get_matching_blocks()) / len(t)
+                            looser.append((found, s))
+                            continue
                         out.append((r["doc_id"], r["key"], s["template"], s["start"], found))
+                    taken: list[dict] = []  # of notices found at one place the closest counts
+                    for found, s in sorted(looser, key=lambda x: (-x[0], x[1]["template"], x[1]["start"])):
+                        if all(s["start"] >= o["stop"] or s["stop"] <= o["start"] for o in taken):
+                            taken.append(s)
+                            out.append((r["doc_id"], r["key"], s["template"], s["start"], found))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types, strict=True)], names=["doc_id", "key", "template", "start", "cover"])
