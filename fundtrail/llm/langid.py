@@ -191,19 +191,18 @@ def label_spans(c: Chunk, model: Model) -> tuple[Words, np.ndarray, np.ndarray]:
     return w, viterbi(w, scores), lettered
 
 
-def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns of every row of ``docs``, with lang_pred, score and n_spans."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double").add("n_spans", "long")
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, lang_pred, score, n_spans): every row of ``docs`` as a struct, whatever its columns, with its language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("n_spans", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
-            for c in chunks(batch.column("_text")):
-                rows = slice(c.row, c.row + len(c))
+            letter = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
+            for c in chunks(batch.column("text")):
                 pred, score = np.full(len(c), len(m.languages)), np.zeros(len(c))
                 spans = np.zeros(len(c), dtype=np.int64)
                 if m.languages:
@@ -212,23 +211,21 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
                     weight = np.where(lettered, w.ends - w.starts, 0)
                     share = np.bincount(doc * k + path, weights=weight, minlength=len(c) * k).reshape(-1, k)
                     total = share.sum(axis=1)
-                    known = letter[rows] & (total > 0)
+                    known = letter[c.row : c.row + len(c)] & (total > 0)
                     pred[known] = share[known].argmax(axis=1)
                     score[known] = share[known].max(axis=1) / total[known]
                     change = np.ones(len(path), dtype=bool)
                     change[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
                     spans = np.bincount(doc[change], minlength=len(c))
                     spans[~known] = 0
-                out = [batch.column(n).slice(c.row, len(c)) for n in carry]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(names[pred], pa.string()), pa.array(score), pa.array(spans)], names=[*carry, "lang_pred", "score", "n_spans"])
+                row = batch.column("row").slice(c.row, len(c))
+                yield pa.RecordBatch.from_arrays([row, pa.array(names[pred], pa.string()), pa.array(score), pa.array(spans)], names=["row", "lang_pred", "score", "n_spans"])
 
-    text = F.col("text")
-    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*carry, text.alias("_text"), letter.alias("_letter")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_spans): learn outside the held-out fold, predict every row."""
     model = train(docs.where(learnable(F.col("doc_id"), F.col("lang"))), max_docs)
-    found = identify(docs, model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")

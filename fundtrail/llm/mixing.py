@@ -9,7 +9,7 @@ the remaining fraction of its source, less in proportion for documents under ``F
 rank is Q = (u / (1 - u)) / (p / (1 - p)) with u a random number drawn from its id: random odds over
 inclusion odds. The sample is fixed in words: documents are taken in order of Q as long as the sum
 stays within the target; what the first document that doesn't fit leaves open is filled from the documents after
-it, at most two of each power-of-two size class, largest first.
+it, at most two of each power-of-two size class, largest first, and at last by the one that brings the sum nearest.
 
 The cut in the order is found without sorting a source: words are summed per leading 16 bits of Q, then, inside
 the one bin where the target falls, per next 16 bits, then per value. No task sees more than 65,536 sums of a source.
@@ -114,7 +114,7 @@ def mixing_plan(sized: DataFrame, **options) -> DataFrame:
     cut = materialize(cut, "mix-cuts")
 
     # The first document of each size class after the cut, once among even and once among odd keys.
-    after = keyed.join(cut, "sid").where("key >= cut and size <= room")
+    after = keyed.join(cut, "sid").where("key >= cut and size <= 2 * room")
     picks = after.groupBy("sid", F.floor(F.log2("size")).alias("_class"), F.expr("key % 2").alias("_half")).agg(F.min("key").alias("key"))
     blocks = after.join(picks.select("sid", "key").distinct(), ["sid", "key"]).groupBy("sid", "key", "room").agg(F.sum("size").alias("words"))
     ordered = blocks.groupBy("sid", "room").agg(F.sort_array(F.collect_list(F.struct("words", "key")), asc=False).alias("c"))
@@ -123,14 +123,19 @@ def mixing_plan(sized: DataFrame, **options) -> DataFrame:
         x["words"] <= acc["room"],
         F.struct((acc["room"] - x["words"]).cast("double").alias("room"), F.array_append(acc["keys"], x["key"]).alias("keys")),
     ).otherwise(acc)
-    filled = ordered.select("sid", F.aggregate("c", start, step)["keys"].alias("filled"))
+    fold = ordered.withColumn("f", F.aggregate("c", start, step))
+    open_ = F.filter("c", lambda x: ~F.array_contains(F.col("f.keys"), x["key"]) & (x["words"] < 2 * F.col("f.room")))
+    nearest = F.array_min(F.transform(open_, lambda x: F.struct(F.abs(x["words"] - F.col("f.room")).alias("off"), x["key"].alias("key"))))
+    filled = fold.withColumn("nearest", nearest["key"]).select(
+        "sid", F.when(F.col("nearest").isNull(), F.col("f.keys")).otherwise(F.array_append(F.col("f.keys"), F.col("nearest"))).alias("filled")
+    )
     return materialize(
         t.drop("rest").join(cut.drop("room"), "sid", "left").join(filled, "sid", "left").drop("sid"), "mix-plan"
     )
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, size: Column) -> DataFrame:
-    """``docs`` with the plan of its source and ``copies``, the times that the mix takes each document."""
+    """``docs`` (doc_id, source, ...) with the plan of its source and ``copies``, the times that the mix takes each document."""
     plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
     joined = docs.withColumn("_size", size).join(plan, F.col("source").eqNullSafe(F.col("_source")))
     key = order_key(F.col("doc_id"), F.col("_size"), F.col("_fraction"))
@@ -153,6 +158,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    sized = sizes(docs)
-    chosen = with_copies(docs, mixing_plan(sized, **options), word_count(F.col("text"))).where("copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    chosen = with_copies(rows, mixing_plan(sizes(docs), **options), F.col("size")).where("copies > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
