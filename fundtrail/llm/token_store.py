@@ -36,7 +36,8 @@ from ..session import scratch_path
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_000_000
+BATCH_CHARS = 1 << 19
 END_ID = 0
 DATA_SCHEMA = "shard int, segment int, first long, doc_ids array<long>, lengths array<long>, blocks array<array<binary>>"
 READ_SCHEMA = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
@@ -48,8 +49,8 @@ class Encoder:
 
     Its pre-tokenizer never joins what stands on either side of a single space between non-spaces, so such
     a text is the pieces between spaces, each but the first led by its space. Texts with white space beside a
-    space, or with an added token's string, go to the tokenizer whole. Pieces are kept in a bounded
-    cache; what a text has of new ones is encoded in one call.
+    space, or with an added token's string, go to the tokenizer whole. Pieces are kept in a bounded cache; those
+    that some texts have anew are encoded in one call, a line feed between any two, which is a token by itself.
     """
 
     def __init__(self, path: str):
@@ -58,27 +59,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.pieces: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, wanted: set[str]) -> None:
-        """Put all wanted pieces, given without their space, into the cache."""
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Put new pieces, given without their space, into the cache."""
+        plain = [p for p in new if p and "\n" not in p and "\r" not in p]
+        if plain and len(self.feed) == 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
+            if len(ends) == len(plain):
+                data, at = ids.tobytes(), 0
+                for p, end in zip(plain, ends.tolist(), strict=True):
+                    self.pieces[p] = data[4 * at : 4 * end]
+                    at = end + 1
+        for p in new:
+            if p not in self.pieces:
+                self.pieces[p] = self.encode(" " + p)
+
+    def whole(self, text: str) -> bool:
+        return "  " in text or "\n " in text or " \n" in text or any(c in text for c in WHITE) or any(s in text for s in self.special)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts = [None if self.whole(t) else t.split(" ") for t in texts]
+        wanted: set[str] = set()
+        for p in parts:
+            wanted.update(p[1:] if p else ())
         if len(self.pieces) + len(wanted) > CACHED_PIECES:
             self.pieces.clear()
-        new = list(wanted.difference(self.pieces))
-        self.pieces.update(zip(new, self.encode([" " + p for p in new]), strict=True))
-
-    def __call__(self, text: str) -> bytes:
-        if "  " in text or "\n " in text or " \n" in text or any(c in text for c in WHITE) or any(s in text for s in self.special):
-            return self.encode([text])[0]
-        first, *rest = text.split(" ")
-        pieces = self.pieces
-        wanted = set(rest)
-        if wanted.difference(pieces):
-            self.learn(wanted)
-        return (self.encode([first])[0] if first else b"") + b"".join(map(pieces.__getitem__, rest))
+        self.learn(list(wanted.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        return [
+            self.encode(t) if p is None else (self.encode(p[0]) if p[0] else b"") + b"".join(map(get, p[1:]))
+            for t, p in zip(texts, parts, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -132,14 +150,18 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, kind: str, block_ids
 
     held = 0
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = encode(text.as_py() or "") + end
-            if held and held + len(ids) // 4 > segment_ids:
-                yield row()
-                held = 0
-            doc_ids.append(doc_id)
-            parts.append(ids)
-            held += len(ids) // 4
+        ids_of, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+        cuts = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+        for run in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cuts)) + 1):
+            encoded = encode([texts[i] for i in run])
+            for doc_id, ids in zip([ids_of[i] for i in run], encoded, strict=True):
+                ids += end
+                if held and held + len(ids) // 4 > segment_ids:
+                    yield row()
+                    held = 0
+                doc_ids.append(doc_id)
+                parts.append(ids)
+                held += len(ids) // 4
     if doc_ids:
         yield row()
 
