@@ -73,17 +73,20 @@ def case_outcomes(reports: DataFrame) -> DataFrame:
 
 
 def case_summary(cases: DataFrame, stats: DataFrame, verdicts: DataFrame, attribution: DataFrame) -> DataFrame:
-    """One row per case: trace size, illicit nodes, verdict, risk level and attributed name."""
+    """One row per case, whatever is missing of it: trace size, illicit nodes, verdict, risk level and attributed name.
+
+    A wallet that the model could not classify has no ``ml_score``, which a certain "licit" would share otherwise.
+    """
     wallet = verdicts.select(F.col("tx_id").alias("seed"), "verdict", "rule_score", "rule_flag", "risk_score")
     name = attribution.select("seed", "attributed_name", "attribution_status")
     return (
         cases.select("case_id", "seed", "amount")
-        .join(stats, "seed").join(wallet, "seed").join(name, "seed", "left")
+        .join(stats, "seed", "left").join(wallet, "seed", "left").join(name, "seed", "left")
         .select(
             "case_id", "seed", "amount", F.col("max_hop_reached").alias("hop_count"), "node_count", "edge_count",
-            F.col("illicit_nodes"), "verdict", case_risk_level(F.col("verdict")).alias("risk_level"),
+            F.col("illicit_nodes"), "verdict", F.when(F.col("verdict").isNotNull(), case_risk_level(F.col("verdict"))).alias("risk_level"),
             "rule_score", display_flag(F.col("rule_score")).alias("display_flag"),
-            F.coalesce("risk_score", F.lit(0.0)).alias("ml_score"),
+            F.col("risk_score").alias("ml_score"),
             F.when(F.col("attribution_status") == "lookup-failed", "lookup unavailable")
             .otherwise(F.coalesce("attributed_name", F.lit("Unattributed"))).alias("attributed_vasp"),
         )

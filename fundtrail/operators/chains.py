@@ -78,7 +78,12 @@ def chain_positions(links: DataFrame) -> DataFrame:
 
 def peel_chains(nodes: DataFrame, degrees: DataFrame, min_hops: int, max_gap: int) -> DataFrame:
     """Every node of a chain of at least ``min_hops`` forwarding nodes, measured from its head."""
-    forwarding = materialize(forwarding_nodes(nodes, degrees), "forwarding")
+    return peel_chains_of(forwarding_nodes(nodes, degrees), min_hops, max_gap)
+
+
+def peel_chains_of(forwarding: DataFrame, min_hops: int, max_gap: int) -> DataFrame:
+    """The chains among given forwarding nodes (node, any_src, any_dst, in_degree, time_step)."""
+    forwarding = materialize(forwarding, "forwarding")
     placed = materialize(chain_positions(peel_links(forwarding, max_gap)), "chain")
     length = placed.where("not is_cycle").groupBy("head").agg((F.max("position") + 1).alias("chain_length"))
     return (

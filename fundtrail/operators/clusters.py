@@ -123,12 +123,12 @@ def cluster_report(entities: DataFrame, nodes: DataFrame, tags: DataFrame, addre
 
 
 def convergence(cases: DataFrame, reach: DataFrame, entities: DataFrame, attributed: DataFrame, min_cases: int = 2) -> DataFrame:
-    """Independently reported cases whose traces end in the same attributed cluster.
+    """Independently reported cases whose traces meet in the same cluster, with or without a name.
 
     One row per (cluster, case) with the fewest hops, kept where at least ``min_cases``
     different cases meet; ``cases`` has case_id, seed and amount.
     """
-    named = attributed.where(F.col("attributed_name").isNotNull()).select("cluster_id", "attributed_name")
+    named = attributed.select("cluster_id", "attributed_name")
     inside = entities.join(named, F.col("entity_id") == F.col("cluster_id")).select(
         F.col("tx_id").alias("node"), "cluster_id", "attributed_name"
     )

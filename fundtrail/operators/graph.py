@@ -144,12 +144,14 @@ def khop(seeds: DataFrame, index: GraphIndex, hop_depth: int) -> DataFrame:
 
     One frontier join per hop. Each level is written before the next one starts, so no
     level is worked out twice, and the loop ends as soon as no seed has anything left.
-    A ``hop_depth`` column on the seeds bounds each seed on its own.
+    A ``hop_depth`` column on the seeds replaces ``hop_depth`` for each seed that has a value there.
     """
-    if hop_depth < 1:
-        raise ValueError(f"hop_depth must be at least 1, got {hop_depth}")
-    limit = F.least("hop_depth", F.lit(hop_depth)) if "hop_depth" in seeds.columns else F.lit(hop_depth)
-    start = seeds.select("seed", limit.alias("_limit"))
+    own = "hop_depth" in seeds.columns
+    start = seeds.select("seed", (F.coalesce("hop_depth", F.lit(hop_depth)) if own else F.lit(hop_depth)).alias("_limit"))
+    asked = start.agg(F.min("_limit"), F.max("_limit")).first() if own else (hop_depth, hop_depth)
+    if (asked[0] if asked[0] is not None else hop_depth) < 1:
+        raise ValueError(f"hop_depth must be at least 1, got {asked[0]}")
+    hop_depth = asked[1] if asked[1] is not None else hop_depth
     start = start.groupBy("seed").agg(F.max("_limit").alias("_limit"))
     start = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), "_limit")
     visited = materialize(start, "khop") if hop_depth > 1 else start

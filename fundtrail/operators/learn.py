@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,7 +31,7 @@ def class_weights(labelled: DataFrame) -> DataFrame:
     return counts.select("label", "rows", F.round(weight, 6).alias("weight"))
 
 
-def train_model(rows: DataFrame, params: Params, max_depth: int = 12) -> PipelineModel:
+def train_model(rows: DataFrame, params: Params) -> PipelineModel:
     """Fit on (label 0/1, features array). The row weight makes both classes weigh the same."""
     counts = rows.groupBy("label").count()
     total = rows.count()
@@ -41,7 +43,7 @@ def train_model(rows: DataFrame, params: Params, max_depth: int = 12) -> Pipelin
     )
     forest = RandomForestClassifier(
         labelCol="target", featuresCol="vector", weightCol="row_weight",
-        numTrees=params.forest_trees, seed=params.seed, maxDepth=max_depth,
+        numTrees=params.forest_trees, seed=params.seed, maxDepth=params.forest_depth,
     )
     return Pipeline(stages=[forest]).fit(weighted)
 
@@ -86,14 +88,16 @@ def eval_metrics(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def train_and_evaluate(nodes: DataFrame, split: DataFrame, params: Params, max_depth: int = 12, model_path: str | None = None, report_path: str | None = None) -> tuple[PipelineModel, DataFrame]:
+def train_and_evaluate(nodes: DataFrame, split: DataFrame, params: Params, model_path: str | None = None, report_path: str | None = None) -> tuple[PipelineModel, DataFrame]:
     """Train on the train split, evaluate on the test split, and persist both if paths are given.
 
     The one-row report carries the parameters next to the metrics.
     """
     rows = materialize(train_split(nodes, split).select("tx_id", "label", "features", "split"), "learn")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    model = train_model(train, params, max_depth)
+    began = time.time()
+    model = train_model(train, params)
+    seconds = time.time() - began
     scored = test.join(predict_risk(model, test), "tx_id")
     sizes = rows.agg(
         F.count_if(F.expr("split = 'train'")).alias("n_train_txids"),
@@ -104,7 +108,10 @@ def train_and_evaluate(nodes: DataFrame, split: DataFrame, params: Params, max_d
         "*",
         F.lit("random_forest").alias("model"),
         F.lit(params.forest_trees).alias("n_estimators"),
+        F.lit(params.forest_depth).alias("max_depth"),
         F.lit(params.seed).alias("seed"),
+        F.lit(round(seconds, 3)).alias("training_seconds"),
+        F.current_timestamp().alias("trained_at"),
         F.round(F.col("n_train_txids") / (2 * F.col("n_illicit_train")), 6).alias("weight_illicit"),
         F.round(F.col("n_train_txids") / (2 * (F.col("n_train_txids") - F.col("n_illicit_train"))), 6).alias("weight_licit"),
     )

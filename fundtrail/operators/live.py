@@ -1,4 +1,4 @@
-"""Bounded tracing of addresses over landed transaction tables.
+"""Tracing of addresses over landed transaction tables.
 
 The flow graph of a case is kept as (seed, tx_hash, side, address) rows. Walking it goes from
 an address to its transactions and on to the opposite side, so the work grows with the rows
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..params import Params
 from ..session import is_empty, materialize
-from .graph import build_graph_index
+from .chains import peel_chains_of
 from .ranking import top_per_key
-from .rules import run_rules
+from .rules import score_rules
 from .utxo import address_transactions, newest_txs_per_address, tx_time_step, with_address
 
 
@@ -26,46 +26,54 @@ class Expansion:
     txs: DataFrame      # seed, level, address, block_time, tx_hash
 
 
-def bounded_expansion(seeds: DataFrame, io: DataFrame, params: Params, hop_depth: int) -> Expansion:
-    """Look up each seed address, then counterparties in address order, level by level.
+def bounded_expansion(seeds: DataFrame, io: DataFrame, hop_depth: int, params: Params = Params()) -> Expansion:
+    """Look up each seed address, then all its counterparties, level by level.
 
-    An address brings at most ``tx_cap`` newest transactions and a seed at most ``fetch_cap``
-    looked-up addresses; both caps are the tracer's own limits and are reported by
-    :func:`expansion_meta`.
+    Whole by default. The caps of a tracer that pays per lookup can be set in ``params``: an address then brings
+    its ``tx_cap`` newest transactions and a seed the first ``fetch_cap`` addresses in order; :func:`expansion_meta`
+    reports a cap that was reached. A ``hop_depth`` column on the seeds replaces ``hop_depth`` for each seed that has a value.
+
+    Every level joins its few addresses to the transaction rows and de-duplicates afterwards, so the table is
+    never grouped or ranked as a whole.
     """
-    pairs = materialize(address_transactions(io), "live-pairs")
-    capped = materialize(newest_txs_per_address(pairs, params.tx_cap), "live-txs")
-    level = seeds.select("seed", F.col("seed").alias("address")).distinct().join(
-        capped.select("address").distinct(), "address", "left_semi"
-    ).select("seed", "address", F.lit(0).alias("level"))
-    fetched = level = materialize(level, "live-level")
-    txs = here = level.join(capped, "address")
-    for depth in range(1, hop_depth):
-        frontier = (
-            here.select("seed", "tx_hash").distinct().join(pairs.select("tx_hash", "address"), "tx_hash").select("seed", "address").distinct()
-            .join(fetched.select("seed", "address"), ["seed", "address"], "left_anti")
-        )
-        used = fetched.groupBy("seed").agg(F.count("*").alias("used"))
-        order = Window.partitionBy("seed").orderBy("address")
+    rows = with_address(io)
+    own = "hop_depth" in seeds.columns
+    limit = F.coalesce("hop_depth", F.lit(hop_depth)) if own else F.lit(hop_depth)
+    start = seeds.select("seed", limit.alias("_limit")).groupBy("seed").agg(F.max("_limit").alias("_limit"))
+    hop_depth = (start.agg(F.max("_limit")).first()[0] or hop_depth) if own else hop_depth
+    level = start.select("seed", F.col("seed").alias("address"), F.lit(0).alias("level"), "_limit").join(rows.select("address"), "address", "left_semi")
+    level = materialize(level.select("seed", "address", "level", "_limit"), "live-level")
+    fetched, txs, depth = level, None, 0
+    while True:
+        here = address_transactions(rows.join(level.select("address").distinct(), "address", "left_semi"))
+        if params.tx_cap is not None:
+            here = newest_txs_per_address(here, params.tx_cap)
+        here = materialize(level.join(here, "address").select("seed", "level", "address", "block_time", "tx_hash", "_limit"), "live-txs")
+        txs = here if txs is None else txs.unionByName(here)
+        depth += 1
+        if depth >= hop_depth:
+            break
+        entered = here.where(F.col("_limit") > depth).select("seed", "tx_hash", "_limit").distinct()
         level = (
-            frontier.withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= params.fetch_cap)
-            .join(used, "seed")
-            .where(F.col("place") + F.col("used") <= params.fetch_cap)
-            .select("seed", "address", F.lit(depth).alias("level"))
+            entered.join(rows.select("tx_hash", "address"), "tx_hash").select("seed", "address", "_limit").distinct()
+            .join(fetched.select("seed", "address"), ["seed", "address"], "left_anti")
         )
-        level = materialize(level, "live-level")
+        if params.fetch_cap is not None:
+            used = fetched.groupBy("seed").agg(F.count("*").alias("used"))
+            level = top_per_key(level, ["seed"], [F.col("address")], params.fetch_cap).withColumn(
+                "place", F.row_number().over(Window.partitionBy("seed").orderBy("address"))
+            ).join(used, "seed").where(F.col("place") + F.col("used") <= params.fetch_cap)
+        level = materialize(level.select("seed", "address", F.lit(depth).alias("level"), "_limit"), "live-level")
         if is_empty(level):
             break
         fetched = fetched.unionByName(level)
-        here = level.join(capped, "address")
-        txs = txs.unionByName(here)
-    return Expansion(fetched, txs)
+    return Expansion(fetched.drop("_limit"), txs.drop("_limit"))
 
 
 def case_flows(expansion: Expansion, io: DataFrame) -> DataFrame:
     """(seed, tx_hash, side, address, time_step, fetch_order) for every transaction of a case.
 
+    These rows are the case's flow graph, an edge leading from every input to every output of a transaction.
     ``fetch_order`` is where the case first met the transaction: by level, then looked-up
     address, then newest first.
     """
@@ -73,20 +81,20 @@ def case_flows(expansion: Expansion, io: DataFrame) -> DataFrame:
     known = expansion.txs.groupBy("seed", "tx_hash").agg(
         F.min(F.struct("level", "address", newest, "tx_hash")).alias("fetch_order")
     )
-    rows = with_address(io).select("tx_hash", "side", "address", tx_time_step(F.col("block_time")).alias("time_step")).distinct()
-    return known.join(rows, "tx_hash").select(
-        "seed", "tx_hash", "side", "address", "time_step", "fetch_order"
-    )
+    rows = with_address(io).select("tx_hash", "side", "address", tx_time_step(F.col("block_time")).alias("time_step"))
+    found = known.join(rows, "tx_hash").groupBy("seed", "tx_hash", "side", "address", "time_step").agg(F.first("fetch_order").alias("fetch_order"))
+    return found.select("seed", "tx_hash", "side", "address", "time_step", "fetch_order")
 
 
 def expansion_meta(expansion: Expansion, params: Params) -> DataFrame:
-    """Per seed: addresses looked up, transactions seen and whether a cap was reached."""
+    """Per seed: addresses looked up, transactions seen and whether a cap was set and reached."""
     per_address = expansion.txs.groupBy("seed", "address").agg(F.count("*").alias("n"))
+    reached = lambda c, cap: F.lit(False) if cap is None else F.col(c) >= cap
     return per_address.groupBy("seed").agg(
         F.count("*").alias("fetch_count"), F.sum("n").alias("txs_fetched"), F.max("n").alias("max_txs")
     ).select(
         "seed", "fetch_count", "txs_fetched",
-        ((F.col("fetch_count") >= params.fetch_cap) | (F.col("max_txs") >= params.tx_cap)).alias("capped"),
+        (reached("fetch_count", params.fetch_cap) | reached("max_txs", params.tx_cap)).alias("capped"),
     )
 
 
@@ -128,34 +136,81 @@ def live_nodes(flows: DataFrame, hops: DataFrame) -> DataFrame:
 
 
 def capped_nodes(nodes: DataFrame, cap: int) -> DataFrame:
-    """At most ``cap`` nodes per case: nearest first, unreached ones last."""
+    """At most ``cap`` nodes per case for display: nearest first, unreached ones last. No rule looks at these."""
     unreached = (F.col("hop") < 0).cast("int")
     return top_per_key(nodes, ["seed"], [unreached, F.col("hop"), F.col("address")], cap)
 
 
-def tx_flow_edges(flows: DataFrame, kept: DataFrame) -> DataFrame:
+def tx_flow_edges(flows: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(seed, src, dst): every input address to every other output address of a transaction.
 
-    Both ends must be among the case's kept nodes, so a case has at most ``node_cap`` squared
-    edges, however wide its transactions are.
+    With ``kept`` only among those nodes. This writes the pairs of each transaction; the rules work on the flow rows instead.
     """
-    inside = flows.join(kept.select("seed", "address"), ["seed", "address"], "left_semi")
+    inside = flows if kept is None else flows.join(kept.select("seed", "address"), ["seed", "address"], "left_semi")
     side = lambda tag, name: inside.where(F.col("side") == tag).select("seed", "tx_hash", F.col("address").alias(name)).distinct()
     return side("in", "src").join(side("out", "dst"), ["seed", "tx_hash"]).where("src <> dst").select("seed", "src", "dst").distinct()
 
 
-def live_rules(nodes: DataFrame, edges: DataFrame, mixers: DataFrame, params: Params) -> DataFrame:
-    """The rule results of every case's seed on the case's own flow graph.
+def sole_neighbours(flows: DataFrame) -> DataFrame:
+    """(seed, address, succ_min, succ_max, pred_min, pred_max) without forming a pair.
+
+    A node has one successor if the smallest and the largest address on the output side of its transactions, itself
+    left out, are the same; likewise for predecessors. Two smallest and two largest addresses of a side are
+    enough to leave any one out.
+    """
+    rows = flows.select("seed", "tx_hash", "side", "address").distinct()
+    key = ["seed", "tx_hash", "side"]
+    ends = rows.groupBy(*key).agg(F.min("address").alias("lo"), F.max("address").alias("hi"))
+    next_lo, next_hi = F.when(F.col("address") > F.col("lo"), F.col("address")), F.when(F.col("address") < F.col("hi"), F.col("address"))
+    ends = rows.join(ends, key).groupBy(*key, "lo", "hi").agg(F.min(next_lo).alias("lo2"), F.max(next_hi).alias("hi2"))
+    facing = ends.withColumn("side", F.when(F.col("side") == "in", "out").otherwise("in"))
+    met = rows.join(facing, key).select(
+        "seed", "address", "side",
+        F.when(F.col("lo") != F.col("address"), F.col("lo")).otherwise(F.col("lo2")).alias("a"),
+        F.when(F.col("hi") != F.col("address"), F.col("hi")).otherwise(F.col("hi2")).alias("b"),
+    )
+    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    return met.groupBy("seed", "address").agg(
+        F.min(of("in", "a")).alias("succ_min"), F.max(of("in", "b")).alias("succ_max"),
+        F.min(of("out", "a")).alias("pred_min"), F.max(of("out", "b")).alias("pred_max"),
+    )
+
+
+def live_rules(nodes: DataFrame, flows: DataFrame, mixers: DataFrame, params: Params) -> DataFrame:
+    """The rule results of every case's seed on the case's whole flow graph.
 
-    ``nodes`` has (seed, address, time_step) and ``edges`` (seed, src, dst). The rules run once
-    over all cases with (seed, address) pairs as node ids, so cases cannot touch each other.
+    ``nodes`` has (seed, address, hop, time_step). All cases go through together, with (seed, address) pairs as node
+    ids, so they cannot touch each other.
     """
-    pair = lambda c: F.struct(F.col("seed"), F.col(c).alias("address"))
-    graph_nodes = nodes.select(pair("address").alias("tx_id"), "time_step")
-    index = build_graph_index(edges.select(pair("src").alias("src"), pair("dst").alias("dst")))
-    known = nodes.join(mixers.select(F.col("mixer_id").alias("address")), "address", "left_semi").select(
-        pair("address").alias("mixer_id")
+    seeds = nodes.where("address = seed").select("seed", "time_step")
+    steps = nodes.select("seed", "address", "time_step")
+    node = lambda c: F.struct(F.col("seed"), F.col(c).alias("address"))
+
+    sole = materialize(sole_neighbours(flows), "live-neighbours")
+    forwarding = (
+        sole.where("succ_min = succ_max and pred_min is not null").join(steps, ["seed", "address"], "left")
+        .select(
+            node("address").alias("node"), node("succ_min").alias("any_dst"), node("pred_min").alias("any_src"),
+            F.when(F.col("pred_min") == F.col("pred_max"), 1).otherwise(2).alias("in_degree"), F.coalesce("time_step", F.lit(-1)).alias("time_step"),
+        )
+    )
+    chains = peel_chains_of(forwarding, params.peel_min_hops, params.peel_max_gap)
+    peel = chains.where("tx_id.seed = tx_id.address").withColumn("tx_id", F.col("tx_id.seed"))
+
+    own = flows.where("address = seed").select("seed", "tx_hash", "side").distinct()
+    facing = own.withColumn("side", F.when(F.col("side") == "in", "out").otherwise("in"))
+    around = flows.join(facing, ["seed", "tx_hash", "side"]).where("address <> seed").select("seed", "side", "address").distinct()
+    degree = around.join(steps, ["seed", "address"], "left").groupBy("seed").agg(
+        F.count_if(F.col("side") == "in").alias("in_degree"), F.count_if(F.col("side") == "out").alias("out_degree"),
+        (F.max(F.expr("if(side = 'out' and time_step >= 0, time_step, null)")) - F.min(F.expr("if(side = 'out' and time_step >= 0, time_step, null)"))).alias("time_step_spread"),
+    )
+    burst = degree.where(
+        (F.col("out_degree") >= params.fanout_min_out) & (F.col("in_degree") <= params.fanout_max_in) & (F.col("time_step_spread") <= params.fanout_window)
+    ).join(seeds, "seed").select(F.col("seed").alias("tx_id"), "in_degree", "out_degree", "time_step_spread", F.col("time_step").alias("seed_time_step"))
+
+    near = nodes.where(F.col("hop").between(1, min(params.mixer_max_hops, params.hop_depth))).join(
+        mixers.select(F.col("mixer_id").alias("address")).distinct(), "address", "left_semi"
     )
-    seeds = graph_nodes.where("tx_id.address = tx_id.seed").select("tx_id")
-    found = run_rules(seeds, graph_nodes, index, known, params)
-    return found.withColumns({"tx_id": F.col("tx_id.seed"), "mixer_id": F.col("mixer_id.address")})
+    nearest = near.groupBy("seed").agg(F.min(F.struct("hop", "address")).alias("n"))
+    mixer = nearest.select(F.col("seed").alias("tx_id"), F.col("n.address").alias("mixer_id"), F.col("n.hop").alias("hops_from_mixer"))
+    return score_rules(seeds.select(F.col("seed").alias("tx_id")), peel, burst, mixer, params)

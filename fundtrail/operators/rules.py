@@ -149,7 +149,8 @@ def run_rules(wallets: DataFrame, nodes: DataFrame, index: GraphIndex, mixers: D
     if peel is None:
         peel = peel_chains(nodes, degrees, params.peel_min_hops, params.peel_max_gap)
     burst = fan_out(nodes, index.simple_edges(), degrees, params.fanout_min_out, params.fanout_max_in, params.fanout_window)
-    mixer = mixer_adjacent(mixers_in_graph(mixers, nodes), index, min(params.mixer_max_hops, params.hop_depth))
+    linked = degrees.select(F.col("node").alias("tx_id"))  # a mixer may be known as the end of an edge only
+    mixer = mixer_adjacent(mixers_in_graph(mixers, linked), index, min(params.mixer_max_hops, params.hop_depth))
     return score_rules(wallets, peel, burst, mixer, params)
 
 
@@ -164,8 +165,10 @@ def run_rules_shallow(wallets: DataFrame, nodes: DataFrame, index: GraphIndex, m
     local_edges = induced_subgraph(reach, index).select(pair("src").alias("src"), pair("dst").alias("dst"))
     peel = peel_chains(local_nodes, graph_degrees(local_edges), params.peel_min_hops, params.peel_max_gap)
     own = peel.where("tx_id.seed = tx_id.node").withColumn("tx_id", F.col("tx_id.seed"))
-    burst = fan_out(nodes, index.simple_edges(), index.degrees(), params.fanout_min_out, params.fanout_max_in, params.fanout_window)
-    mixer = mixer_adjacent(mixers_in_graph(mixers, nodes), index, min(params.mixer_max_hops, params.hop_depth))
+    degrees = materialize(index.degrees(), "degrees")
+    burst = fan_out(nodes, index.simple_edges(), degrees, params.fanout_min_out, params.fanout_max_in, params.fanout_window)
+    linked = degrees.select(F.col("node").alias("tx_id"))
+    mixer = mixer_adjacent(mixers_in_graph(mixers, linked), index, min(params.mixer_max_hops, params.hop_depth))
     return score_rules(wallets, own, burst, mixer, params)
 
 

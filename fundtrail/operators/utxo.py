@@ -46,6 +46,16 @@ def dedupe_txs(refs: DataFrame) -> DataFrame:
     return refs.groupBy("address", "tx_hash").agg(F.min("ordinal").alias("ordinal"))
 
 
+def dedupe_io(io: DataFrame) -> DataFrame:
+    """Each input and output once, however often its transaction was landed; the confirmed copy counts.
+
+    Comes ahead of every count over ``io``. The place within its side identifies a row.
+    """
+    rest = [c for c in io.columns if c not in ("tx_hash", "side", "ordinal")]
+    newest = F.max(F.struct(F.coalesce("block_time", F.lit(0)).alias("_t"), *rest)).alias("r")
+    return io.groupBy("tx_hash", "side", "ordinal").agg(newest).select("tx_hash", "side", "ordinal", *[f"r.{c}" for c in rest]).select(*io.columns)
+
+
 def all_tx_refs(confirmed: DataFrame, unconfirmed: DataFrame) -> DataFrame:
     """Confirmed references first, then unconfirmed ones."""
     return confirmed.withColumn("pending", F.lit(0)).unionByName(unconfirmed.withColumn("pending", F.lit(1)))

@@ -49,9 +49,10 @@ class Params:
     seed: int = 42
     learned_threshold: float = 0.5
     member_sample: int = 10
-    tx_cap: int = 50
-    fetch_cap: int = 25
-    node_cap: int = 500
+    tx_cap: int | None = None  # of a live trace; none by default
+    fetch_cap: int | None = None
+    node_cap: int = 500  # nodes shown of a case
+    forest_depth: int = 30  # MLlib's limit: trees grow in full
     address_max_length: int = 128
 
     def __post_init__(self) -> None:

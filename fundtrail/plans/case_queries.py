@@ -134,7 +134,7 @@ def attribution_status(t: Tables):
     select c.case_id, c.seed, c.amount, r.hop_count, r.node_count, coalesce(s.edge_count, 0) as edge_count, r.illicit_nodes, v.verdict,
            case v.verdict when 'confirmed' then 'CRITICAL' when 'watch' then 'ELEVATED' else 'LOW' end as risk_level, v.rule_score,
            case when v.rule_score >= 60 then 'high' when v.rule_score > 0 then 'low' else 'none' end as display_flag,
-           coalesce(v.risk_score, 0) as ml_score,
+           v.risk_score as ml_score,
            case when a.attribution_status = 'lookup-failed' then 'lookup unavailable' else coalesce(a.attributed_name, 'Unattributed') end as attributed_vasp
     from caseset c join (select seed, max(hop) as hop_count, count(*) as node_count, count(*) filter (label = 1) as illicit_nodes
                          from reach2 join nodes on tx_id = node group by 1) r using (seed)
@@ -169,7 +169,7 @@ def case_documents(t: Tables):
 
 @query("convergence", """
     with hit as (select r.seed, a.cluster_id, a.attributed_name, min(hop) as hops from reach3 r join ent e on e.tx_id = r.node
-                 join attributed a on a.cluster_id = e.entity_id where a.attributed_name is not null group by 1, 2, 3),
+                 join attributed a on a.cluster_id = e.entity_id group by 1, 2, 3),
          pc as (select cluster_id, attributed_name, case_id, hops, amount from hit join caseset using (seed)),
          tot as (select cluster_id, count(*) as n_cases, round(sum(amount), 2) as total_loss from pc group by 1 having count(*) >= 2)
     select * from pc join tot using (cluster_id)""")
@@ -212,6 +212,12 @@ def flat_state(state):
     return state.select("address", F.col("alert.tx_hash"), "reason", "last_ok_ts", "last_poll_ts")
 
 
+def landed_watchlist(t: Tables) -> str:
+    path = scratch_path(t.spark, "watchers")
+    t.watchlist.withColumn("verdict", F.lit("watch")).write.parquet(path)
+    return path
+
+
 @query("alert_state_batch", STATE)
 def alert_state_batch(t: Tables):
     return flat_state(watch.alert_state(watch.read_polls(watch.watched_polls(t.polls, t.watchlist))))
@@ -222,8 +228,8 @@ def alert_state(t: Tables):
     """The same state, kept by a stream over landed poll files."""
     landing, sink, checkpoint = t.landed(t.polls, "polls"), scratch_path(t.spark, "state"), scratch_path(t.spark, "state-cp")
     stream = watch.stream_polls(t.spark, landing, max_files=4)
-    watch.stream_alert_state(stream, t.watchlist, sink, checkpoint, {"availableNow": True}).awaitTermination()
-    return flat_state(watch.read_alert_state(t.spark, sink))
+    watch.stream_alert_state(stream, sink, checkpoint, {"availableNow": True}, compact_every=2).awaitTermination()
+    return flat_state(watch.read_alert_state(t.spark, sink, landed_watchlist(t)))
 
 
 @query("stream_alerts", """
@@ -231,7 +237,7 @@ def alert_state(t: Tables):
 def stream_alerts(t: Tables):
     landing, sink, checkpoint = t.landed(t.polls, "polls"), scratch_path(t.spark, "alerts"), scratch_path(t.spark, "alerts-cp")
     stream = watch.stream_polls(t.spark, landing, max_files=4)
-    watch.stream_alerts(stream, t.watchlist, sink, checkpoint, {"availableNow": True}).awaitTermination()
+    watch.stream_alerts(stream, landed_watchlist(t), sink, checkpoint, {"availableNow": True}).awaitTermination()
     return t.spark.read.parquet(sink).select("poll_id", "address", "tx_hash", "direction", "fee_rate", "counterparty")
 
 
@@ -286,11 +292,16 @@ def watchlist_insert(t: Tables):
 @query("watchlist_upsert", INSERTED)
 def watchlist_upsert(t: Tables):
     path, checkpoint = scratch_path(t.spark, "watchlist"), scratch_path(t.spark, "watchlist-cp")
-    listed(t).write.parquet(path)
-    landing = t.landed(flagged(t), "verdicts")
+    # The list doesn't exist yet; its present wallets come first, as a stream of their own.
+    for name, rows in (("listed", listed(t)), ("flagged", flagged(t))):
+        feed(t, rows, name, path, f"{checkpoint}-{name}")
+    return lists.read_watchlist(t.spark, path)
+
+
+def feed(t: Tables, rows, name: str, path: str, checkpoint: str) -> None:
+    landing = t.landed(rows, name)
     verdicts = t.spark.readStream.schema(lists.WATCH_SCHEMA).option("maxFilesPerTrigger", 4).json(landing)
     lists.stream_watchlist(verdicts, path, checkpoint, {"availableNow": True}).awaitTermination()
-    return t.spark.read.schema(lists.WATCH_SCHEMA).parquet(path)
 
 
 @query("hop_depth_clamp", "select case_id, least(greatest(c_nationkey, 1), 10) as hop_depth from caseset")

@@ -21,7 +21,7 @@ from ..sources import lists
 
 # Thresholds fitted to the shape of the test tables; the library defaults stay as they are.
 TEST_PARAMS = Params(
-    hub_degree=4, peel_max_gap=52, fanout_min_out=3, fanout_window=60, tx_cap=2, fetch_cap=4, node_cap=12
+    hub_degree=4, peel_max_gap=52, fanout_min_out=3, fanout_window=60, node_cap=12, forest_depth=5,
 )
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}

@@ -116,14 +116,14 @@ def class_weights(t: Tables):
 def fitted(t: Tables):
     """A forest of the documented size on the train split, saved and loaded again."""
     path = scratch_path(t.spark, "model")
-    learn.train_and_evaluate(t.features, t.split, t.params, max_depth=5, model_path=path, report_path=f"{path}-report")
+    learn.train_and_evaluate(t.features, t.split, t.params, model_path=path, report_path=f"{path}-report")
     return path
 
 
 @query("train_model")
 def train_model(t: Tables):
     train = learn.train_split(t.features, t.split).where("split = 'train'")
-    model = learn.train_model(train, t.params, max_depth=5)
+    model = learn.train_model(train, t.params)
     forest = model.stages[-1]
     trees = t.spark.createDataFrame([(forest.getNumTrees, forest.totalNumNodes)], "trees int, tree_nodes int")
     return trees.withColumn("train_rows", train.agg(F.count("*")).scalar())
@@ -131,7 +131,7 @@ def train_model(t: Tables):
 
 @query("train_and_evaluate")
 def train_and_evaluate(t: Tables):
-    return learn.train_and_evaluate(t.features, t.split, t.params, max_depth=5)[1]
+    return learn.train_and_evaluate(t.features, t.split, t.params)[1]
 
 
 @query("model_eval_report")
@@ -150,7 +150,7 @@ def sink_model(t: Tables):
 @query("score_all")
 def score_all(t: Tables):
     train = learn.train_split(t.features, t.split).where("split = 'train'")
-    return learn.predict_risk(learn.train_model(train, t.params, max_depth=5), t.features)
+    return learn.predict_risk(learn.train_model(train, t.params), t.features)
 
 
 @query("score_wallets", """

@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import dataset, lists
 from . import views  # noqa: F401
 from .domain import Tables
-from .registry import query
+from .registry import query, view
 
 KNOWN = "(select distinct l_orderkey as tx_id from lineitem)"
 
@@ -27,7 +27,7 @@ def scan_nodes(t: Tables):
     select cast(tx_id as varchar) as tx_id, 8 as n_features, cast(time_step as int) as first_feature, cast(count(*) as int) as lines
     from nodes join lineitem on tx_id = l_orderkey group by tx_id, time_step""")
 def scan_features(t: Tables):
-    path = dataset.find_files(t.spark, t.dataset_folder(), "features")[0]
+    path = dataset.matching_files(t.spark, t.dataset_folder(), "features")
     rows = dataset.scan_features(t.spark, path, n_features=8)
     return rows.select(
         "tx_id", F.size("features").alias("n_features"), time_step_of(F.col("features")).alias("first_feature"),
@@ -37,13 +37,13 @@ def scan_features(t: Tables):
 
 @query("scan_labels", f"select cast(tx_id as varchar) as tx_id, label from nodes where tx_id in {KNOWN}")
 def scan_labels(t: Tables):
-    path = dataset.find_files(t.spark, t.dataset_folder(), "classes")[0]
+    path = dataset.matching_files(t.spark, t.dataset_folder(), "classes")
     return dataset.scan_labels(t.spark, path).select("tx_id", "label")
 
 
 @query("scan_edges", "select cast(src as varchar) as src, cast(dst as varchar) as dst from raw_edges")
 def scan_edges(t: Tables):
-    path = dataset.find_files(t.spark, t.dataset_folder(), "edgelist")[0]
+    path = dataset.matching_files(t.spark, t.dataset_folder(), "edgelist")
     return dataset.scan_edges(t.spark, path)
 
 
@@ -172,13 +172,17 @@ def khop_neighbourhood(t: Tables):
     return graph.khop(graph.known_seeds(t.seeds, t.nodes), t.index, 3)
 
 
-@query("khop_own_depth", """
-    select r.seed, node, hop from reach3 r join (select seed, max(least(greatest(c_nationkey, 1), 3)) as d from caseset group by 1) using (seed) where hop <= d""")
-def khop_own_depth(t: Tables):
-    from ..functions.money import clamp_hops
+view("asked", "select seed, max(1 + c_nationkey % 5) as d from caseset group by 1")
+view("ownwalk", """
+    select seed, seed, 0 from asked union
+    select w.seed, nbr, hop + 1 from ownwalk w join und u on u.node = w.node join asked a on a.seed = w.seed where hop < d""", "seed, node, hop")
+
 
-    asked = t.cases.select("seed", clamp_hops(F.col("c_nationkey")).alias("hop_depth"))
-    return graph.khop(asked, t.index, 3)
+@query("khop_own_depth", "select seed, node, min(hop) as hop from ownwalk group by 1, 2")
+def khop_own_depth(t: Tables):
+    """Each seed to its own depth of one to five hops, deeper than the call's default of two."""
+    asked = t.cases.select("seed", (F.col("c_nationkey") % 5 + 1).alias("hop_depth"))
+    return graph.khop(asked, t.index, 2)
 
 
 @query("induced_subgraph", "select seed, src, dst from sub2")

@@ -5,18 +5,17 @@ Each job reads the tables of the one before from ``store``, a folder on shared s
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addresses import address_quality
+from ..functions.status import request_failure
 from ..operators import cases, clusters, correlate, entities, graph, learn, live, rules, utxo
 from ..params import EXPECTED_EDGE_COUNT, EXPECTED_TX_COUNT, N_FEATURES, Params
 from ..session import materialize, prepare
-from ..sources import dataset, lists, sinks
+from ..sources import dataset, sinks
 
-log = logging.getLogger(__name__)
+MAX_HOPS = 10
 
 
 def ingest(spark: SparkSession, raw: str, store: str, run_id: str, params: Params = Params(), n_features: int = N_FEATURES, require_span_zero: bool = True) -> DataFrame:
@@ -37,25 +36,20 @@ def ingest(spark: SparkSession, raw: str, store: str, run_id: str, params: Param
     return audit
 
 
-def train(spark: SparkSession, store: str, params: Params = Params(), max_depth: int = 12) -> DataFrame:
+def train(spark: SparkSession, store: str, params: Params = Params()) -> DataFrame:
     """Fit and evaluate the forest on the stored split; returns the one-row report."""
     nodes, _, split = sinks.read_normalised(prepare(spark), store)
-    learn.train_and_evaluate(nodes, split, params, max_depth, f"{store}/model", f"{store}/model_eval")
+    learn.train_and_evaluate(nodes, split, params, f"{store}/model", f"{store}/model_eval")
     return spark.read.json(f"{store}/model_eval")
 
 
-def verdicts(spark: SparkSession, store: str, mixers: DataFrame, params: Params = Params(), scored: bool = True, max_wallets: int | None = None) -> DataFrame:
+def verdicts(spark: SparkSession, store: str, mixers: DataFrame, params: Params = Params(), scored: bool = True) -> DataFrame:
     """Rules, risk and verdict of every wallet, written to the store.
 
-    ``scored=False`` leaves the learned signal out: no wallet is classified. ``max_wallets`` bounds
-    an exploratory run to the first wallets by id and logs how many were left without a verdict.
+    ``scored=False`` leaves the learned signal out: no wallet is classified.
     """
     nodes, _, _ = sinks.read_normalised(prepare(spark), store)
     wallets = nodes.select("tx_id")
-    if max_wallets is not None:
-        total = wallets.count()
-        wallets = wallets.orderBy("tx_id").limit(max_wallets)
-        log.warning("verdicts for %d of %d wallets; the others get none", min(max_wallets, total), total)
     found = rules.run_rules(wallets, nodes, graph.read_graph_index(spark, f"{store}/graph"), mixers, params)
     if scored:
         risks = learn.predict_risk(learn.load_model(f"{store}/model"), nodes)
@@ -78,41 +72,74 @@ def report_clusters(spark: SparkSession, store: str, tags: DataFrame, address_ma
     return sinks.load_cluster_report(spark, f"{store}/cluster_report", report.schema)
 
 
-def trace_cases(spark: SparkSession, store: str, reports: DataFrame, io: DataFrame, mixers: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, summaries) for a table of reports (case_id, wallet, amount).
+def trace_cases(
+    spark: SparkSession, store: str, reports: DataFrame, io: DataFrame, mixers: DataFrame, params: Params = Params(),
+    attempts: DataFrame | None = None, requests: DataFrame | None = None, failed_clusters: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, summaries) for a table of reports (case_id, wallet, amount and optionally hop_depth).
+
+    Wallets of the index get the full case summary. Others are judged by address format and then traced over the landed
+    transactions ``io``; with one signal only, their verdict stops at watch. A summary row exists for either kind.
 
-    Wallets of the index get the full case summary. Others are judged by address format and then
-    traced over the landed transactions ``io``; with one signal only, their verdict stops at watch.
+    What could not be found out stays apart from what was not there: ``attempts`` (address, status, timed_out) are the
+    lookups behind ``io``, ``requests`` (case_id, status, aborted, retryable) those of whole reports, and ``failed_clusters``
+    (wallet) names wallets whose cluster lookup did not complete. Each may be left out if all went well.
     """
     nodes, _, split = sinks.read_normalised(prepare(spark), store)
     index = graph.read_graph_index(spark, f"{store}/graph")
+    io = materialize(utxo.dedupe_io(io), "io")
     judged = address_quality(reports.withColumn("wallet", F.trim("wallet")), "wallet", params)
     history = utxo.address_activity(judged.select(F.col("wallet").alias("address")), io)
-    resolved = materialize(cases.resolve_source(judged, nodes, history), "resolved")
-
-    indexed = resolved.where("indexed").select("case_id", F.col("wallet").alias("seed"), "amount")
-    seeds = indexed.select("seed").distinct()
+    resolved = cases.resolve_source(judged, nodes, history)
+    if "hop_depth" not in resolved.columns:
+        resolved = resolved.withColumn("hop_depth", F.lit(params.hop_depth))
+    resolved = materialize(resolved.withColumn("hop_depth", F.coalesce("hop_depth", F.lit(params.hop_depth))), "resolved")
+    in_range = F.col("hop_depth").between(1, MAX_HOPS)
+
+    indexed = resolved.where(in_range & F.col("indexed")).select("case_id", F.col("wallet").alias("seed"), "amount", "hop_depth")
+    seeds = indexed.groupBy("seed").agg(F.max("hop_depth").alias("hop_depth"))
     reach = materialize(graph.khop(seeds, index, params.hop_depth), "reach")
     stats = graph.subgraph_stats(reach, graph.induced_subgraph(reach, index), nodes)
-    nobody = seeds.where(F.lit(False))
-    named = cases.seed_attribution(seeds, split, spark.read.parquet(f"{store}/attributed"), nobody)
+    lost = spark.createDataFrame([], "seed string") if failed_clusters is None else failed_clusters.select(F.col("wallet").alias("seed")).distinct()
+    named = cases.seed_attribution(seeds.select("seed"), split, spark.read.parquet(f"{store}/attributed"), lost)
     summary = cases.case_summary(indexed, stats, spark.read.parquet(f"{store}/verdicts"), named)
 
-    chain = resolved.where("source = 'live-lookup'").select(F.col("wallet").alias("seed")).distinct()
-    flows = materialize(live.case_flows(live.bounded_expansion(chain, io, params, params.hop_depth), io), "flows")
-    shown = live.capped_nodes(live.live_nodes(flows, live.live_hops(flows, chain)), params.node_cap)
-    shown = materialize(shown, "live-nodes")
-    fired = live.live_rules(shown, live.tx_flow_edges(flows, shown), mixers, params)
+    live_cases = resolved.where(in_range & (F.col("source") == "live-lookup")).select("case_id", F.col("wallet").alias("seed"), "amount", "hop_depth")
+    chain = live_cases.groupBy("seed").agg(F.max("hop_depth").alias("hop_depth"))
+    flows = materialize(live.case_flows(live.bounded_expansion(chain, io, params.hop_depth, params), io), "flows")
+    met = materialize(live.live_nodes(flows, live.live_hops(flows, chain)), "live-nodes")
+    fired = materialize(live.live_rules(met, flows, mixers, params), "live-rules")
+    size = met.groupBy("seed").agg(F.max("hop").alias("max_hop_reached"), F.count(F.lit(1)).alias("node_count"), F.lit(0).cast("long").alias("illicit_nodes"))
     lone = fired.select(
-        F.col("tx_id").alias("wallet"), F.col("rule_score").alias("live_score"),
-        F.when(F.size("rules_fired") > 0, "watch").otherwise("none").alias("live_verdict"),
-    )
-    verdict_of = summary.select("case_id", "verdict")
-    joined = resolved.join(lone, "wallet", "left").join(verdict_of, "case_id", "left").withColumn(
-        "verdict", F.coalesce("verdict", "live_verdict")
+        F.col("tx_id"), F.when(F.size("rules_fired") > 0, "watch").otherwise("none").alias("verdict"),
+        "rule_score", "rule_flag", F.lit(None).cast("double").alias("risk_score"),
     )
-    outcome = joined.withColumns(
-        {"request_source": F.lit("pipeline"), "failure": F.lit(None).cast("string"),
-         "has_rules": F.col("verdict").isNotNull(), "has_verdict": F.col("verdict").isNotNull()}
+    # Flow rows stand in for edges: a transaction's inputs and outputs, not their product.
+    rows = flows.groupBy("seed").agg(F.count(F.lit(1)).alias("edge_count"))
+    live_named = chain.select("seed", F.lit(None).cast("string").alias("attributed_name")).join(lost.withColumn("_lost", F.lit(True)), "seed", "left").select(
+        "seed", "attributed_name", F.when(F.col("_lost"), "lookup-failed").otherwise("no-match").alias("attribution_status")
     )
-    return cases.case_outcomes(outcome).select("case_id", "wallet", "source", "reason", "outcome", "verdict"), summary
+    summary = summary.unionByName(cases.case_summary(live_cases, size.join(rows, "seed", "left"), lone, live_named))
+    summary = materialize(summary, "case-summary")
+
+    failure = F.lit(None).cast("string")
+    joined = resolved
+    if attempts is not None:
+        lookups = cases.lookup_verdict(attempts).select(F.col("address").alias("wallet"), F.when(F.col("lookup") != "answered", F.col("lookup")).alias("lookup_failure"))
+        # The index needs no lookup, so a failed one says nothing about its wallets.
+        joined = joined.join(lookups, "wallet", "left")
+        failure = F.when(~F.col("indexed"), F.col("lookup_failure"))
+    request_source = F.lit("pipeline")
+    if requests is not None:
+        bad = F.col("status").isNull() | (F.col("status") != 200) | F.coalesce("aborted", F.lit(False))
+        state = request_failure(F.col("status"), F.coalesce("aborted", F.lit(False)), F.col("retryable"), F.lit(None).cast("string"))["source"]
+        asked = requests.select("case_id", F.when(bad, state).otherwise("pipeline").alias("_request"), (F.col("status") == 404).alias("_missed"))
+        joined = joined.join(asked, "case_id", "left")
+        request_source = F.coalesce("_request", F.lit("pipeline"))
+        joined = joined.withColumn("source", F.when(~F.coalesce("_missed", F.lit(False)), F.col("source")))
+    joined = joined.join(summary.select("case_id", "verdict"), "case_id", "left").withColumns({
+        "request_source": F.when(~in_range, "invalid-input").otherwise(request_source), "failure": failure,
+        "has_rules": F.col("verdict").isNotNull(), "has_verdict": F.col("verdict").isNotNull(),
+        "reason": F.when(~in_range, f"hop-depth-outside-1-to-{MAX_HOPS}").otherwise(F.col("reason")),
+    })
+    return cases.case_outcomes(joined).select("case_id", "wallet", "source", "reason", "outcome", "verdict"), summary

@@ -148,7 +148,7 @@ def tx_addresses(t: Tables):
 
 @query("newest_txs_per_address", "select address, tx_hash, block_time from newest")
 def newest_txs_per_address(t: Tables):
-    return utxo.newest_txs_per_address(utxo.address_transactions(t.io), t.params.tx_cap)
+    return utxo.newest_txs_per_address(utxo.address_transactions(t.io), 2)
 
 
 @query("address_frequency", "select address, occurrences from addrfreq")
@@ -185,7 +185,7 @@ def utxo_cluster_numbering(t: Tables):
 
 
 def expansion(t: Tables):
-    return live.bounded_expansion(t.live_seeds, t.io, t.params, hop_depth=3)
+    return live.bounded_expansion(t.live_seeds, t.io, 3, t.params)
 
 
 def flows(t: Tables):
@@ -206,14 +206,13 @@ def bounded_expansion(t: Tables):
 def expansion_order(t: Tables):
     from pyspark.sql import Window
 
-    # A seed has at most fetch_cap rows here, so its window stays small.
     order = Window.partitionBy("seed").orderBy("level", "address")
     return expansion(t).fetched.select("seed", "address", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("expansion_meta", """
-    with n as (select seed, g.address, count(*) as n from got2 g join newest using (address) group by 1, 2)
-    select seed, count(*) as fetch_count, sum(n)::bigint as txs_fetched, count(*) >= 4 or max(n) >= 2 as capped from n group by 1""")
+    with n as (select seed, g.address, count(*) as n from got2 g join addrtx using (address) group by 1, 2)
+    select seed, count(*) as fetch_count, sum(n)::bigint as txs_fetched, false as capped from n group by 1""")
 def expansion_meta(t: Tables):
     return live.expansion_meta(expansion(t), t.params)
 
@@ -224,25 +223,19 @@ def live_hops(t: Tables):
     return live.live_nodes(f, live.live_hops(f, known_seeds(t)))
 
 
-@query("tx_flow_edges", """
-    select p.seed, src, dst from flowpair p join keptnode a on a.seed = p.seed and a.address = src
-    join keptnode b on b.seed = p.seed and b.address = dst""")
+@query("tx_flow_edges", "select seed, src, dst from flowpair")
 def tx_flow_edges(t: Tables):
-    f = flows(t)
-    kept = live.capped_nodes(live.live_hops(f, known_seeds(t)), t.params.node_cap)
-    return live.tx_flow_edges(f, kept)
+    return live.tx_flow_edges(flows(t))
 
 
 view("mixaddr", """
     select distinct a as mixer_id from (select min(address) as a from ioa
         where side = 'out' and tx_hash in (select sha256(cast(mixer_id as varchar)) from mixerset) group by tx_hash)""")
-view("liveedge", """
-    select p.seed, src, dst from flowpair p join keptnode a on a.seed = p.seed and a.address = src
-    join keptnode b on b.seed = p.seed and b.address = dst""")
+view("liveedge", "select seed, src, dst from flowpair")
 view("livedeg", """
     select seed, address, count(*) filter (k = 'i') as i, count(*) filter (k = 'o') as o
     from (select seed, src as address, 'o' as k from liveedge union all select seed, dst, 'i' from liveedge) group by 1, 2""")
-view("livefwd", "select d.seed, d.address, i, time_step from livedeg d join keptnode n on n.seed = d.seed and n.address = d.address where o = 1 and i >= 1")
+view("livefwd", "select d.seed, d.address, i, time_step from livedeg d join livenode n on n.seed = d.seed and n.address = d.address where o = 1 and i >= 1")
 view("livelink", """
     select e.seed, src, dst from liveedge e join livefwd a on a.seed = e.seed and a.address = src
     join livefwd b on b.seed = e.seed and b.address = dst
@@ -252,21 +245,21 @@ view("livenear", """
     select seed from u where a = seed and b in (select mixer_id from mixaddr)
     union select x.seed from u x join u y on y.seed = x.seed and y.a = x.b where x.a = x.seed and y.b <> x.seed and y.b in (select mixer_id from mixaddr)""")
 view("livefan", """
-    select d.seed from livedeg d join liveedge e on e.seed = d.seed and e.src = d.address join keptnode n on n.seed = e.seed and n.address = e.dst
+    select d.seed from livedeg d join liveedge e on e.seed = d.seed and e.src = d.address join livenode n on n.seed = e.seed and n.address = e.dst
     where d.address = d.seed and d.o >= 3 and d.i <= 1 and n.time_step >= 0 group by 1 having max(n.time_step) - min(n.time_step) <= 60""")
 
 
 @query("live_rules", """
     select seed as tx_id, seed in (select seed from livelink where seed in (src, dst)) as peel_fired, seed in (select seed from livefan) as fanout_fired,
-           seed in (select seed from livenear) as mixer_fired from keptnode where address = seed""")
+           seed in (select seed from livenear) as mixer_fired from livenode where address = seed""")
 def live_rules(t: Tables):
     f = flows(t)
-    kept = materialize(live.capped_nodes(live.live_nodes(f, live.live_hops(f, known_seeds(t))), t.params.node_cap), "live-nodes")
+    nodes = materialize(live.live_nodes(f, live.live_hops(f, known_seeds(t))), "live-nodes")
     first = t.mixers.select(F.sha2(F.col("mixer_id").cast("string"), 256).alias("tx_hash"))
     mixers = utxo.with_address(t.io).where("side = 'out'").join(first, "tx_hash", "left_semi").groupBy("tx_hash").agg(
         F.min("address").alias("mixer_id")
     ).select("mixer_id").distinct()
-    return live.live_rules(kept, live.tx_flow_edges(f, kept), mixers, t.params).select("tx_id", "peel_fired", "fanout_fired", "mixer_fired")
+    return live.live_rules(nodes, f, mixers, t.params).select("tx_id", "peel_fired", "fanout_fired", "mixer_fired")
 
 
 @query("live_node_cap", "select seed, address, hop from keptnode")

@@ -137,23 +137,19 @@ view("addrtx", "select address, tx_hash, max(block_time) as block_time from ioa
 view("newest", """
     select * from (select *, row_number() over (partition by address order by block_time desc, tx_hash) as rn from addrtx) where rn <= 2""")
 view("txpair", "select distinct tx_hash, address from ioa")
-view("live0", "select seed, seed as address, 0 as level from liveseeds where seed in (select address from newest)")
+view("live0", "select seed, seed as address, 0 as level from liveseeds where seed in (select address from addrtx)")
 view("cand1", """
-    select distinct l.seed, p.address from live0 l join newest t using (address) join txpair p on p.tx_hash = t.tx_hash
+    select distinct l.seed, p.address from live0 l join addrtx t using (address) join txpair p on p.tx_hash = t.tx_hash
     where p.address <> l.seed""")
-view("live1", """
-    select seed, address, 1 as level from (select *, row_number() over (partition by seed order by address) as place from cand1)
-    where place + 1 <= 4""")
+view("live1", "select seed, address, 1 as level from cand1")
 view("got1", "select * from live0 union all select * from live1")
 view("cand2", """
-    select distinct l.seed, p.address from live1 l join newest t using (address) join txpair p on p.tx_hash = t.tx_hash
+    select distinct l.seed, p.address from live1 l join addrtx t using (address) join txpair p on p.tx_hash = t.tx_hash
     where (l.seed, p.address) not in (select (seed, address) from got1)""")
-view("live2", """
-    select c.seed, address, 2 as level from (select *, row_number() over (partition by seed order by address) as place from cand2) c
-    join (select seed, count(*) as used from got1 group by 1) u using (seed) where place + used <= 4""")
+view("live2", "select seed, address, 2 as level from cand2")
 view("got2", "select * from got1 union all select * from live2")
 view("casetx", """
-    select seed, tx_hash, min(row(level, g.address, -block_time, tx_hash)) as fetch_order from got2 g join newest t using (address)
+    select seed, tx_hash, min(row(level, g.address, -block_time, tx_hash)) as fetch_order from got2 g join addrtx t using (address)
     group by 1, 2""")
 view("flows", """
     select distinct seed, c.tx_hash, side, address, floor(block_time / 1209600)::bigint as time_step, fetch_order
@@ -162,6 +158,7 @@ view("flowpair", """
     select distinct a.seed, a.address as src, b.address as dst from flows a join flows b using (seed, tx_hash)
     where a.side = 'in' and b.side = 'out' and a.address <> b.address""")
 view("flowund", "select seed, src as node, dst as nbr from flowpair union select seed, dst, src from flowpair")
+# Three levels of lookups reach at most two hops each, so a walk of eight hops is never cut short.
 view("flowwalk", """
     select seed, seed, 0 from live0 union
     select w.seed, nbr, hop + 1 from flowwalk w join flowund u on u.seed = w.seed and u.node = w.node where hop < 8""", "seed, node, hop")

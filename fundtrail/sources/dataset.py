@@ -34,11 +34,12 @@ def find_files(spark: SparkSession, root: str, *keywords: str) -> list[str]:
     return sorted(found)
 
 
-def _one(spark: SparkSession, root: str, *keywords: str) -> str:
+def matching_files(spark: SparkSession, root: str, *keywords: str) -> list[str]:
+    """All CSV files with the keywords in their names, which are read as one table; at least one."""
     files = find_files(spark, root, *keywords)
     if not files:
         raise FileNotFoundError(f"no CSV with {keywords} in its name under {root}")
-    return files[0]
+    return files
 
 
 def scan_features(spark: SparkSession, path, n_features: int = N_FEATURES) -> DataFrame:
@@ -72,19 +73,17 @@ def scan_edges(spark: SparkSession, path) -> DataFrame:
 
 
 def scan_address_map(spark: SparkSession, root: str) -> DataFrame:
-    """(address, tx_id) from the first address or actor file; an empty table where there is none.
+    """(address, tx_id) from all address and actor files that have both columns; empty where there is none.
 
     Column names are matched without regard to case.
     """
-    empty = spark.createDataFrame([], "address string, tx_id string")
-    files = sorted(set(find_files(spark, root, "addr") + find_files(spark, root, "actor")))
-    if not files:
-        return empty
-    df = spark.read.csv(files[0], header=True)
-    by_name = {c.lower(): c for c in df.columns}
-    if not {"address", "tx_id"} <= set(by_name):
-        return empty
-    return df.select(F.col(by_name["address"]).alias("address"), F.col(by_name["tx_id"]).alias("tx_id"))
+    found = spark.createDataFrame([], "address string, tx_id string")
+    for path in sorted(set(find_files(spark, root, "addr") + find_files(spark, root, "actor"))):
+        df = spark.read.csv(path, header=True)
+        by_name = {c.lower(): c for c in df.columns}
+        if {"address", "tx_id"} <= set(by_name):
+            found = found.union(df.select(by_name["address"], by_name["tx_id"]))
+    return found
 
 
 def id_set_diff(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -115,16 +114,18 @@ def alignment_counts(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 def load_dataset(spark: SparkSession, root: str, n_features: int = N_FEATURES) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from a folder, after the same checks a loader must make."""
-    features_path = _one(spark, root, "features")
+    features_path = matching_files(spark, root, "features")
     wrong = check_feature_width(spark, features_path, n_features).take(1)
     if wrong:
         raise DatasetError(f"expected {n_features + 1} columns, found {wrong[0]['columns']}")
     features = scan_features(spark, features_path, n_features)
-    labels = scan_labels(spark, _one(spark, root, "classes"))
-    unknown = [r["class"] for r in bad_classes(labels).orderBy("class").take(20)]
+    labels = scan_labels(spark, matching_files(spark, root, "classes"))
+    strange = bad_classes(labels)
+    unknown = [r["class"] for r in strange.orderBy("class").take(20)]
     if unknown:
-        raise DatasetError(f"unrecognised class labels: {unknown}")
-    if id_set_diff(features, labels).take(1):
-        raise DatasetError("feature and class files hold different ids")
-    edges = scan_edges(spark, _one(spark, root, "edgelist"))
+        raise DatasetError(f"{strange.count()} unrecognised class labels, among them {unknown}")
+    ids = alignment_counts(features, labels).first()
+    if ids["features_only"] or ids["labels_only"]:
+        raise DatasetError(f"{ids['features_only']} ids only in the feature files, {ids['labels_only']} only in the class files")
+    edges = scan_edges(spark, matching_files(spark, root, "edgelist"))
     return align_features(features, labels), edges

@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import inr_to_btc
+from ..operators.ranking import global_rank
+from ..session import path_exists
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """(position, line). The position is the byte-ordered place of a line within its read."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"))
+    """(position, line). Lines are numbered file by file in path order and downwards in each file.
+
+    Spark deals files out by size, so the number of a line within its read says nothing across files.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+    )
+    return global_rank(rows, [F.col("file"), F.col("block"), F.col("place")], "position").select("position", "line")
 
 
 def _content(lines: DataFrame) -> DataFrame:
@@ -56,17 +65,11 @@ def complaints(rows: DataFrame) -> DataFrame:
 
 def read_mixers(spark: SparkSession, path: str | None) -> DataFrame:
     """An absent list is an empty list."""
-    return parse_mixers(read_lines(spark, path)) if _exists(spark, path) else spark.createDataFrame([], "mixer_id string")
+    return parse_mixers(spark.read.text(path).select(F.col("value").alias("line"))) if path_exists(spark, path) else spark.createDataFrame([], "mixer_id string")
 
 
 def read_exchange_tags(spark: SparkSession, path: str | None) -> DataFrame:
-    if _exists(spark, path):
+    if path_exists(spark, path):
         return parse_exchange_tags(read_lines(spark, path))
     return spark.createDataFrame([], "address string, name string, source string, jurisdiction string, position long")
 
-
-def _exists(spark: SparkSession, path: str | None) -> bool:
-    if not path:
-        return False
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

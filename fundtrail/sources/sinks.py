@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_normalised(path: str, nodes: DataFrame, edges: DataFrame, split: DataFrame) -> None:
@@ -27,13 +28,14 @@ def load_cluster_report(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_audit(path: str, report: DataFrame, run_id: str) -> None:
-    """One line per run; earlier runs stay."""
-    report.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("append").json(path)
+    """One line per run, with the time of writing; earlier runs stay."""
+    report.withColumns({"run_id": F.lit(run_id), "written_at": F.current_timestamp()}).coalesce(1).write.mode("append").json(path)
 
 
 def latest_audit(spark: SparkSession, path: str, schema) -> DataFrame:
-    runs = spark.read.schema(schema).json(path)
-    return runs.orderBy(F.desc("run_id")).limit(1)
+    """The run written last, whatever its id."""
+    runs = spark.read.schema(T.StructType([*schema.fields, T.StructField("written_at", T.TimestampType())])).json(path)
+    return runs.orderBy(F.desc("written_at")).limit(1).drop("written_at")
 
 
 def write_ledger_csv(path: str, ledger: DataFrame) -> None:

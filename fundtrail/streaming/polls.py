@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.money import fee_rate, sats_to_btc, sats_to_inr
 from ..operators.ranking import running_last
+from ..session import materialize, path_exists, remove_path
+from .watchlist import read_watchlist
+
+COMPACT_EVERY = 100
 
 # Fixed format: one poll of one address.
 POLL_SCHEMA = """
@@ -126,33 +130,63 @@ def alert_history(outcomes: DataFrame, bucket: Column) -> DataFrame:
     return filled.select("poll_id", "address", "poll_ts", F.col("settled.alert").alias("alert"), "reason", "last_ok_ts")
 
 
-def stream_alert_state(polls: DataFrame, watchlist: DataFrame, sink: str, checkpoint: str, trigger: dict):
-    """Start the monitoring query. Each batch adds the addresses it changed under its own
-    batch folder, so a repeated batch replaces itself and readers never see a gap."""
-    state = alert_state(read_polls(watched_polls(polls, watchlist)))
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+def stream_alert_state(polls: DataFrame, sink: str, checkpoint: str, trigger: dict, compact_every: int = COMPACT_EVERY):
+    """Start the monitoring query.
+
+    State is kept for every polled address; the watch list applies when the state is read, so wallets may be added and
+    removed while the stream runs. Each batch adds the addresses it changed under its own batch folder, so a repeated batch
+    replaces itself. Every ``compact_every`` batches the folder holds one row per address and the older
+    ones are removed; until they are gone, readers find the same newest rows.
+    """
+    state = alert_state(read_polls(polls))
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = batch
+        older = [] if n == 0 or n % compact_every else [p for p in batch_folders(spark, sink) if p[0] <= n]
+        if older:
+            known = spark.read.schema(rows.schema).option("basePath", sink).parquet(*[p for _, p in older])
+            rows = materialize(newest_states(rows.withColumn("batch", F.lit(n + 1)).unionByName(known)), "alert-state")
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        for m, path in older:
+            if m < n:
+                remove_path(spark, path)
+
     return (
         state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         .foreachBatch(write).trigger(**trigger).start()
     )
 
 
-def read_alert_state(spark: SparkSession, sink: str, watchlist: DataFrame | None = None) -> DataFrame:
-    """The newest state of every address from the batches written so far.
+def batch_folders(spark: SparkSession, sink: str) -> list[tuple[int, str]]:
+    """Number and path of the batch folders; at most ``compact_every`` of them between two compactions."""
+    if not path_exists(spark, sink):
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    paths = [s.getPath() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    named = [(p.getName(), p.toString()) for p in paths]
+    return sorted((int(name.removeprefix("batch=")), path) for name, path in named if name.startswith("batch="))
 
-    With the current ``watchlist``, wallets taken off it since the stream began are dropped.
-    """
-    rows = spark.read.parquet(sink)
-    if watchlist is not None:
-        rows = rows.join(watchlist.select("address"), "address", "left_semi")
+
+def newest_states(rows: DataFrame) -> DataFrame:
     columns = [c for c in rows.columns if c not in ("address", "batch")]
     return rows.groupBy("address").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("address", "s.*")
 
 
-def stream_alerts(polls: DataFrame, watchlist: DataFrame, sink: str, checkpoint: str, trigger: dict):
-    """Start the alert feed: one appended row per poll with a relevant transaction."""
-    alerts = mempool_alerts(read_polls(watched_polls(polls, watchlist)))
-    return (
-        alerts.writeStream.format("parquet").option("path", sink)
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
-    )
+def read_alert_state(spark: SparkSession, sink: str, watchlist: str) -> DataFrame:
+    """The newest state of every address that is on the list now, from the batches written so far."""
+    rows = spark.read.parquet(sink)
+    return newest_states(rows.join(read_watchlist(spark, watchlist).select("address"), "address", "left_semi"))
+
+
+def stream_alerts(polls: DataFrame, watchlist: str, sink: str, checkpoint: str, trigger: dict):
+    """Start the alert feed: one row per poll with a relevant transaction of a wallet that is on the list at the time.
+
+    Each batch has its own folder below ``sink``; a repeated batch replaces itself.
+    """
+    alerts = mempool_alerts(read_polls(polls))
+
+    def write(batch: DataFrame, n: int) -> None:
+        watched_polls(batch, read_watchlist(batch.sparkSession, watchlist)).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+
+    return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()

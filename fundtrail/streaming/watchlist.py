@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
+
 WATCH_SCHEMA = "address string, verdict string"
 
 
+def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
+    """The list as it is now; one that was never written is empty."""
+    reader = spark.read.schema(WATCH_SCHEMA)
+    return reader.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], WATCH_SCHEMA)
+
+
 def new_watch_items(verdicts: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Flagged wallets not on the list yet; addresses are compared without regard to case."""
     listed = watchlist.select(F.lower("address").alias("_key")).distinct()
@@ -23,11 +31,10 @@ def watchlist_insert(verdicts: DataFrame, watchlist: DataFrame) -> DataFrame:
 def stream_watchlist(verdicts: DataFrame, path: str, checkpoint: str, trigger: dict):
     """Feed a stream of (address, verdict) into the watch-list table at ``path``.
 
-    The table is read afresh in each batch, so a repeated batch adds nothing twice.
+    The table is read afresh in each batch, so a repeated batch adds nothing twice, and need not exist at the start.
     """
 
     def upsert(batch: DataFrame, _: int) -> None:
-        listed = batch.sparkSession.read.schema(WATCH_SCHEMA).parquet(path)
-        new_watch_items(batch, listed).write.mode("append").parquet(path)
+        new_watch_items(batch, read_watchlist(batch.sparkSession, path)).write.mode("append").parquet(path)
 
     return verdicts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -28,12 +28,12 @@ def raw(tmp_path_factory):
 
 
 def test_from_files_to_cases(spark, raw, tmp_path):
-    store, p = str(tmp_path / "store"), Params(forest_trees=5)
+    store, p = str(tmp_path / "store"), Params(forest_trees=5, forest_depth=3)
     audit = jobs.ingest(spark, raw, store, "run-1", p, n_features=2).first()
     assert audit["leakage_free"] and audit["time_span_ok"]
     assert (audit["n_entities"], audit["n_train_txs"], audit["n_val_txs"], audit["n_test_txs"]) == (20, 84, 18, 18)
 
-    report = jobs.train(spark, store, p, max_depth=3).first()
+    report = jobs.train(spark, store, p).first()
     assert report["illicit_recall"] == 1.0 and report["n_train_txids"] == 70
 
     mixers = spark.createDataFrame([("c01n0",)], "mixer_id string")
@@ -60,12 +60,28 @@ def test_from_files_to_cases(spark, raw, tmp_path):
         1: ("elliptic-indexed", "pipeline", "confirmed"), 2: ("not-found-on-chain", "empty", None),
         3: ("live-lookup", "pipeline", "watch"), 4: ("invalid-address-format", "empty", None),
     }
-    row = summary.first()
+    rows = {r["case_id"]: r for r in summary.collect()}
+    assert (set(rows), rows[3]["verdict"], rows[3]["node_count"], rows[3]["ml_score"]) == ({1, 3}, "watch", 13, None)
+    row = rows[1]
     assert (row["case_id"], row["node_count"], row["edge_count"], row["hop_count"]) == (1, 5, 4, 2)
     assert (row["risk_level"], row["attributed_vasp"], row["verdict"]) == ("CRITICAL", "Exchange", "confirmed")
 
-    few = jobs.verdicts(spark, store, mixers, p, scored=False, max_wallets=7)
-    assert few.count() == 7 and few.where(F.col("classified")).count() == 0
+    # Everything that can go wrong with a report keeps an outcome of its own.
+    reports = spark.createDataFrame(
+        [(1, "c03n2", 1.0, 5), (2, GENESIS, 1.0, 2), (3, OTHER, 1.0, 2), (4, OTHER, 1.0, 2), (5, OTHER, 1.0, 2), (6, GENESIS, 1.0, None), (7, OTHER, 1.0, 11), (8, "nonsense", 1.0, 2)],
+        "case_id int, wallet string, amount double, hop_depth int",
+    )
+    attempts = spark.createDataFrame([(GENESIS, 429, False), (GENESIS, None, True)], "address string, status int, timed_out boolean")
+    requests = spark.createDataFrame([(3, 400, False, None), (4, None, False, None), (5, None, True, None)], "case_id int, status int, aborted boolean, retryable boolean")
+    lost = spark.createDataFrame([("c03n2",)], "wallet string")
+    outcomes, summary = jobs.trace_cases(spark, store, reports, io.union(io), mixers, p, attempts, requests, lost)
+    got = {r["case_id"]: r["outcome"] for r in outcomes.collect()}
+    assert got == {1: "pipeline", 2: "retryable", 3: "invalid_input", 4: "fallback", 5: "retryable", 6: "retryable", 7: "invalid_input", 8: "empty"}
+    row = summary.where("case_id = 1").first()
+    assert (row["attributed_vasp"], row["hop_count"]) == ("lookup unavailable", 3)
+
+    unscored = jobs.verdicts(spark, store, mixers, p, scored=False)
+    assert unscored.count() == 120 and unscored.where(F.col("classified")).count() == 0
 
 
 def test_spanning_entities_fail_the_job_but_not_the_audit(spark, tmp_path):

@@ -77,7 +77,7 @@ def traced(spark, txs, hop_depth, **changes):
     io = io_df(spark, txs)
     seeds = spark.createDataFrame([("seed",), ("ghost",)], "seed string")
     p = Params(**changes)
-    return io, live.bounded_expansion(seeds, io, p, hop_depth), p
+    return io, live.bounded_expansion(seeds, io, hop_depth, p), p
 
 
 def test_expansion_levels_caps_and_unknown_seed(spark):
@@ -115,6 +115,29 @@ def test_wide_transaction_walks_without_pairs(spark):
     assert {r["hop"]: r["n"] for r in hops.groupBy("hop").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 150, 2: 150}
 
 
+def test_a_mixer_behind_many_payees_is_still_found(spark):
+    """Six hundred addresses closer in the alphabet than the mixer that paid the seed."""
+    wide = {"w": (["seed"], [f"a{k:03d}" for k in range(600)], DAY), "m": (["zmixer"], ["seed"], DAY)}
+    io, found, p = traced(spark, wide, 2)
+    flows = live.case_flows(found, io)
+    nodes = live.live_nodes(flows, live.live_hops(flows, spark.createDataFrame([("seed",)], "seed string")))
+    row = live.live_rules(nodes, flows, spark.createDataFrame([("zmixer",)], "mixer_id string"), p).first()
+    assert (row["mixer_fired"], row["mixer_id"], row["hops_from_mixer"], row["fanout_fired"], row["out_degree"], row["in_degree"]) == (True, "zmixer", 1, True, 600, 1)
+
+
+def test_sole_neighbours_leave_the_node_itself_out(spark):
+    io, found, _ = traced(spark, {"t1": (["seed", "x"], ["seed", "y"], DAY), "t2": (["y"], ["z", "y"], DAY), "t3": (["q"], ["seed"], DAY)}, 3)
+    got = {r["address"]: tuple(r)[2:] for r in live.sole_neighbours(live.case_flows(found, io)).collect()}
+    assert got["seed"] == ("y", "y", "q", "x") and got["y"] == ("z", "z", "seed", "x") and got["q"] == ("seed", "seed", None, None)
+
+
+def test_repeated_landings_count_once(spark):
+    io = io_df(spark, {"t1": (["a"], ["b", "c"], DAY)})
+    again = io.union(io.withColumn("block_time", F.lit(None).cast("long")))
+    assert sorted(map(tuple, utxo.dedupe_io(again).collect())) == sorted(map(tuple, io.collect()))
+    assert utxo.change_outputs(utxo.dedupe_io(again)).collect() == utxo.change_outputs(io).collect()
+
+
 def test_verdicts(spark):
     rules = spark.createDataFrame(
         [("both", ["peel_chain"], 40), ("rule", ["peel_chain"], 40), ("learned", [], 0), ("none", [], 0), ("unscored", ["rapid_fan_out"], 30), ("neither", [], 0)],
@@ -191,7 +214,7 @@ def test_training_uses_labelled_rows_and_leaves_unknown_wallets_unscored(spark,
     chosen = {r["split"]: r["n"] for r in learn.train_split(nodes, split).groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert chosen == {"train": 40, "test": 10}
     path = str(tmp_path / "model")
-    _, report = learn.train_and_evaluate(nodes, split, Params(forest_trees=5), 3, path, f"{path}-report")
+    _, report = learn.train_and_evaluate(nodes, split, Params(forest_trees=5, forest_depth=3), path, f"{path}-report")
     row = report.first()
     assert row["illicit_recall"] == 1.0 and row["weight_illicit"] == 1.0 and row["n_estimators"] == 5
     risks = learn.predict_risk(learn.load_model(path), nodes)

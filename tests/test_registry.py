@@ -5,12 +5,14 @@ all of them with ``ALL_QUERIES=1``.
 """
 
 import os
+import pathlib
 import re
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from fundtrail.plans import catalog
 
 FAST = (
     "scan_edges hubs peel_links fan_out mixer_adjacent subgraph_stats time_split leakage_report batch_verdicts "
@@ -21,10 +23,17 @@ UNCHECKED = {"train_model", "train_and_evaluate", "model_eval_report", "sink_mod
 
 
 def test_only_queries_without_a_sql_form_lack_a_check():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == UNCHECKED
+    assert set(catalog.queries()) - set(catalog.checks()) == UNCHECKED
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_registry_does_without_the_text_operators():
+    """Only the entry module knows of the optional subpackage; nothing else in the package imports it."""
+    package = pathlib.Path(entry.__file__).parent / "fundtrail"
+    users = [p for p in package.rglob("*.py") if "llm" not in p.parts and re.search(r"\bllm\b", p.read_text())]
+    assert users == []
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return connect(sf_dir)

@@ -207,10 +207,35 @@ def test_state_as_a_stream_over_late_files(spark, tmp_path):
     for part in (rows.where(F.col("poll_id") < count // 2), rows.where(F.col("poll_id") >= count // 2)):
         part.repartition(4).write.mode("append").json(str(landing))
         stream = watch.stream_polls(spark, str(landing), max_files=2)
-        watch.stream_alert_state(stream, listed, str(tmp_path / "state"), str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
-    assert as_dict(watch.read_alert_state(spark, str(tmp_path / "state"))) == WANT
-    kept = spark.createDataFrame([("raise",)], "address string")
-    assert set(as_dict(watch.read_alert_state(spark, str(tmp_path / "state"), kept))) == {"raise"}
+        watch.stream_alert_state(stream, str(tmp_path / "state"), str(tmp_path / "cp"), {"availableNow": True}, compact_every=2).awaitTermination()
+    path = str(tmp_path / "list")
+    state = lambda: as_dict(watch.read_alert_state(spark, str(tmp_path / "state"), path))
+    assert state() == {}  # nobody is listed yet
+    listed.withColumn("verdict", F.lit("watch")).write.parquet(path)
+    assert state() == WANT
+    spark.createDataFrame([("raise", "watch")], watchlist.WATCH_SCHEMA).write.mode("overwrite").parquet(path)
+    assert set(state()) == {"raise"}
+    assert len(watch.batch_folders(spark, str(tmp_path / "state"))) <= 2
+
+
+def test_alert_feed_follows_the_list_of_a_running_stream(spark, tmp_path):
+    landing, path = tmp_path / "landing", str(tmp_path / "list")
+    rows = transition_polls(spark).where("address = 'raise'")
+    landing.mkdir()
+    feed = watch.stream_alerts(watch.stream_polls(spark, str(landing)), path, str(tmp_path / "alerts"), str(tmp_path / "cp"), {"processingTime": "100 milliseconds"})
+    try:
+        rows.coalesce(1).write.mode("append").json(str(landing))
+        feed.processAllAvailable()
+        spark.createDataFrame([("raise", "watch")], watchlist.WATCH_SCHEMA).write.parquet(path)
+        rows.withColumn("poll_id", F.col("poll_id") + 1000).coalesce(1).write.mode("append").json(str(landing))
+        feed.processAllAvailable()
+        spark.createDataFrame([], watchlist.WATCH_SCHEMA).write.mode("overwrite").parquet(path)
+        rows.withColumn("poll_id", F.col("poll_id") + 2000).coalesce(1).write.mode("append").json(str(landing))
+        feed.processAllAvailable()
+    finally:
+        feed.stop()
+    got = [r["poll_id"] for r in spark.read.parquet(str(tmp_path / "alerts")).collect()]
+    assert got and all(1000 <= i < 2000 for i in got)
 
 
 def test_unlisted_addresses_are_not_watched(spark):
