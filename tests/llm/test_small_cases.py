@@ -314,7 +314,7 @@ def brute_components(rows):
     return Counter((d, len(sets[i]), lowest[find(i)], links[i]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [1500, 4])
+@pytest.mark.parametrize("block", [1500, 4, 1])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
     monkeypatch.setattr(ngram_join, "HOT", 5)
