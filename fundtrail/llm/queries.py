@@ -215,9 +215,10 @@ from d left join n using (rid)
 
 @query("op8_line_runs", LINE_SQL)
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines only, as LINE_SQL has it; ``clean_lines`` by default also takes shorter runs of many words."""
     from .line_dedup import clean_lines
 
-    found = clean_lines(table(spark, sf_dir, "documents"))
+    found = clean_lines(table(spark, sf_dir, "documents"), min_words=None)
     return found.select("doc_id", "n_lines", "n_deleted", "n_runs", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 

@@ -225,6 +225,34 @@ def test_line_runs_name_their_source(spark):
     assert [tuple(r) for r in runs] == [(keys[2], 1, 5, keys[1], 2)]
 
 
+@pytest.mark.parametrize("m", [3, 4])
+def test_short_runs_of_many_words(spark, m):
+    long, half, other = prose(60, 50), prose(61, 25), prose(62, 25)
+    han = "\u4e2d" * 50
+    rows = [
+        (1, f"{long}\na\nb"), (2, f"x\n{long}\ny"), (3, f"{half}\n{other}"), (4, f"p\nq\n{half}\n{other}"), (5, f"{half}\nc\n{other}"), (6, long), (7, f"{half}\n{other}"),
+        (8, half), (9, half), (10, f"d\n{han}"), (11, f"{han}\ne"), (12, f"{half}\n\n{other}"), (13, f"f\n{half}\n\n{other}\ng\nh"), (None, long), (6, long), (14, " " * 400), (15, " " * 400),
+    ]
+    size = lambda ls: sum(len(re.sub("\u4e2d", " x ", x).split()) for x in ls)
+    wanted, seen, same = Counter(), set(), {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if (d, t) not in same:
+            lines, gone = t.split("\n"), set()
+            for k in range(1, m + 1):
+                for i in range(len(lines) - k + 1):
+                    w = tuple(lines[i : i + k])
+                    if size(w) >= (1 if k == m else 50):
+                        gone |= set(range(i, i + k)) if w in seen else set()
+                        seen.add(w)
+            same[d, t] = (d, len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+        wanted[same[d, t]] += 1
+    got = Counter((r["doc_id"], r["n_deleted"], r["kept"]) for r in line_dedup.clean_lines(frame(spark, rows), m).collect())
+    assert got == wanted
+    assert {(2, 1, "x\ny"), (4, 2, "p\nq"), (7, 2, ""), (9, 0, half), (11, 1, "e"), (15, 0, " " * 400)} <= set(got)
+    runs = line_dedup.line_runs(line_dedup.repeated_windows(frame(spark, rows[:2]), m)).collect()
+    assert [(r["start"], r["lines"], r["source_start"]) for r in runs] == [(1, 1, 0)]
+
+
 @pytest.mark.parametrize("m", [1, 2, 4, 5])
 def test_line_windows_of_other_depths(spark, m):
     rng = np.random.default_rng(m)
