@@ -7,7 +7,9 @@ parent with rate ``m`` has the posterior Beta(m * s + bad, (1 - m) * s + n - bad
 strength ``s`` of the level is fitted by the method of moments over all units of that level.
 
 The posterior's lower bound is its mean less ``z`` standard deviations; a page whose host's bound lies
-above ``limit`` is blocked. So hosts known too little, or not at all, are allowed.
+above ``limit`` is blocked. A host without labelled pages has its domain's posterior mean, that of the suffix where the
+domain has none either and the overall rate where the suffix has none, with the same bound. Without any labelled
+page at all nothing is known and all hosts are allowed.
 
 Null or empty urls, or urls without ``://``, have an empty host and path, match no rule and are judged as
 the host ``''``. Repeated rows give repeated results; an empty table gives an empty result.
@@ -84,7 +86,7 @@ def _shrunk(units: DataFrame, key: str, n: str, bad: str, mean: Column) -> DataF
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, low): one row per host of ``pages`` that has a labelled page.
+    """(host, n, bad, mean, low): one row per host of ``pages``; ``low`` is null if no page at all is labelled.
 
     ``pages`` has page_id and host, ``labels`` page_id and bad (0 or 1). Pages are counted per host
     ahead of every join up the levels, so a hot host is one row.
@@ -92,7 +94,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     suffix = suffix_of(F.col("host"))
     hosts = (
-        pages.join(known, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+        pages.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     )
     hosts = materialize(hosts, "host-counts")
@@ -102,7 +104,8 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     suffixes = _shrunk(up(["suffix"]), "suffix", "n", "bad", F.lit(m0)).select("suffix", "suffix_mean")
     domains = _shrunk(up(["suffix", "domain"]).join(suffixes, "suffix"), "domain", "n", "bad", F.col("suffix_mean")).select("domain", "domain_mean")
     out = _shrunk(hosts.join(domains, "domain"), "host", "n", "bad", F.col("domain_mean"))
-    return out.select("host", "n", "bad", F.col("host_mean").alias("mean"), (F.col("host_mean") - Z * F.sqrt("host_var")).alias("low"))
+    low = F.col("host_mean") - Z * F.sqrt("host_var") if all_pages["n"] else F.lit(None).cast("double")
+    return out.select("host", "n", "bad", F.col("host_mean").alias("mean"), low.alias("low"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], limit: float = LIMIT) -> DataFrame:

@@ -59,6 +59,22 @@ def test_reputation_shrinks_hosts_towards_their_domain(spark):
     assert url_reputation.judge_urls(pages.limit(0), labels, URL_RULES).collect() == []
 
 
+def test_hosts_without_labels_take_their_domain_suffix_or_the_overall_rate(spark):
+    rows = [(f"http://h{h}.bad.org/", h, i, i < 9) for h in range(8) for i in range(10)] + [(f"http://h{h}.good.net/", h, i, i < 1) for h in range(8) for i in range(10)]
+    labelled = [(n, u, int(b)) for n, (u, _, _, b) in enumerate(rows)]
+    new = [(900, "http://new.bad.org/"), (901, "http://new.good.net/"), (902, "http://a.other.org/"), (903, "http://a.other.net/"), (904, "http://a.b.info/"), (905, None)]
+    pages = spark.createDataFrame([(n, u) for n, u, _ in labelled] + new, "page_id long, url string")
+    labels = spark.createDataFrame([(n, b) for n, _, b in labelled], "page_id long, bad int")
+    hosts = pages.select("page_id", url_reputation.host_and_path(F.col("url"))[0].alias("host"))
+    mean = {r["host"]: (r["n"], r["mean"]) for r in url_reputation.host_reputation(hosts, labels).collect()}
+    assert mean["new.bad.org"][0] == 0 and mean["new.bad.org"][1] == pytest.approx(0.9, abs=0.05) and mean["new.good.net"][1] == pytest.approx(0.1, abs=0.05)
+    assert mean["a.b.info"][1] == mean[""][1] == pytest.approx(0.5)
+    assert mean["a.other.net"][1] < 0.5 < mean["a.other.org"][1]
+    got = {r["page_id"]: r["verdict"] for r in url_reputation.judge_urls(pages, labels, []).collect()}
+    assert (got[900], got[901], got[0], got[80]) == ("block", "allow", "block", "allow")
+    assert {r["verdict"] for r in url_reputation.judge_urls(pages, labels.limit(0), []).collect()} == {"allow"}
+
+
 def test_suffix_and_domain(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "host string")
     s = url_reputation.suffix_of(F.col("host"))
