@@ -3,9 +3,10 @@
 Every run of k words of every text and of every template is hashed; Spark joins the two on the hash. A hit
 at word p of a text and word q of a template votes for the diagonal p - q, the place where the template
 would start. A short phrase is found where one diagonal holds a vote from each of its k-grams. For
-longer templates, diagonals at most ``DRIFT`` apart are merged, which bridges words put in or left out, and a
-merged span counts when the template's words recur in its text in order to at least ``COVER``. Both kinds
-are verified on the words of the text before they count.
+longer templates, diagonals at most ``DRIFT`` apart are merged, which bridges words put in or left out. A
+merged span reaches over the whole template on its diagonals and ``DRIFT`` words more, and counts when the template's words
+recur in its text in order to at least ``COVER``. Both kinds are verified on the words of the text before they count. One
+k-gram left whole is enough for a span; a notice without any is not seen.
 
 A null or empty text has no words, places or labels. Rows with one doc_id and one text are scanned once and
 returned as often as they stand; an empty table gives an empty result. Overlapping places all count.
@@ -19,7 +20,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -106,19 +107,19 @@ def hits(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
     )
 
 
-def spans(votes: DataFrame) -> DataFrame:
-    """(doc_id, key, template, start, stop, votes): diagonals, neighbours merged, with their words from start to stop.
+def spans(votes: DataFrame, size: Column) -> DataFrame:
+    """(doc_id, key, template, start, stop): diagonals, neighbours merged, with the words where a template of ``size`` words may lie.
 
     Diagonals are far fewer than words: only k-grams that a template has get here.
     """
-    per = votes.groupBy("doc_id", "key", "template", "diagonal").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.countDistinct("at").alias("v"))
+    per = votes.groupBy("doc_id", "key", "template", "diagonal").agg(F.min("at").alias("a"), F.max("at").alias("b"))
     order = Window.partitionBy("doc_id", "key", "template").orderBy("a", "diagonal")
     previous_end = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT) | (F.col("a") > previous_end + K + DRIFT)
     run = F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order)
     return (
         per.withColumn("run", run).groupBy("doc_id", "key", "template", "run")
-        .agg(F.min("a").alias("start"), (F.max("b") + K).alias("stop"), F.sum("v").alias("votes"), F.min("diagonal").alias("diagonal"))
+        .agg((F.min("diagonal") - DRIFT).alias("start"), (F.max("diagonal") + F.max(size) + DRIFT).alias("stop"))
     )
 
 
@@ -142,14 +143,17 @@ def _verify(templates: Sequence[Template]):
                             a, n = s["start"], len(t)
                             found = 1.0 if a >= 0 and a + n <= w.counts[d] and [word(i) for i in range(a, a + n)] == t else 0.0
                         else:
-                            text = [word(i) for i in range(s["start"], s["stop"])]
-                            found = sum(m.size for m in SequenceMatcher(None, text, t, autojunk=False).get_matching_blocks()) / len(t)
-                            looser.append((found, s))
+                            a = max(s["start"], 0)
+                            text = [word(i) for i in range(a, min(s["stop"], int(w.counts[d])))]
+                            same = [m for m in SequenceMatcher(None, text, t, autojunk=False).get_matching_blocks() if m.size]
+                            found = sum(m.size for m in same) / len(t)
+                            if found >= COVER:
+                                looser.append((found, s | {"start": a + same[0].a, "stop": a + same[-1].a + same[-1].size}))
                             continue
                         out.append((r["doc_id"], r["key"], s["template"], s["start"], found))
-                    taken: list[dict] = []  # of notices found at one place the closest counts
+                    taken: list[dict] = []  # of notices found at one place, with more than chance words in common, the closest counts
                     for found, s in sorted(looser, key=lambda x: (-x[0], x[1]["template"], x[1]["start"])):
-                        if all(s["start"] >= o["stop"] or s["stop"] <= o["start"] for o in taken):
+                        if all(min(s["stop"], o["stop"]) - max(s["start"], o["start"]) <= DRIFT for o in taken):
                             taken.append(s)
                             out.append((r["doc_id"], r["key"], s["template"], s["start"], found))
             cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -175,7 +179,7 @@ def scan(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Tem
         .where(F.col("v") == F.element_at(size, F.col("template")))
         .select("doc_id", "key", "template", F.col("diagonal").cast("long").alias("start"), F.col("diagonal").cast("long").alias("stop"))
     )
-    longer = spans(votes.where(~exact)).where(F.col("votes") >= F.lit(COVER / 2) * F.element_at(size, F.col("template")))
+    longer = spans(votes.where(~exact), F.element_at(size, F.col("template")) + K - 1)
     candidates = phrases.unionByName(longer.select("doc_id", "key", "template", F.col("start").cast("long"), F.col("stop").cast("long")))
     per_doc = materialize(
         candidates.groupBy("doc_id", "key").agg(F.collect_list(F.struct("template", "start", "stop")).alias("spans")), "license-candidates"

@@ -216,6 +216,19 @@ def test_notices_with_words_put_in_or_left_out(spark):
     assert got == {1: (0, "", "mit"), 2: (0, "", "gpl-3"), 3: (0, "", "")}
 
 
+def test_notices_with_few_whole_grams(spark):
+    a, b = prose(70, 40), prose(71, 40)
+    gpl = licenses.NOTICES[0].text.split()
+    changed = lambda *at: " ".join("zz" if i in at else x for i, x in enumerate(gpl))
+    both = f"{gpl[0]} zz {' '.join(gpl[2:])} licensed under a creative commons attribution 4 0 zz license"
+    texts = [
+        f"{a} {changed(1, 4)} {b}", changed(1, 4), changed(2, 5), f"{a} {changed(1, 7)} {b}", f"{a} {changed(1, 3, 5)} {b}", f"{a} {' '.join(gpl[:5])} {b}", f"{a} {both} {b}",
+        f"{a} gnu general public {b}",
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "gpl-3", 1: "gpl-3", 2: "gpl-3", 3: "gpl-3", 4: "", 5: "", 6: "cc-by,gpl-3", 7: ""}
+
+
 # --- Line runs
 
 
