@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -28,7 +28,7 @@ from .text import ascii_lower
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
-#: Suffixes of two labels; any other suffix is the last label.
+#: Default suffixes; any other suffix is the last label. ``read_suffixes`` gives the whole public list.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 Z = 1.645
 LIMIT = 0.30
@@ -52,10 +52,24 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return F.concat(best["host"], best["path"]), best["verdict"]
 
 
-def suffix_of(host: Column) -> Column:
+def read_suffixes(spark: SparkSession, path: str) -> list[str]:
+    """Rules of a file in the format of the public suffix list, names in other scripts also in their ASCII form."""
+    rules = [r["value"].split()[0] for r in spark.read.text(path).collect() if r["value"].strip() and not r["value"].startswith("//")]
+    mark = lambda r: r[: len(r) - len(r.lstrip("*!."))]
+    coded = {mark(r) + r[len(mark(r)) :].encode("idna").decode() for r in rules}
+    return sorted({*rules, *coded})
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """Longest suffix that fits, or else the last label. ``*.x`` stands for any one label before x, ``!y.x`` exempts y.x from it."""
     labels = F.split(host, r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.element_at(labels, -1))
+    tail = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    plain = [x for x in suffixes if x[0] not in "*!"]
+    wild, exempt = [x[2:] for x in suffixes if x[0] == "*"], [x[1:] for x in suffixes if x[0] == "!"]
+    among = lambda i, names: tail(i).isin(names) if names else F.lit(False)
+    first = lambda fits: F.get(F.filter(F.sequence(F.lit(1), F.size(labels)), fits), 0)
+    longest = first(lambda i: among(i, plain) | among(i + 1, wild))
+    return tail(F.coalesce(first(lambda i: among(i, exempt)) + 1, longest, F.size(labels)))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -85,14 +99,14 @@ def _shrunk(units: DataFrame, key: str, n: str, bad: str, mean: Column) -> DataF
     return rows.select(*units.columns, post.alias(f"{key}_mean"), (post * (1 - post) / (total + 1)).alias(f"{key}_var"))
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, low): one row per host of ``pages``; ``low`` is null if no page at all is labelled.
 
     ``pages`` has page_id and host, ``labels`` page_id and bad (0 or 1). Pages are counted per host
     ahead of every join up the levels, so a hot host is one row.
     """
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    suffix = suffix_of(F.col("host"))
+    suffix = suffix_of(F.col("host"), suffixes)
     hosts = (
         pages.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
@@ -108,11 +122,11 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("host", "n", "bad", F.col("host_mean").alias("mean"), low.alias("low"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], limit: float = LIMIT) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], limit: float = LIMIT, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page."""
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = host_reputation(parts.select("page_id", "host"), labels).select("host", "low")
+    known = host_reputation(parts.select("page_id", "host"), labels, suffixes).select("host", "low")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("low") > limit, "block").otherwise("allow")
     return parts.join(known, "host", "left").select(

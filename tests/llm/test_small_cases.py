@@ -82,6 +82,24 @@ def test_suffix_and_domain(spark):
     assert got == [("co.uk", "b.co.uk"), ("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", "")]
 
 
+def test_suffixes_of_a_list(spark, tmp_path):
+    many = "\n".join(f"x{i}.zz" for i in range(10_000))
+    (tmp_path / "list.dat").write_text(f"// comment\n\ncom\nza\nco.za\n*.ck\n!www.ck\ncity.kawasaki.jp\njp\n\u516c\u53f8.cn\n{many}\n", encoding="utf-8")
+    rules = url_reputation.read_suffixes(spark, str(tmp_path / "list.dat"))
+    hosts = spark.createDataFrame([(x,) for x in ["a.b.co.za", "b.za", "a.b.c.ck", "a.www.ck", "www.ck", "a.city.kawasaki.jp", "a.xn--55qx5d.cn", "p.x9999.zz", "q.r.unknown", ""]], "host string")
+    s = url_reputation.suffix_of(F.col("host"), rules)
+    got = [tuple(r) for r in hosts.select(s, url_reputation.domain_of(F.col("host"), s)).collect()]
+    assert got == [
+        ("co.za", "b.co.za"), ("za", "b.za"), ("c.ck", "b.c.ck"), ("ck", "www.ck"), ("ck", "www.ck"), ("city.kawasaki.jp", "a.city.kawasaki.jp"), ("xn--55qx5d.cn", "a.xn--55qx5d.cn"),
+        ("x9999.zz", "p.x9999.zz"), ("unknown", "r.unknown"), ("", ""),
+    ]
+    pages = spark.createDataFrame([(i, f"http://bad.co.za/{i}") for i in range(20)] + [(20, "http://good.co.za/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(20, 0)], "page_id long, bad int")
+    known = pages.select("page_id", url_reputation.host_and_path(F.col("url"))[0].alias("host"))
+    mean = lambda *a: {r["host"]: r["mean"] for r in url_reputation.host_reputation(known, labels, *a).collect()}["good.co.za"]
+    assert mean(rules) != mean()
+
+
 # --- Quality cascade
 
 
