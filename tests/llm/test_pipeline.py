@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fundtrail.llm.queries import tokenizer_path
 from test_small_cases import SPACE_WORD, brute_components, brute_leaks, brute_targets, prose
@@ -64,6 +66,21 @@ def test_stages(spark, folder):
     assert Counter((r["doc_id"], r["n_tokens"]) for r in tokens(spark, docs, sf_dir).collect()) == wanted
 
 
+def test_texts_in_three_languages_stay(spark, tmp_path):
+    prose_of = {
+        "en": EN, "de": "das haus und der garten waren schon sehr alt und die kleine tür war geschlossen ",
+        "fr": "la maison et le jardin étaient assez vieux et cette porte était toujours fermée ",
+    }
+    rows = [(n, t * (1 + n % 3), lang) for n, (lang, t) in enumerate([*prose_of.items()] * 8)]
+    mixed = "".join(prose_of[x] for x in ("en", "de", "fr")) * 3
+    docs = spark.createDataFrame([*rows, (100, mixed, None), (101, "12 34", None)], "doc_id long, text string, lang string")
+    model = corpus_pipeline.langid.train(docs.where(corpus_pipeline.langid.learnable(F.col("doc_id"), F.col("lang"))))
+    score = {r["id"]: r["score"] for r in corpus_pipeline.langid.identify(docs, model).selectExpr("row.doc_id id", "score").collect()}
+    assert 0 < score[100] < 0.4
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r[0] for r in rows} | {100}
+
+
 def test_run_joins_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder[0]).collect()
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in rows)
