@@ -10,26 +10,28 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+#: Bits of a row's place within its partition, as monotonically_increasing_id has them.
+PLACE_BITS = 33
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Add a 1-based rank over the whole table.
+    """Add a 1-based rank over the whole table with one range exchange.
 
-    Rows are range partitioned and written once, so the partition ids are stable; the
-    offsets table has one row per range, which bounds the broadcast.
+    Rows are range partitioned, sorted and numbered in the write itself, so a row knows its range and its place
+    there. Ranks add the rows of the ranges before, a table with one row per range, which bounds the broadcast.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(
-        df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranked"
-    )
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    which, place = F.shiftright("_place", PLACE_BITS), F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_range").count()
-        .select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    )
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    offsets = ranged.groupBy(which.alias("_range")).agg(F.max(place).alias("_last"))
+    offsets = offsets.select("_range", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_offset"))
     return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(name, local + F.col("_offset"))
-        .drop("_range", "_offset")
+        ranged.withColumn("_range", which)
+        .join(F.broadcast(offsets), "_range")
+        .withColumn(name, place + F.col("_offset") + 1)
+        .drop("_range", "_offset", "_place")
     )
 
 
