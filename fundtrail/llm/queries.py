@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import prepare, table
+from .text import ascii_lower, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -222,6 +222,62 @@ def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", "n_runs", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 
+MERKLE_SQL = r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, source, lang, n_chars, text,
+         case when doc_id is not null and xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+           lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end))), 4294967295) % 3 = 0
+         then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as claimed from documents),
+e as (select rid, doc_id, lang, coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') as head,
+             coalesce(strlen(text) || ':' || text, '-') as body, coalesce(strlen(claimed) || ':' || claimed, '-') as other from d),
+l as (select rid, doc_id, lang, sha256(head || body) as leaf, sha256(head || other) as claim from e),
+p as (select *, dense_rank() over (order by lang nulls first) - 1 as g, row_number() over (partition by lang order by doc_id nulls first, leaf, rid) - 1 as place from l),
+tree as (
+  select 0 as lvl, g, place, leaf as digest from p
+  union all
+  select lvl + 1, g, place // 8, sha256(string_agg(digest, '' order by place)) from (select *, count(*) over (partition by g) as n from tree) where n > 1 group by lvl, g, place // 8),
+sub as (select g, max(lvl) as h from tree group by g),
+subroot as (select g, digest as subroot, h from tree join sub using (g) where lvl = h),
+top as (
+  select 0 as lvl, g as place, subroot as digest from subroot
+  union all
+  select lvl + 1, place // 8, sha256(string_agg(digest, '' order by place)) from (select *, count(*) over () as n from top) where n > 1 group by lvl, place // 8),
+root as (select max(lvl) as h, max_by(digest, lvl) as root from top),
+steps as (
+  select rid, t.lvl as step, coalesce(string_agg(n.digest, '' order by n.place) filter (n.place < p.place // (8 ** t.lvl)::bigint), '') as before,
+         coalesce(string_agg(n.digest, '' order by n.place) filter (n.place > p.place // (8 ** t.lvl)::bigint), '') as after
+  from p join subroot using (g) join (select distinct lvl from tree) t on t.lvl < h
+  join tree n on n.g = p.g and n.lvl = t.lvl and n.place // 8 = p.place // (8 ** (t.lvl + 1))::bigint group by rid, t.lvl
+  union all
+  select rid, subroot.h + t.lvl, coalesce(string_agg(n.digest, '' order by n.place) filter (n.place < p.g // (8 ** t.lvl)::bigint), ''),
+         coalesce(string_agg(n.digest, '' order by n.place) filter (n.place > p.g // (8 ** t.lvl)::bigint), '')
+  from p join subroot using (g) join root on true join (select distinct lvl from top) t on t.lvl < root.h
+  join top n on n.lvl = t.lvl and n.place // 8 = p.g // (8 ** (t.lvl + 1))::bigint group by rid, subroot.h, t.lvl),
+folds as (
+  select rid, 0 as step, claim as digest from p
+  union all
+  select rid, step + 1, sha256(before || digest || after) from folds join steps using (rid, step)),
+ends as (select rid, max_by(digest, step) as folded_root from folds group by rid),
+proofs as (select rid, sha256(string_agg(before || after, '' order by step)) as proof_sha256 from steps group by rid)
+select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from p join subroot using (g) join ends using (rid) join root on true left join proofs using (rid)
+"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; a third of the claims is about a lower-cased text."""
+    from . import merkle
+
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    claimed = {c: F.col(c) for c in merkle.COLUMNS} | {"text": F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))}
+    manifest = merkle.build_manifest(table(spark, sf_dir, "documents"), carry={"claim": merkle.leaf_digest(claimed)})
+    return merkle.verify(manifest, manifest.leaves).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", F.lit(manifest.root).alias("root"), merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run

@@ -13,7 +13,7 @@ def duck():
 
 def test_one_query_for_each_operator():
     names = list(queries.queries())
-    assert sorted(int(n.split("_")[0][2:]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n.split("_")[0][2:]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.checks()))
