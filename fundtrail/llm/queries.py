@@ -278,6 +278,29 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SEARCH_SQL = r"""
+with d as (select row_number() over () as rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select row_number() over () as bid, item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+s as (select count(*)::bigint as nd, sum(len(ws))::bigint as l from d where len(ws) > 0),
+q as (select distinct bid, unnest(ws) as t from b),
+f as (select rid, t, count(*)::bigint as tf from (select rid, unnest(ws) as t from d) where t in (select t from q) group by all),
+w as (select t, floor(1000 * ln((2 * any_value(nd) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, s group by t),
+i as (select rid, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ws) * nd) // l))) as v from f join w using (t) join d using (rid), s),
+r as (select bid, rid, sum(v)::bigint as score from q join i using (t) group by all having sum(v) > 0),
+k as (select bid, doc_id, score, row_number() over (partition by bid order by score desc, doc_id nulls last, rid) as rank from r join d using (rid))
+select item_id, rank::integer as rank, doc_id, score from k join b using (bid) where rank <= 50
+"""
+
+
+@query("op12_treap_search", SEARCH_SQL)
+def treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
