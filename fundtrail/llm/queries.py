@@ -301,6 +301,14 @@ def treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op13_quality_mil")
+def quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_mil import classify
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
