@@ -11,7 +11,8 @@ passages at even distances. Scoring takes all passages of all documents, in task
 
 Results: a null or empty text is one empty passage and gets a score like any other. Rows without a usable label are not learned
 from; several labels of an id are averaged, and of several texts of an id the last in byte order is learned from. Without any label
-every score is 0.5. Repeated rows get equal scores, an empty table an empty result. Columns other than doc_id and text are handed
+every score is 0.5. Repeated rows get equal scores (rounded to 12 digits, so that what
+shares a task with them doesn't show), an empty table an empty result. Columns other than doc_id and text are handed
 through as they are, whatever their names. Very long texts are encoded whole.
 """
 
@@ -223,7 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 top = np.lexsort((-a, np.repeat(np.arange(len(c)), n)))[begin]
                 after = np.append(first[1:], 0)[top]
                 last = top == begin + n - 1
-                found = [good, n, first[top], np.where(last, counts, after), a[top]]
+                found = [np.round(good, 12), n, first[top], np.where(last, counts, after), a[top]]
                 row = batch.column("row").slice(c.row, len(c))
                 yield pa.RecordBatch.from_arrays([row, *[pa.array(f) for f in found]], names=["row", *names])
 
