@@ -4,15 +4,42 @@ Every round each node picks the neighbour (or itself) with the smallest hash, an
 graph shrinks to the picked nodes; a fresh hash per round keeps the expected number of
 rounds logarithmic on any shape, long chains included. Picks aggregate map-side, and
 parallel edges collapse after each contraction, so a hot node stays a set of small rows.
+What remains once few edges are left goes to one task, whose size is bounded by SMALL_EDGES, instead of many small rounds.
 The maps of all rounds are then composed from the smallest back to the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..session import materialize
+
+#: Edges, both directions counted, that one task takes to the end.
+SMALL_EDGES = 400_000
+
+
+def _finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, pick) for all edges of a small graph: every node picks its component's smallest member."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-from ..session import is_empty, materialize
+    for part in parts:
+        for a, b in zip(part["src"].tolist(), part["dst"].tolist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(parent), "pick": [root(x) for x in parent]})
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -25,7 +52,8 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     edges = both.select("e.src", "e.dst").where("src <> dst").distinct()
     edges = materialize(edges, "cc-edges")
     maps: list[DataFrame] = []
-    while not is_empty(edges):
+    left = edges.count()
+    while left > SMALL_EDGES:
         # Equal hashes may pick either node; the next round's hash tells them apart.
         order = lambda c: F.xxhash64(F.col(c), F.lit(len(maps)))
         best = edges.groupBy("src").agg(F.min_by("dst", order("dst")).alias("nbr"), F.min(order("dst")).alias("h"))
@@ -42,6 +70,10 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             .distinct(),
             "cc-edges",
         )
+        left = edges.count()
+    if left:
+        kind = edges.schema["src"].dataType
+        maps.append(materialize(edges.coalesce(1).mapInPandas(_finish, StructType([StructField("node", kind), StructField("pick", kind)])), "cc-picks"))
     if not maps:
         return nodes.select("node", F.col("node").alias("component"))
     roots = maps[-1].toDF("node", "root")

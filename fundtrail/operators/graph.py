@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import is_empty, materialize
+from ..session import is_empty, materialize, materialize_bucketed, read_bucketed, scratch_path, write_bucketed
 from .ranking import global_rank, top_per_key
+from .stored import PART_ROWS, KeyedTable, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, take_off
 
-# Neighbours held by one (node, part) group of the adjacency index.
-PART_ROWS = 100_000
+# Seeds that spread together, which bounds the set packed into a node's row.
+SEED_SET = 100_000
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -63,38 +65,43 @@ def non_hub_edges(edges: DataFrame, hub_nodes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """Both directions of every edge, keyed by (node, part); ``parts`` lists split nodes only.
+    """Both directions of every edge, stored by node. A row says which way the simple edges between ``node`` and ``nbr`` go, so
+    degrees and simple edges come from the index without another pass over the raw edges.
 
-    A row says which way the simple edges between ``node`` and ``nbr`` go, so degrees and
-    simple edges come from the index without another pass over the raw edges.
+    ``upward`` keeps each pair of neighbours once, at the end of lower degree, bucketed by that end.
     """
 
-    adjacency: DataFrame
-    parts: DataFrame
+    arcs: KeyedTable
+    upward: DataFrame
+
+    @property
+    def n_buckets(self) -> int:
+        return self.arcs.n_buckets
+
+    @property
+    def adjacency(self) -> DataFrame:
+        return self.arcs.rows().select("node", "nbr", "is_out", "is_in")
 
     def simple_edges(self) -> DataFrame:
         return self.adjacency.where("is_out").select(F.col("node").alias("src"), F.col("nbr").alias("dst"))
 
     def degrees(self) -> DataFrame:
-        return self.adjacency.groupBy("node").agg(
+        """In- and out-degree of each node, with the sole neighbour where there is one."""
+        return self.arcs.grouped(
             F.count_if("is_in").alias("in_degree"),
             F.count_if("is_out").alias("out_degree"),
             F.min(F.when(F.col("is_in"), F.col("nbr"))).alias("any_src"),
             F.min(F.when(F.col("is_out"), F.col("nbr"))).alias("any_dst"),
         )
 
-    def expand(self, frontier: DataFrame, node: str = "node") -> DataFrame:
-        """Join a frontier to its neighbours, one salted group per part of a hot node."""
-        parts = self.parts.select(F.col("node").alias(node), "n_parts")
-        salted = frontier.join(parts, node, "left").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1))
-        )
-        return salted.drop("n_parts").join(
-            self.adjacency.withColumnRenamed("node", node), [node, "part"]
-        )
+    def expand(self, frontier: DataFrame) -> DataFrame:
+        """Join a frontier (node, ...) to its neighbours."""
+        return self.arcs.meet(frontier)
 
 
-def build_graph_index(edges: DataFrame, part_rows: int = PART_ROWS) -> GraphIndex:
+def build_graph_index(edges: DataFrame, part_rows: int = PART_ROWS, path: str | None = None) -> GraphIndex:
+    """Index ``edges`` in ``path``, or in a folder of the session."""
+    path = path or scratch_path(edges.sparkSession, "graph")
     both = edges.select("src", "dst", F.explode(F.array(F.lit(True), F.lit(False))).alias("fwd"))
     arcs = (
         both.select(
@@ -105,30 +112,20 @@ def build_graph_index(edges: DataFrame, part_rows: int = PART_ROWS) -> GraphInde
         .groupBy("node", "nbr")
         .agg(F.max("fwd").alias("is_out"), (~F.min("fwd")).alias("is_in"))
     )
-    parts = (
-        arcs.groupBy("node").count()
-        .where(F.col("count") > part_rows)
-        .select("node", F.ceil(F.col("count") / part_rows).cast("int").alias("n_parts"))
-    )
-    adjacency = arcs.join(parts, "node", "left").select(
-        "node",
-        F.pmod(F.xxhash64("nbr"), F.coalesce("n_parts", F.lit(1))).cast("int").alias("part"),
-        "nbr",
-        "is_out",
-        "is_in",
-    )
-    return GraphIndex(adjacency, parts)
-
-
-def write_graph_index(index: GraphIndex, path: str) -> None:
-    index.adjacency.repartition("node", "part").sortWithinPartitions("node", "nbr").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/adjacency")
-    index.parts.write.mode("overwrite").parquet(f"{path}/parts")
+    stored = store_keyed(materialize(arcs, "arcs"), ["node"], "nbr", f"{path}/arcs", part_rows)
+    # Of a pair's two arcs the one that starts at the lower end by (degree, name); a loop is its own pair.
+    degree = materialize_bucketed(stored.grouped(F.count("*").alias("degree")), "arc-counts", ["node"], stored.n_buckets)
+    ends = stored.meet(degree.withColumnRenamed("degree", "own")).join(degree.toDF("nbr", "other"), "nbr")
+    upward = ends.where(F.struct("own", "node") <= F.struct("other", "nbr")).select("node", "nbr", "is_out", "is_in")
+    write_bucketed(upward, f"{path}/upward", ["node"], stored.n_buckets)
+    return read_graph_index(edges.sparkSession, path)
 
 
-def read_graph_index(spark, path: str) -> GraphIndex:
-    return GraphIndex(spark.read.parquet(f"{path}/adjacency"), spark.read.parquet(f"{path}/parts"))
+def read_graph_index(spark: SparkSession, path: str) -> GraphIndex:
+    arcs = load_keyed(spark, f"{path}/arcs")
+    kind = arcs.cold.schema["node"].dataType.simpleString()
+    columns = f"node {kind}, nbr {kind}, is_out boolean, is_in boolean"
+    return GraphIndex(arcs, read_bucketed(spark, f"{path}/upward", columns, ["node"], arcs.n_buckets))
 
 
 def known_seeds(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -142,45 +139,51 @@ def unknown_seeds(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
 def khop(seeds: DataFrame, index: GraphIndex, hop_depth: int) -> DataFrame:
     """(seed, node, hop) for every node within ``hop_depth`` undirected hops of each seed.
 
-    One frontier join per hop. Each level is written before the next one starts, so no
-    level is worked out twice, and the loop ends as soon as no seed has anything left.
+    All seeds spread together, a node's seeds packed in one row. A hop joins the frontier to the stored arcs where it lies,
+    unites the seeds that arrive at a node ahead of the exchange, and deals one row per node: the only exchange of a
+    level. What arrives from a level lies in it, in the one before or in the next, so the seeds of two levels are taken off,
+    without moving them. Above SEED_SET seeds, sets of seeds go one after the other, which bounds a row.
     A ``hop_depth`` column on the seeds replaces ``hop_depth`` for each seed that has a value there.
     """
-    own = "hop_depth" in seeds.columns
-    start = seeds.select("seed", (F.coalesce("hop_depth", F.lit(hop_depth)) if own else F.lit(hop_depth)).alias("_limit"))
-    asked = start.agg(F.min("_limit"), F.max("_limit")).first() if own else (hop_depth, hop_depth)
-    if (asked[0] if asked[0] is not None else hop_depth) < 1:
-        raise ValueError(f"hop_depth must be at least 1, got {asked[0]}")
-    hop_depth = asked[1] if asked[1] is not None else hop_depth
-    start = start.groupBy("seed").agg(F.max("_limit").alias("_limit"))
-    start = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), "_limit")
-    visited = materialize(start, "khop") if hop_depth > 1 else start
-    frontier = visited
-    for hop in range(1, hop_depth + 1):
-        reached = (
-            index.expand(frontier.where(F.col("_limit") >= hop).select("seed", "node", "_limit"))
-            .select("seed", F.col("nbr").alias("node"), "_limit")
-            .distinct()
-        )
-        fresh = reached.join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
-        fresh = fresh.select("seed", "node", F.lit(hop).alias("hop"), "_limit")
-        if hop < hop_depth:
-            fresh = materialize(fresh, "khop")
-            if is_empty(fresh):
-                break
-        visited = visited.unionByName(fresh)
-        frontier = fresh
-    return visited.select("seed", "node", "hop")
+    sets, deepest = seed_sets(seeds, hop_depth, SEED_SET)
+    return reduce(DataFrame.unionByName, [_khop(mine, index, deepest) for mine in sets])
+
+
+def hop_step(index: GraphIndex, level: DataFrame, before: DataFrame | None, hop: int) -> DataFrame:
+    """The next level (node, seeds), from the last one and the one before it, each with a row per node."""
+    reached = index.expand(still_going(level, hop)).select(F.col("nbr").alias("node"), F.explode("seeds").alias("s"))
+    arrived = take_off(pack(reached, ["node"], "s", "seeds"), level, ["node"], "seeds")
+    if before is not None:
+        arrived = take_off(arrived, before, ["node"], "seeds")
+    return arrived.where("size(seeds) > 0")
+
+
+def _khop(seeds: DataFrame, index: GraphIndex, deepest: int) -> DataFrame:
+    level, before = start_level(seeds, "node", index.n_buckets), None
+    levels = [level]
+    for hop in range(deepest):
+        # A level lies by node after its group, so it is stored without another exchange.
+        after = materialize_bucketed(hop_step(index, level, before, hop), "khop", ["node"], index.n_buckets, dealt=True)
+        if is_empty(after):
+            break
+        levels.append(after)
+        before, level = level, after
+    rows = [df.select(F.explode("seeds.seed").alias("seed"), "node", F.lit(hop).alias("hop")) for hop, df in enumerate(levels)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def induced_subgraph(reach: DataFrame, index: GraphIndex) -> DataFrame:
-    """(seed, src, dst) for every edge with both ends among the seed's nodes."""
-    out = GraphIndex(index.adjacency.where("is_out"), index.parts)
-    leaving = out.expand(reach.select("seed", "node")).select(
-        "seed", F.col("node").alias("src"), F.col("nbr").alias("dst")
-    )
-    ends = reach.select("seed", F.col("node").alias("dst"))
-    return leaving.join(ends, ["seed", "dst"], "left_semi").select("seed", "src", "dst")
+    """(seed, src, dst) for every edge with both ends among the seed's nodes.
+
+    Edges are looked up at their end of lower degree and probed at the other, so a hub at the rim of a neighbourhood
+    costs its neighbours there and never its arcs.
+    """
+    pairs = index.upward.join(reach.select("seed", "node"), "node")
+    ends = reach.select("seed", F.col("node").alias("nbr"))
+    met = pairs.join(ends, ["seed", "nbr"], "left_semi")
+    way = lambda flag, src, dst: F.when(F.col(flag), F.struct(F.col(src).alias("src"), F.col(dst).alias("dst")))
+    both = F.array_distinct(F.array_compact(F.array(way("is_out", "node", "nbr"), way("is_in", "nbr", "node"))))
+    return met.select("seed", F.explode(both).alias("e")).select("seed", "e.src", "e.dst")
 
 
 def with_node_attributes(reach: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import RULE_FANOUT, RULE_MIXER, RULE_PEEL, Params
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from .chains import forwarding_nodes, peel_chains, peel_links
 from .graph import GraphIndex, graph_degrees, induced_subgraph, khop, with_node_attributes
-from .ranking import top_per_key
 
 
 def fan_out(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, min_out: int, max_in: int, window: int) -> DataFrame:
@@ -50,30 +49,28 @@ def mixers_in_graph(mixers: DataFrame, nodes: DataFrame) -> DataFrame:
 def mixer_adjacent(mixers: DataFrame, index: GraphIndex, max_hops: int) -> DataFrame:
     """(tx_id, mixer_id, hops_from_mixer): the nearest mixer within ``max_hops`` undirected hops.
 
-    All mixers spread at once. A node keeps its two nearest distinct mixers, which is enough
-    for its neighbours' nearest one, and lets a mixer be adjacent to another but not to itself.
+    All mixers spread at once. A node keeps its two nearest distinct mixers in one row, which is enough for its
+    neighbours' nearest one, and lets a mixer be adjacent to another but not to itself. Arcs and rows kept are stored by node:
+    a hop deals out the two first mixers that reach a node from a task, and nothing else.
     """
-    two_nearest = [F.col("hops"), F.col("mixer_id")]
-    best = mixers.select(F.col("mixer_id").alias("node"), "mixer_id", F.lit(0).alias("hops")).distinct()
-    frontier = best
+    own = mixers.select(F.col("mixer_id").alias("node")).distinct()
+    near = own.select("node", F.array(F.struct(F.lit(0).alias("hops"), F.col("node").alias("mixer_id"))).alias("near"))
+    near = materialize_bucketed(near, "mixers", ["node"], index.n_buckets)
+    first_two = Window.partitionBy("node").orderBy("mixer_id")
     for hop in range(1, max_hops + 1):
-        found = (
-            index.expand(frontier.select("node", "mixer_id"))
-            .select(F.col("nbr").alias("node"), "mixer_id")
-            .distinct()
-            .join(best.select("node", "mixer_id"), ["node", "mixer_id"], "left_anti")
-            .withColumn("hops", F.lit(hop))
+        going = near.select("node", F.filter("near", lambda m: m["hops"] == hop - 1)["mixer_id"].alias("ids")).where("size(ids) > 0")
+        met = index.expand(going).select(F.col("nbr").alias("node"), F.explode("ids").alias("mixer_id"))
+        met = met.withColumn("place", F.dense_rank().over(first_two)).where("place <= 2")
+        found = met.groupBy("node").agg(F.collect_set("mixer_id").alias("found"))
+        both = near.join(found, "node", "full_outer").select(
+            "node", F.coalesce("near", F.expr("filter(array(struct(0 as hops, node as mixer_id)), m -> false)")).alias("near"), F.coalesce("found", F.filter(F.array("node"), lambda m: F.lit(False))).alias("found")
         )
-        best = top_per_key(best.unionByName(found), ["node"], two_nearest, 2)
+        fresh = F.transform(F.array_except("found", F.col("near")["mixer_id"]), lambda m: F.struct(F.lit(hop).alias("hops"), m.alias("mixer_id")))
+        near = both.select("node", F.slice(F.array_sort(F.concat("near", fresh)), 1, 2).alias("near"))
         if hop < max_hops:
-            best = materialize(best, "mixers")
-        frontier = best.where(F.col("hops") == hop)
-    return (
-        best.where("hops > 0")
-        .groupBy("node")
-        .agg(F.min(F.struct("hops", "mixer_id")).alias("near"))
-        .select(F.col("node").alias("tx_id"), "near.mixer_id", F.col("near.hops").alias("hops_from_mixer"))
-    )
+            near = materialize_bucketed(near, "mixers", ["node"], index.n_buckets, dealt=True)
+    met = near.select("node", F.get(F.filter("near", lambda m: m["hops"] > 0), F.lit(0)).alias("m")).where("m is not null")
+    return met.select(F.col("node").alias("tx_id"), "m.mixer_id", F.col("m.hops").alias("hops_from_mixer"))
 
 
 def rule_score(params: Params) -> Column:

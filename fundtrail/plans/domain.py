@@ -8,6 +8,7 @@ tables, whole. Tables that many queries share are written once to the shared fol
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ TEST_PARAMS = Params(
     hub_degree=4, peel_max_gap=52, fanout_min_out=3, fanout_window=60, node_cap=12, forest_depth=5,
 )
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], Any] = {}
 
 
 def epoch(column: str):
@@ -38,10 +39,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def once(self, name: str, build: Callable[[], Any]) -> Any:
+        """What ``build`` returns, built once per session; a table is written, an index is stored already."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _WRITTEN:
-            _WRITTEN[key] = materialize(build(), name)
+            built = build()
+            _WRITTEN[key] = materialize(built, name) if isinstance(built, DataFrame) else built
         return _WRITTEN[key]
 
     # transaction graph ---------------------------------------------------------------
@@ -77,9 +80,7 @@ class Tables:
 
     @property
     def index(self) -> graph.GraphIndex:
-        built = graph.build_graph_index(self.raw_edges)
-        adjacency = self.once("adjacency", lambda: built.adjacency)
-        return graph.GraphIndex(adjacency, self.once("parts", lambda: built.parts))
+        return self.once("index", lambda: graph.build_graph_index(self.raw_edges))
 
     @property
     def degrees(self) -> DataFrame:

@@ -163,7 +163,7 @@ def edges_with_labels(t: Tables):
 @query("sink_graph", "select node, nbr, exists (select 1 from edges where src = node and dst = nbr) as is_out from und")
 def sink_graph(t: Tables):
     path = scratch_path(t.spark, "graph-index")
-    graph.write_graph_index(graph.build_graph_index(t.raw_edges), path)
+    graph.build_graph_index(t.raw_edges, path=path)
     return graph.read_graph_index(t.spark, path).adjacency.select("node", "nbr", "is_out")
 
 

@@ -28,7 +28,7 @@ def ingest(spark: SparkSession, raw: str, store: str, run_id: str, params: Param
     graph.integrity_check(nodes, edges, EXPECTED_TX_COUNT, EXPECTED_EDGE_COUNT).write.mode("overwrite").json(f"{store}/integrity")
     split = entities.time_split(materialize(entities.build_entities(nodes, edges, params.hub_degree), "entities"), nodes, params)
     sinks.write_normalised(store, nodes, edges, split)
-    graph.write_graph_index(graph.build_graph_index(edges), f"{store}/graph")
+    graph.build_graph_index(edges, path=f"{store}/graph")
     nodes, edges, split = sinks.read_normalised(spark, store)
     audit = entities.leakage_report(split, nodes, edges, params)
     sinks.append_audit(f"{store}/split_audit", audit, run_id)

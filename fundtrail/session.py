@@ -59,6 +59,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets of a stored table: as many as shuffles have partitions, so that a join moves its other side only."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_bucketed(df: DataFrame, path: str, key: list[str], n: int | None = None, dealt: bool = False) -> DataFrame:
+    """Store ``df`` in ``path`` dealt by ``key``, one file for each of ``n`` buckets, and read it back as such.
+
+    Joins and groups by ``key`` find the rows of a key in one bucket and need no exchange on this side. The result of a
+    join or group by ``key`` lies that way already (``dealt``) and is written where it is, without an exchange.
+    """
+    n = n or buckets(df.sparkSession)
+    (df if dealt else df.repartition(n, *key)).write.bucketBy(n, *key).sortBy(*key).option("path", path).format("parquet").saveAsTable(name := _table_name())
+    return df.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, columns: str, key: list[str], n: int) -> DataFrame:
+    """A folder that :func:`write_bucketed` has written, also by another application; an empty table has no file to tell its columns."""
+    name, keys = _table_name(), ", ".join(key)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def materialize_bucketed(df: DataFrame, name: str, key: list[str], n: int | None = None, dealt: bool = False) -> DataFrame:
+    """Like :func:`materialize`, dealt by ``key``."""
+    return write_bucketed(df, scratch_path(df.sparkSession, name), key, n, dealt)
+
+
+def _table_name() -> str:
+    return f"fundtrail_{uuid.uuid4().hex}"
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core ahead of costly work on every row.
 
