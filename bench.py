@@ -49,7 +49,7 @@ def main() -> None:
     times = {
         "build_edges": timed(lambda: t.raw_edges), "build_index": timed(lambda: t.index), "build_peel": timed(lambda: t.peel),
         "build_rules": timed(lambda: t.wallet_rules), "build_entities": timed(lambda: t.entities), "build_split": timed(lambda: t.split),
-        "build_io": timed(lambda: t.io),
+        "build_io": timed(lambda: t.io), "build_tx_index": timed(lambda: t.tx_index),
     }
     for name in names:
         times[name] = timed(lambda: run[name](spark, sf_dir).write.format("noop").mode("overwrite").save())

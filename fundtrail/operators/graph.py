@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import is_empty, materialize, materialize_bucketed, read_bucketed, scratch_path, write_bucketed
+from ..session import is_empty, materialize_bucketed, read_bucketed, scratch_path, write_bucketed
 from .ranking import global_rank, top_per_key
 from .stored import PART_ROWS, KeyedTable, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, take_off
 
@@ -101,7 +101,6 @@ class GraphIndex:
 
 def build_graph_index(edges: DataFrame, part_rows: int = PART_ROWS, path: str | None = None) -> GraphIndex:
     """Index ``edges`` in ``path``, or in a folder of the session."""
-    path = path or scratch_path(edges.sparkSession, "graph")
     both = edges.select("src", "dst", F.explode(F.array(F.lit(True), F.lit(False))).alias("fwd"))
     arcs = (
         both.select(
@@ -112,13 +111,15 @@ def build_graph_index(edges: DataFrame, part_rows: int = PART_ROWS, path: str |
         .groupBy("node", "nbr")
         .agg(F.max("fwd").alias("is_out"), (~F.min("fwd")).alias("is_in"))
     )
-    stored = store_keyed(materialize(arcs, "arcs"), ["node"], "nbr", f"{path}/arcs", part_rows)
+    # A node has no more neighbours than edge ends, so hot nodes show in the edges already.
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    stored = store_keyed(arcs, ["node"], "nbr", path and f"{path}/arcs", part_rows, counted=ends)
     # Of a pair's two arcs the one that starts at the lower end by (degree, name); a loop is its own pair.
     degree = materialize_bucketed(stored.grouped(F.count("*").alias("degree")), "arc-counts", ["node"], stored.n_buckets)
     ends = stored.meet(degree.withColumnRenamed("degree", "own")).join(degree.toDF("nbr", "other"), "nbr")
     upward = ends.where(F.struct("own", "node") <= F.struct("other", "nbr")).select("node", "nbr", "is_out", "is_in")
-    write_bucketed(upward, f"{path}/upward", ["node"], stored.n_buckets)
-    return read_graph_index(edges.sparkSession, path)
+    folder = f"{path}/upward" if path else scratch_path(edges.sparkSession, "upward")
+    return GraphIndex(stored, write_bucketed(upward, folder, ["node"], stored.n_buckets))
 
 
 def read_graph_index(spark: SparkSession, path: str) -> GraphIndex:

@@ -8,17 +8,22 @@ of a transaction and never with the number of its input-output pairs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..session import is_empty, materialize
+from ..session import is_empty, materialize, materialize_bucketed
 from .chains import peel_chains_of
 from .ranking import top_per_key
 from .rules import score_rules
+from .stored import PART_ROWS, KeyedTable, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, take_off
 from .utxo import address_transactions, newest_txs_per_address, tx_time_step, with_address
 
+# Seeds that spread together, which bounds the set packed into an address's row.
+SEED_SET = 100_000
+
 
 @dataclass(frozen=True)
 class Expansion:
@@ -26,26 +31,91 @@ class Expansion:
     txs: DataFrame      # seed, level, address, block_time, tx_hash
 
 
-def bounded_expansion(seeds: DataFrame, io: DataFrame, hop_depth: int, params: Params = Params()) -> Expansion:
+@dataclass(frozen=True)
+class TxIndex:
+    """Landed transactions stored twice: the transactions of each address, and the inputs and outputs of each transaction.
+
+    An address may have any number of transactions, and a hot one is split; a transaction's rows are bounded by the
+    size of a block.
+    """
+
+    by_address: KeyedTable  # address, tx_hash, block_time
+    by_tx: KeyedTable       # tx_hash, side, address, time_step
+
+    def flow_rows(self) -> DataFrame:
+        return self.by_tx.rows()
+
+
+def build_tx_index(io: DataFrame, path: str | None = None, part_rows: int = PART_ROWS) -> TxIndex:
+    """Index the flat transactions in ``path``, or in a folder of the session: one exchange for each of the two tables."""
+    rows = with_address(io)
+    sides = rows.select("tx_hash", "side", "address", tx_time_step(F.col("block_time")).alias("time_step")).distinct()
+    by_address = store_keyed(address_transactions(io), ["address"], "tx_hash", path and f"{path}/by_address", part_rows, counted=rows)
+    return TxIndex(by_address, store_keyed(sides, ["tx_hash"], "address", path and f"{path}/by_tx", None))
+
+
+def read_tx_index(spark: SparkSession, path: str) -> TxIndex:
+    return TxIndex(load_keyed(spark, f"{path}/by_address"), load_keyed(spark, f"{path}/by_tx"))
+
+
+def bounded_expansion(seeds: DataFrame, index: TxIndex, hop_depth: int, params: Params = Params()) -> Expansion:
     """Look up each seed address, then all its counterparties, level by level.
 
     Whole by default. The caps of a tracer that pays per lookup can be set in ``params``: an address then brings
     its ``tx_cap`` newest transactions and a seed the first ``fetch_cap`` addresses in order; :func:`expansion_meta`
     reports a cap that was reached. A ``hop_depth`` column on the seeds replaces ``hop_depth`` for each seed that has a value.
 
-    Every level joins its few addresses to the transaction rows and de-duplicates afterwards, so the table is
-    never grouped or ranked as a whole.
+    All seeds go together, an address's seeds packed in one row. A level meets the two stored tables where they lie and
+    deals out one row per transaction and one per address; an address of a level can only have been met in that level or
+    the one before it.
     """
-    rows = with_address(io)
+    if params.tx_cap is not None or params.fetch_cap is not None:
+        return _capped_expansion(seeds, index, hop_depth, params)
+    sets, deepest = seed_sets(seeds, hop_depth, SEED_SET)
+    found = [_expansion(mine, index, deepest) for mine in sets]
+    return Expansion(reduce(DataFrame.unionByName, [f for f, _ in found]), reduce(DataFrame.unionByName, [t for _, t in found]))
+
+
+def expansion_step(index: TxIndex, level: DataFrame, before: DataFrame | None, hop: int) -> DataFrame:
+    """The next level (address, seeds), from the last one and the one before it, each with a row per address."""
+    entered = index.by_address.meet(still_going(level, hop)).select("tx_hash", F.explode("seeds").alias("s"))
+    entered = pack(entered, ["tx_hash"], "s", "seeds")
+    reached = index.by_tx.meet(entered).select("address", F.explode("seeds").alias("s"))
+    arrived = take_off(pack(reached, ["address"], "s", "seeds"), level, ["address"], "seeds")
+    if before is not None:
+        arrived = take_off(arrived, before, ["address"], "seeds")
+    return arrived.where("size(seeds) > 0")
+
+
+def _expansion(seeds: DataFrame, index: TxIndex, deepest: int) -> tuple[DataFrame, DataFrame]:
+    n = index.by_address.n_buckets
+    level = materialize_bucketed(index.by_address.known(start_level(seeds, "address", n)), "live-level", ["address"], n, dealt=True)
+    levels, before = [level], None
+    for hop in range(1, deepest):
+        after = materialize_bucketed(expansion_step(index, level, before, hop), "live-level", ["address"], n, dealt=True)
+        if is_empty(after):
+            break
+        levels.append(after)
+        before, level = level, after
+    packed = [df.withColumn("level", F.lit(i)) for i, df in enumerate(levels)]
+    one = lambda df, *rest: df.select(F.explode("seeds.seed").alias("seed"), *rest)
+    fetched = reduce(DataFrame.unionByName, [one(df, "address", "level") for df in packed])
+    txs = reduce(DataFrame.unionByName, [one(index.by_address.meet(df), "level", "address", "block_time", "tx_hash") for df in packed])
+    return fetched, txs
+
+
+def _capped_expansion(seeds: DataFrame, index: TxIndex, hop_depth: int, params: Params) -> Expansion:
+    """Capped lookups depend on each seed's order, so its levels go row by row."""
+    txs_of, rows = index.by_address.rows(), index.flow_rows()
     own = "hop_depth" in seeds.columns
     limit = F.coalesce("hop_depth", F.lit(hop_depth)) if own else F.lit(hop_depth)
     start = seeds.select("seed", limit.alias("_limit")).groupBy("seed").agg(F.max("_limit").alias("_limit"))
     hop_depth = (start.agg(F.max("_limit")).first()[0] or hop_depth) if own else hop_depth
-    level = start.select("seed", F.col("seed").alias("address"), F.lit(0).alias("level"), "_limit").join(rows.select("address"), "address", "left_semi")
+    level = start.select("seed", F.col("seed").alias("address"), F.lit(0).alias("level"), "_limit").join(txs_of.select("address"), "address", "left_semi")
     level = materialize(level.select("seed", "address", "level", "_limit"), "live-level")
     fetched, txs, depth = level, None, 0
     while True:
-        here = address_transactions(rows.join(level.select("address").distinct(), "address", "left_semi"))
+        here = txs_of.join(level.select("address").distinct(), "address", "left_semi")
         if params.tx_cap is not None:
             here = newest_txs_per_address(here, params.tx_cap)
         here = materialize(level.join(here, "address").select("seed", "level", "address", "block_time", "tx_hash", "_limit"), "live-txs")
@@ -70,7 +140,7 @@ def bounded_expansion(seeds: DataFrame, io: DataFrame, hop_depth: int, params: P
     return Expansion(fetched.drop("_limit"), txs.drop("_limit"))
 
 
-def case_flows(expansion: Expansion, io: DataFrame) -> DataFrame:
+def case_flows(expansion: Expansion, index: TxIndex) -> DataFrame:
     """(seed, tx_hash, side, address, time_step, fetch_order) for every transaction of a case.
 
     These rows are the case's flow graph, an edge leading from every input to every output of a transaction.
@@ -81,9 +151,7 @@ def case_flows(expansion: Expansion, io: DataFrame) -> DataFrame:
     known = expansion.txs.groupBy("seed", "tx_hash").agg(
         F.min(F.struct("level", "address", newest, "tx_hash")).alias("fetch_order")
     )
-    rows = with_address(io).select("tx_hash", "side", "address", tx_time_step(F.col("block_time")).alias("time_step"))
-    found = known.join(rows, "tx_hash").groupBy("seed", "tx_hash", "side", "address", "time_step").agg(F.first("fetch_order").alias("fetch_order"))
-    return found.select("seed", "tx_hash", "side", "address", "time_step", "fetch_order")
+    return index.by_tx.meet(known).select("seed", "tx_hash", "side", "address", "time_step", "fetch_order")
 
 
 def expansion_meta(expansion: Expansion, params: Params) -> DataFrame:
@@ -104,25 +172,32 @@ def live_hops(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     One hop leads from an input to the outputs of the same transaction or back. The addresses
     of one side lie at most two hops apart, so a (case, transaction, side) is entered at most
     twice, however many of its addresses are reached.
+
+    The flow rows are stored by (seed, address) and by (seed, transaction) first. A hop meets both where they lie and deals
+    out its doors and the addresses reached; what it reaches lies in the last two levels or is new.
     """
     flows = materialize(flows.select("seed", "tx_hash", "side", "address").distinct(), "live-flows")
-    opposite = F.when(F.col("side") == "in", "out").otherwise("in").alias("side")
-    start = materialize(seeds.select("seed", F.col("seed").alias("address"), F.lit(0).alias("hop")).distinct(), "live-hop")
-    visited, frontier, hop = start, start, 0
-    while not is_empty(frontier):
-        hop += 1
-        doors = flows.join(frontier.select("seed", "address"), ["seed", "address"]).select(
-            "seed", "tx_hash", opposite
-        ).distinct()
-        frontier = materialize(
-            flows.join(doors, ["seed", "tx_hash", "side"]).select("seed", "address").distinct()
-            .join(visited.select("seed", "address"), ["seed", "address"], "left_anti")
-            .withColumn("hop", F.lit(hop)),
-            "live-hop",
+    by_address = store_keyed(flows, ["seed", "address"], "tx_hash")
+    by_tx = store_keyed(flows, ["seed", "tx_hash"], "address", part_rows=None)
+    key, n = ["seed", "address"], by_address.n_buckets
+    level = materialize_bucketed(seeds.select("seed", F.col("seed").alias("address")).distinct(), "live-hop", key, n, dealt=True)
+    levels, before = [level], None
+    while True:
+        met = by_address.meet(level).groupBy("seed", "tx_hash").agg(
+            F.max(F.col("side") == "in").alias("entered_in"), F.max(F.col("side") == "out").alias("entered_out")
         )
-        visited = visited.unionByName(frontier)
-    everyone = flows.select("seed", "address").distinct().unionByName(start.select("seed", "address")).distinct()
-    return everyone.join(visited, ["seed", "address"], "left").withColumn("hop", F.coalesce("hop", F.lit(-1)))
+        crossed = by_tx.meet(met).where(F.when(F.col("side") == "in", F.col("entered_out")).otherwise(F.col("entered_in")))
+        fresh = crossed.select(*key).distinct().join(level, key, "left_anti")
+        if before is not None:
+            fresh = fresh.join(before, key, "left_anti")
+        fresh = materialize_bucketed(fresh, "live-hop", key, n, dealt=True)
+        if is_empty(fresh):
+            break
+        levels.append(fresh)
+        before, level = level, fresh
+    visited = reduce(DataFrame.unionByName, [df.withColumn("hop", F.lit(i)) for i, df in enumerate(levels)])
+    unreached = flows.select(*key).distinct().withColumn("hop", F.lit(None).cast("int"))
+    return visited.unionByName(unreached).groupBy(*key).agg(F.coalesce(F.min("hop"), F.lit(-1)).alias("hop"))
 
 
 def live_nodes(flows: DataFrame, hops: DataFrame) -> DataFrame:

@@ -51,24 +51,35 @@ class KeyedTable:
         return near.unionByName(frontier.join(self.parts, self.key, "left_semi")) if self.has_hot else near
 
 
-def store_keyed(rows: DataFrame, key: Sequence[str], spread_by: str, path: str | None = None, part_rows: int = PART_ROWS) -> KeyedTable:
-    """Store ``rows`` by ``key`` in ``path``, or in a folder of the session; a hot key's rows are dealt by ``spread_by``."""
+def store_keyed(
+    rows: DataFrame, key: Sequence[str], spread_by: str, path: str | None = None, part_rows: int | None = PART_ROWS, counted: DataFrame | None = None,
+) -> KeyedTable:
+    """Store ``rows`` by ``key`` in ``path``, or in a folder of the session; a hot key's rows are dealt by ``spread_by``.
+
+    Hot keys are found ahead, so that no task ever writes one whole: in ``counted`` if that holds at least the rows of every
+    key and is cheaper to read. Without ``part_rows`` keys are known to be small, and nothing is counted.
+    """
     spark, key = rows.sparkSession, list(key)
-    path, n = path or scratch_path(spark, "keyed"), buckets(spark)
-    counts = rows.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > part_rows)
-    parts = counts.select(*key, F.ceil(F.col("rows") / part_rows).cast("int").alias("n_parts"))
-    parts.write.parquet(f"{path}/parts")
-    parts = spark.read.schema(parts.schema).parquet(f"{path}/parts")
-    has_hot = not is_empty(parts)
+    folder, n = path or scratch_path(spark, "keyed"), buckets(spark)
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+    parts, hot, has_hot = spark.createDataFrame([], f"{kinds}, n_parts int"), None, False
+    if part_rows is not None:
+        counts = (rows if counted is None else counted).groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > part_rows)
+        parts = materialize(counts.select(*key, F.ceil(F.col("rows") / part_rows).cast("int").alias("n_parts")), "hot-keys")
+        has_hot = not is_empty(parts)
+    if path:
+        parts.write.parquet(f"{path}/parts")
+    whole = rows
     if has_hot:
         part = F.pmod(F.xxhash64(spread_by), F.col("n_parts")).cast("int").alias("part")
-        write_bucketed(rows.join(parts, key).select(*rows.columns, part), f"{path}/hot", [*key, "part"], n)
-        rows = rows.join(parts, key, "left_anti")
-    write_bucketed(rows, f"{path}/cold", key, n)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    layout = spark.createDataFrame([(",".join(key), n, has_hot, columns)], "key string, n_buckets int, has_hot boolean, columns string")
-    layout.coalesce(1).write.parquet(f"{path}/layout")
-    return load_keyed(spark, path)
+        hot = write_bucketed(rows.join(parts, key).select(*rows.columns, part), f"{folder}/hot", [*key, "part"], n)
+        whole = rows.join(parts, key, "left_anti")
+    cold = write_bucketed(whole, f"{folder}/cold", key, n)
+    if path:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        layout = spark.createDataFrame([(",".join(key), n, has_hot, columns)], "key string, n_buckets int, has_hot boolean, columns string")
+        layout.coalesce(1).write.parquet(f"{path}/layout")
+    return KeyedTable(key, cold, hot if has_hot else cold.withColumn("part", F.lit(0)).limit(0), parts, n, has_hot)
 
 
 def load_keyed(spark: SparkSession, path: str) -> KeyedTable:

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, entities, graph, learn, rules, utxo
+from ..operators import chains, entities, graph, learn, live, rules, utxo
 from ..operators.correlate import correlate
 from ..operators.ranking import next_in_sequence
 from ..params import Params
@@ -233,9 +233,16 @@ class Tables:
             "block_time", F.col("l_orderkey").alias("block_height"),
         )
 
+    @property
+    def tx_index(self) -> live.TxIndex:
+        return self.once("tx_index", lambda: live.build_tx_index(self.io))
+
     @property
     def live_seeds(self) -> DataFrame:
         """The smallest output address of each customer's first order."""
+        return self.once("live_seeds", self._live_seeds)
+
+    def _live_seeds(self) -> DataFrame:
         first = self.seeds.select(F.sha2(F.col("seed").cast("string"), 256).alias("tx_hash"))
         outs = utxo.with_address(self.io).where("side = 'out'")
         return outs.join(first, "tx_hash", "left_semi").groupBy("tx_hash").agg(F.min("address").alias("seed")).select("seed").distinct()

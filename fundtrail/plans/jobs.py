@@ -88,6 +88,7 @@ def trace_cases(
     nodes, _, split = sinks.read_normalised(prepare(spark), store)
     index = graph.read_graph_index(spark, f"{store}/graph")
     io = materialize(utxo.dedupe_io(io), "io")
+    txs = live.build_tx_index(io)
     judged = address_quality(reports.withColumn("wallet", F.trim("wallet")), "wallet", params)
     history = utxo.address_activity(judged.select(F.col("wallet").alias("address")), io)
     resolved = cases.resolve_source(judged, nodes, history)
@@ -106,7 +107,7 @@ def trace_cases(
 
     live_cases = resolved.where(in_range & (F.col("source") == "live-lookup")).select("case_id", F.col("wallet").alias("seed"), "amount", "hop_depth")
     chain = live_cases.groupBy("seed").agg(F.max("hop_depth").alias("hop_depth"))
-    flows = materialize(live.case_flows(live.bounded_expansion(chain, io, params.hop_depth, params), io), "flows")
+    flows = materialize(live.case_flows(live.bounded_expansion(chain, txs, params.hop_depth, params), txs), "flows")
     met = materialize(live.live_nodes(flows, live.live_hops(flows, chain)), "live-nodes")
     fired = materialize(live.live_rules(met, flows, mixers, params), "live-rules")
     size = met.groupBy("seed").agg(F.max("hop").alias("max_hop_reached"), F.count(F.lit(1)).alias("node_count"), F.lit(0).cast("long").alias("illicit_nodes"))

@@ -205,11 +205,11 @@ def utxo_cluster_numbering(t: Tables):
 
 
 def expansion(t: Tables):
-    return live.bounded_expansion(t.live_seeds, t.io, 3, t.params)
+    return live.bounded_expansion(t.live_seeds, t.tx_index, 3, t.params)
 
 
 def flows(t: Tables):
-    return materialize(live.case_flows(expansion(t), t.io), "flows")
+    return materialize(live.case_flows(expansion(t), t.tx_index), "flows")
 
 
 def known_seeds(t: Tables):

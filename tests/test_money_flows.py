@@ -77,7 +77,8 @@ def traced(spark, txs, hop_depth, **changes):
     io = io_df(spark, txs)
     seeds = spark.createDataFrame([("seed",), ("ghost",)], "seed string")
     p = Params(**changes)
-    return io, live.bounded_expansion(seeds, io, hop_depth, p), p
+    index = live.build_tx_index(io, part_rows=2)
+    return index, live.bounded_expansion(seeds, index, hop_depth, p), p
 
 
 def test_expansion_levels_caps_and_unknown_seed(spark):
