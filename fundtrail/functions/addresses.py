@@ -6,7 +6,6 @@ strings that reach a checksum go through one Arrow function, batch by batch.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +23,44 @@ GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 PLAIN, MODIFIED = 1, 0x2BC830A3
 
 
-def _base58(text: str) -> str:
-    number = 0
-    for ch in text:
-        digit = BASE58.find(ch)
-        if digit < 0:
-            return "malformed"
-        number = number * 58 + digit
-    zeros = len(text) - len(text.lstrip("1"))
-    if zeros + (number.bit_length() + 7) // 8 != 25:
-        return "malformed"
-    raw = number.to_bytes(25, "big")
-    digest = hashlib.sha256(hashlib.sha256(raw[:21]).digest()).digest()
-    if digest[:4] != raw[21:]:
-        return "bad-checksum"
-    return {0: "p2pkh", 5: "p2sh"}.get(raw[0], "wrong-network")
+#: Size of a decoded address, and bits of a limb of a number in base 256.
+RAW, LIMB = 25, 32
+
+
+def _base58_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(decodable, raw): the 25 bytes of every string that has them; strings of equal length go together.
+
+    A number is a row of limbs, multiplied by 58 and added to one character at a time for all rows. Strings of 25 bytes have 25 to 35
+    characters, so seven limbs hold any of them.
+    """
+    good, raw = np.zeros(len(texts), dtype=bool), np.zeros((len(texts), RAW), dtype=np.uint8)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    for size in np.unique(sizes[(sizes >= 25) & (sizes <= 35)]):
+        at = np.flatnonzero(sizes == size)
+        codes = "".join(texts[i] for i in at).encode("latin-1", "replace")
+        digits = DIGIT58[np.frombuffer(codes, dtype=np.uint8)].reshape(len(at), size)
+        number = np.zeros((len(at), 7), dtype=np.uint64)  # lowest limb first
+        for column in np.maximum(digits, 0).T:
+            carry = column.astype(np.uint64)
+            for i in range(7):
+                v = number[:, i] * np.uint64(58) + carry
+                number[:, i], carry = v & np.uint64((1 << LIMB) - 1), v >> np.uint64(LIMB)
+        whole = np.ascontiguousarray(number[:, ::-1]).astype(">u4").view(np.uint8)
+        length = whole.shape[1] - (np.append(whole, np.ones((len(at), 1), np.uint8), axis=1) != 0).argmax(axis=1)
+        zeros = (np.append(digits, np.ones((len(at), 1), digits.dtype), axis=1) != 0).argmax(axis=1)
+        good[at] = (digits >= 0).all(axis=1) & (zeros + length == RAW)
+        raw[at] = whole[:, -RAW:]
+    return good, raw
+
+
+def _base58_verdict(raw: Column) -> Column:
+    """Verdict of 25 bytes: the last four are the head of the double hash of the others."""
+    once = F.unhex(F.sha2(F.substring(raw, 1, RAW - 4), 256))
+    version = F.hex(F.substring(raw, 1, 1))
+    return (
+        F.when(F.upper(F.substring(F.sha2(once, 256), 1, 8)) != F.hex(F.substring(raw, RAW - 3, 4)), "bad-checksum")
+        .when(version == "00", "p2pkh").when(version == "05", "p2sh").otherwise("wrong-network")
+    )
 
 
 # What each value of the top five bits folds back into the running checksum.
@@ -58,10 +80,15 @@ def _checksums(words: np.ndarray) -> np.ndarray:
     return check
 
 
-def _bech32_batch(texts: pd.Series) -> pd.Series:
-    """Verdicts of segwit-looking strings; rows of equal length and separator go together."""
+DIGIT58 = np.full(256, -1, dtype=np.int64)
+DIGIT58[[ord(c) for c in BASE58]] = range(58)
+
+
+def _bech32_batch(texts: pd.Series) -> tuple[pd.Series, pd.Index]:
+    """Verdicts of segwit-looking strings, and those that are none after all; rows of equal length and separator go together."""
     low = texts.str.lower()
     out = pd.Series("malformed", index=texts.index, dtype=object)
+    other = [texts.index[:0]]
     sized = ((texts == low) | (texts == texts.str.upper())) & (texts.str.len() <= 90)
     mark = low.str.rfind("1")
     for (size, at), group in low[sized].groupby([low.str.len(), mark]):
@@ -74,40 +101,44 @@ def _bech32_batch(texts: pd.Series) -> pd.Series:
         clean = (digits >= 0).all(axis=1)
         words = np.hstack([prefix >> 5, np.zeros((len(group), 1), np.int64), prefix & 31, digits])
         check = _checksums(words)
-        for i in np.flatnonzero(clean & ((check == PLAIN) | (check == MODIFIED))):
-            out[group.index[i]] = _program(group.iloc[i][:at], digits[i].tolist(), int(check[i]))
-        out[group.index[clean & (check != PLAIN) & (check != MODIFIED)]] = "bad-checksum"
-        # Not a segwit string after all: judged by the other encoding.
-        for i in group.index[~clean]:
-            out[i] = _base58(texts[i])
-    return out
-
-
-def _program(prefix: str, digits: list[int], check: int) -> str:
-    version, payload = digits[0], digits[1:-6]
-    if version > 16 or (check == PLAIN) != (version == 0):
-        return "malformed"
-    bits = "".join(f"{d:05b}" for d in payload)
-    size, spare = divmod(len(bits), 8)
-    if spare > 4 or "1" in bits[size * 8:] or not 2 <= size <= 40 or (version == 0 and size not in (20, 32)):
-        return "malformed"
-    if prefix != "bc":
-        return "wrong-network"
-    return "witness-v1-plus" if version else ("p2wpkh" if size == 20 else "p2wsh")
-
-
-@F.pandas_udf(T.StringType())
-def checksum_verdict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        summed = (check == PLAIN) | (check == MODIFIED)
+        out[group.index] = np.where(summed, _programs(prefix, digits, check), "bad-checksum")
+        out[group.index[~clean]] = "malformed"
+        other.append(group.index[~clean])
+    return out, other[0].append(other[1:])
+
+
+def _programs(prefix: np.ndarray, digits: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Verdicts of witness programs of one length under right checksums: version, payload in five-bit digits, six digits of checksum."""
+    size, spare = divmod(5 * (digits.shape[1] - 7), 8)
+    if digits.shape[1] < 7 or spare > 4 or not 2 <= size <= 40:
+        return np.full(len(digits), "malformed", dtype=object)
+    version = digits[:, 0]
+    bad = (version > 16) | ((check == PLAIN) != (version == 0)) | (digits[:, -7] & ((1 << spare) - 1) != 0)
+    if size not in (20, 32):
+        bad |= version == 0
+    main = (prefix == np.frombuffer(b"bc", dtype=np.uint8)).all(axis=1) if prefix.shape[1] == 2 else np.zeros(len(digits), dtype=bool)
+    kind = np.where(version > 0, "witness-v1-plus", "p2wpkh" if size == 20 else "p2wsh")
+    return np.select([bad, ~main], ["malformed", "wrong-network"], kind).astype(object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("verdict", T.StringType()), T.StructField("raw", T.BinaryType())]))
+def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The verdict of a segwit string, or the bytes of a base58 one, whose hashes are left to built-in functions."""
     segwit = ("bc1", "tb1", "bcrt1")
     for batch in batches:
         batch = batch.reset_index(drop=True)
-        out = pd.Series(None, index=batch.index, dtype=object)
+        verdict, raw = pd.Series(None, index=batch.index, dtype=object), pd.Series(None, index=batch.index, dtype=object)
         known = batch.notna()
         wit = known & batch.str.lower().str.startswith(segwit, na=False)
-        out[wit] = _bech32_batch(batch[wit])
-        rest = known & ~wit
-        out[rest] = batch[rest].map(_base58)
-        yield out
+        judged, other = _bech32_batch(batch[wit])
+        verdict[wit] = judged
+        rest = batch.index[known & ~wit].append(other)
+        good, data = _base58_batch(batch[rest].tolist())
+        verdict[rest] = np.where(good, None, "malformed")
+        data = data[good].tobytes()
+        raw[rest[good]] = [data[i : i + RAW] for i in range(0, len(data), RAW)]
+        yield pd.DataFrame({"verdict": verdict, "raw": raw})
 
 
 KINDS = ("p2pkh", "p2sh", "p2wpkh", "p2wsh", "witness-v1-plus")
@@ -129,12 +160,13 @@ def address_quality(df: DataFrame, column: str = "address", params: Params = Par
     """Add ``valid``, ``kind`` (valid addresses) and ``reason`` (all others)."""
     text = F.regexp_replace(F.col(column).cast("string"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     guarded = df.withColumn("_text", text).withColumn("_guard", guard_verdict(F.col("_text"), params.address_max_length))
-    decoded = checksum_verdict(F.when(F.col("_guard").isNull(), F.col("_text")))
-    judged = guarded.withColumn("_verdict", F.coalesce("_guard", decoded))
+    decoded = guarded.withColumn("_decoded", decode(F.when(F.col("_guard").isNull(), F.col("_text"))))
+    summed = F.when(F.col("_decoded.raw").isNotNull(), _base58_verdict(F.col("_decoded.raw")))
+    judged = decoded.withColumn("_verdict", F.coalesce("_guard", summed, "_decoded.verdict"))
     valid = F.col("_verdict").isin(*KINDS)
     return judged.withColumns(
         {"valid": valid, "kind": F.when(valid, F.col("_verdict")), "reason": F.when(~valid, F.col("_verdict"))}
-    ).drop("_text", "_guard", "_verdict")
+    ).drop("_text", "_guard", "_decoded", "_verdict")
 
 
 def quality_counts(judged: DataFrame) -> DataFrame:

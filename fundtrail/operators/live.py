@@ -40,7 +40,7 @@ class TxIndex:
     """
 
     by_address: KeyedTable  # address, tx_hash, block_time
-    by_tx: KeyedTable       # tx_hash, side, address, time_step
+    by_tx: KeyedTable       # tx_hash, side, address, time_step, rows
 
     def flow_rows(self) -> DataFrame:
         return self.by_tx.rows()
@@ -49,7 +49,8 @@ class TxIndex:
 def build_tx_index(io: DataFrame, path: str | None = None, part_rows: int = PART_ROWS) -> TxIndex:
     """Index the flat transactions in ``path``, or in a folder of the session: one exchange for each of the two tables."""
     rows = with_address(io)
-    sides = rows.select("tx_hash", "side", "address", tx_time_step(F.col("block_time")).alias("time_step")).distinct()
+    sides = rows.select("tx_hash", "side", "address", tx_time_step(F.col("block_time")).alias("time_step"))
+    sides = sides.groupBy("tx_hash", "side", "address", "time_step").agg(F.count("*").alias("rows"))
     by_address = store_keyed(address_transactions(io), ["address"], "tx_hash", path and f"{path}/by_address", part_rows, counted=rows)
     return TxIndex(by_address, store_keyed(sides, ["tx_hash"], "address", path and f"{path}/by_tx", None))
 
@@ -58,6 +59,12 @@ def read_tx_index(spark: SparkSession, path: str) -> TxIndex:
     return TxIndex(load_keyed(spark, f"{path}/by_address"), load_keyed(spark, f"{path}/by_tx"))
 
 
+def own_transactions(seeds: DataFrame, index: TxIndex) -> DataFrame:
+    """(seed, tx_hash, side, address, rows): inputs and outputs of the transactions that each seed itself is in."""
+    mine = index.by_address.meet(seeds.select("seed", F.col("seed").alias("address")).distinct()).select("seed", "tx_hash")
+    return index.by_tx.meet(mine).select("seed", "tx_hash", "side", "address", "rows")
+
+
 def bounded_expansion(seeds: DataFrame, index: TxIndex, hop_depth: int, params: Params = Params()) -> Expansion:
     """Look up each seed address, then all its counterparties, level by level.
 

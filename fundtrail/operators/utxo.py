@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import STEP_SECONDS, TIER_LIVE_UTXO
+from ..session import materialize
 from .components import connected_components
 from .ranking import global_rank, top_per_key
 
@@ -86,17 +89,19 @@ def address_activity(addresses: DataFrame, io: DataFrame) -> DataFrame:
     )
 
 
-def change_outputs(io: DataFrame) -> DataFrame:
+def change_outputs(io: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(tx_hash, change_address): the one output address of a several-output transaction that
     occurs nowhere else. Occurrences are counted per address, so only addresses seen exactly
-    once reach the per-transaction step."""
+    once reach the per-transaction step. With ``scope`` columns everything holds within each value of them;
+    a ``rows`` column says how many inputs or outputs a row stands for."""
     rows = with_address(io)
-    once = rows.groupBy("address").agg(
-        F.count("*").alias("n"), F.min("side").alias("side"), F.min("tx_hash").alias("tx_hash")
+    n = F.col("rows") if "rows" in io.columns else F.lit(1)
+    once = rows.groupBy(*scope, "address").agg(
+        F.sum(n).alias("n"), F.min("side").alias("side"), F.min("tx_hash").alias("tx_hash")
     ).where("n = 1 and side = 'out'")
-    sole = once.groupBy("tx_hash").agg(F.count("*").alias("n_new"), F.min("address").alias("change_address")).where("n_new = 1")
-    shape = rows.groupBy("tx_hash").agg(F.count_if(F.expr("side = 'out'")).alias("n_out"))
-    return sole.join(shape.where("n_out >= 2"), "tx_hash").select("tx_hash", "change_address")
+    sole = once.groupBy(*scope, "tx_hash").agg(F.count("*").alias("n_new"), F.min("address").alias("change_address")).where("n_new = 1")
+    shape = rows.groupBy(*scope, "tx_hash").agg(F.sum(F.when(F.col("side") == "out", n).otherwise(0)).alias("n_out"))
+    return sole.join(shape.where("n_out >= 2"), [*scope, "tx_hash"]).select(*scope, "tx_hash", "change_address")
 
 
 def change_address_links(io: DataFrame) -> DataFrame:
@@ -105,12 +110,12 @@ def change_address_links(io: DataFrame) -> DataFrame:
     return inputs.join(change_outputs(io), "tx_hash").select("tx_hash", "address", "change_address")
 
 
-def ownership_links(io: DataFrame) -> DataFrame:
+def ownership_links(io: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """A star per transaction: smallest input address to its other inputs and to its change."""
-    inputs = with_address(io).where("side = 'in'").select("tx_hash", "address")
-    first = inputs.groupBy("tx_hash").agg(F.min("address").alias("src"))
-    owned = inputs.unionByName(change_outputs(io).withColumnRenamed("change_address", "address"))
-    return owned.join(first, "tx_hash").where("address <> src").select("src", F.col("address").alias("dst"))
+    inputs = with_address(io).where("side = 'in'").select(*scope, "tx_hash", "address")
+    first = inputs.groupBy(*scope, "tx_hash").agg(F.min("address").alias("src"))
+    owned = inputs.unionByName(change_outputs(io, scope).withColumnRenamed("change_address", "address"))
+    return owned.join(first, [*scope, "tx_hash"]).where("address <> src").select(*scope, "src", F.col("address").alias("dst"))
 
 
 def utxo_components(io: DataFrame) -> DataFrame:
@@ -119,6 +124,42 @@ def utxo_components(io: DataFrame) -> DataFrame:
     return connected_components(nodes, ownership_links(io)).toDF("address", "cluster")
 
 
+#: Parts a case and an address within one name; neither has the character.
+JOINT = "\0"
+
+
+def case_components(case_rows: DataFrame) -> DataFrame:
+    """(seed, address, occurrences, cluster) of all cases at once, over ``case_rows`` (seed, tx_hash, side, address, rows).
+
+    An address counts, and links, within each case on its own: nodes are pairs of a case and an address, so cases that share
+    addresses can't join. A cluster is named after its smallest address.
+    """
+    node = lambda c: F.concat_ws(JOINT, F.col("seed").cast("string"), F.col(c))
+    seen = with_address(case_rows).groupBy("seed", "address").agg(F.sum("rows").alias("occurrences"))
+    seen = materialize(seen.withColumn("node", node("address")), "case-addresses")
+    links = ownership_links(case_rows, ["seed"]).select(node("src").alias("src"), node("dst").alias("dst"))
+    found = connected_components(seen.select("node"), links)
+    return seen.join(found, "node").select("seed", "address", "occurrences", F.element_at(F.split("component", JOINT), -1).alias("cluster"))
+
+
+def case_clusters(components: DataFrame, sample: int) -> DataFrame:
+    """Each case's clusters, numbered within the case by name, with size, occurrences and a bounded member sample.
+
+    Numbers come from one ranking of all clusters less the rank of the case's first, so a case of any size is spread out.
+    """
+    sizes = components.groupBy("seed", "cluster").agg(F.count("*").alias("n_wallets"), F.sum("occurrences").alias("occurrences"))
+    ranked = global_rank(sizes, [F.col("seed"), F.col("cluster")], "place")
+    first = ranked.groupBy("seed").agg(F.min("place").alias("first"))
+    members = top_per_key(components.select("seed", "cluster", "address"), ["seed", "cluster"], [F.col("address")], sample).groupBy("seed", "cluster").agg(
+        F.sort_array(F.collect_list("address")).alias("members_sample")
+    )
+    return ranked.join(first, "seed").join(members, ["seed", "cluster"]).select(
+        "seed", F.concat(F.lit("live_cluster_"), F.col("place") - F.col("first") + 1).alias("cluster_id"),
+        F.lit(TIER_LIVE_UTXO).alias("confidence_tier"), "cluster", "n_wallets", "occurrences", "members_sample",
+        F.greatest(F.col("n_wallets") - sample, F.lit(0)).alias("n_members_truncated"),
+    )
+
+
 def utxo_clusters(components: DataFrame, sample: int) -> DataFrame:
     """Numbered clusters with size and a bounded member sample."""
     sizes = components.groupBy("cluster").agg(F.count("*").alias("n_wallets"))

@@ -204,6 +204,18 @@ def utxo_cluster_numbering(t: Tables):
     return numbered.select("cluster_id", "confidence_tier", "n_wallets", F.concat_ws(",", "members_sample").alias("members"), "n_members_truncated")
 
 
+@query("utxo_clusters_per_case", """
+    select seed, 'live_cluster_' || row_number() over (partition by seed order by cluster) as cluster_id, cluster, count(*) as n_wallets,
+           sum(occurrences)::bigint as occurrences, array_to_string(list_sort(list(address))[1:10], ',') as members, greatest(count(*) - 10, 0) as n_members_truncated
+    from owncc join ownfreq using (seed, address) group by seed, cluster""")
+def utxo_clusters_per_case(t: Tables):
+    """Clusters of each live wallet over its own transactions, all wallets at once."""
+    found = utxo.case_components(live.own_transactions(t.live_seeds, t.tx_index))
+    return utxo.case_clusters(found, t.params.member_sample).select(
+        "seed", "cluster_id", "cluster", "n_wallets", "occurrences", F.concat_ws(",", "members_sample").alias("members"), "n_members_truncated"
+    )
+
+
 def expansion(t: Tables):
     return live.bounded_expansion(t.live_seeds, t.tx_index, 3, t.params)
 

@@ -198,3 +198,17 @@ view("alerts", """
            case when event_type = 'purchase' then sats when value > 25 then 2 * sats - 7 else sats end as sats,
            fee_rate, case when event_type = 'purchase' then 'x2' when value > 25 then address else 'x1' end as counterparty
     from pollset where event_type in ('purchase', 'signup')""")
+# Clusters of each case on its own transactions.
+view("ownrow", "select distinct l.seed, i.* from liveseeds l join addrtx t on t.address = l.seed join (select *, row_number() over () as r from ioa) i on i.tx_hash = t.tx_hash")
+view("ownfreq", "select seed, address, count(*) as occurrences from ownrow group by 1, 2")
+view("ownchange", """
+    select o.seed, o.tx_hash, min(o.address) filter (f.occurrences = 1) as change_address from ownrow o join ownfreq f on f.seed = o.seed and f.address = o.address
+    where side = 'out' group by 1, 2 having count(*) >= 2 and count(*) filter (f.occurrences = 1) = 1""")
+view("ownlink", """
+    select i.seed, i.address as a, c.change_address as b from ownrow i join ownchange c on c.seed = i.seed and c.tx_hash = i.tx_hash where side = 'in' union
+    select a.seed, a.address, b.address from ownrow a join ownrow b on a.seed = b.seed and a.tx_hash = b.tx_hash where a.side = 'in' and b.side = 'in' and a.address < b.address""")
+view("ownund", "select seed, a as node, b as nbr from ownlink union select seed, b, a from ownlink")
+view("ownspread", """
+    select seed, address, address from ownfreq union
+    select s.seed, nbr, root from ownspread s join ownund u on u.seed = s.seed and u.node = s.node where root < nbr""", "seed, node, root")
+view("owncc", "select seed, node as address, min(root) as cluster from ownspread group by 1, 2")
