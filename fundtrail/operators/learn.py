@@ -7,12 +7,12 @@ import time
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_labelled
 from ..params import Params
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .ranking import one_row
 
 
@@ -54,6 +54,47 @@ def predict_risk(model: PipelineModel, features: DataFrame) -> DataFrame:
     return model.transform(vectors).select("tx_id", vector_to_array("probability")[1].alias("risk"))
 
 
+def forest_table(model: PipelineModel) -> DataFrame:
+    """The forest as rows (tree, node, feature, threshold, left, right, value, levels).
+
+    ``value`` is the illicit share of the weight at a node, ``feature`` is null at leaves, and node 0 is a tree's root.
+    ``levels`` is the longest way down, the same on all rows. The rows come from the files a model is saved in.
+    """
+    forest = model.stages[-1]
+    spark = SparkSession.active()
+    path = scratch_path(spark, "forest")
+    forest.save(path)
+    node, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
+    inner = node["leftChild"] >= 0
+    return spark.read.load(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(inner, node["leftChild"]).alias("left"), F.when(inner, node["rightChild"]).alias("right"),
+        (F.coalesce(F.get(stats, F.lit(1)), F.lit(0.0)) / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("value"),
+        F.lit(max(t.depth for t in forest.trees)).alias("levels"),
+    )
+
+
+def forest_risk(forest: DataFrame, features: DataFrame) -> DataFrame:
+    """(tx_id, risk) by joins with the forest's rows, level by level.
+
+    Every row starts at each tree's root and steps to a child until it stands at a leaf; its risk is the mean of the leaves' values.
+    A forest that Spark finds small enough is broadcast, and rows then meet all levels in one stage; of a larger one the joins
+    go by (tree, node). Rows without features are left out, as they cannot be scored.
+    """
+    levels = forest.agg(F.max("levels")).first()[0] or 0
+    trees = forest.select("tree").distinct().agg(F.sort_array(F.collect_list("tree"))).first()[0]  # a number for each tree
+    vectors = features.where(F.col("features").isNotNull()).select("tx_id", F.col("features").cast("array<double>").alias("x"))
+    at = vectors.select("tx_id", "x", F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree"), F.lit(0).alias("node"))
+    inner = forest.where("feature is not null").select("tree", "node", "feature", "threshold", "left", "right")
+    for _ in range(levels):
+        step = F.when(F.col("feature").isNull(), F.col("node")).when(F.get("x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        at = at.join(inner, ["tree", "node"], "left").select("tx_id", "x", "tree", step.alias("node"))
+    leaves = forest.select("tree", "node", "value")
+    return at.join(leaves, ["tree", "node"]).groupBy("tx_id").agg(F.avg("value").alias("risk"))
+
+
 def learned_signal(wallets: DataFrame, risks: DataFrame, params: Params) -> DataFrame:
     """Wallets without features stay unclassified: no risk, no flag. The flag uses the unrounded risk."""
     known = F.col("risk").isNotNull()
@@ -116,14 +157,30 @@ def train_and_evaluate(nodes: DataFrame, split: DataFrame, params: Params, model
         F.round(F.col("n_train_txids") / (2 * (F.col("n_train_txids") - F.col("n_illicit_train"))), 6).alias("weight_licit"),
     )
     if model_path:
-        model.write().overwrite().save(model_path)
+        forest_table(model).write.mode("overwrite").parquet(model_path)
     if report_path:
         report.write.mode("overwrite").json(report_path)
     return model, report
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a stored forest, for :func:`forest_risk`."""
+    return spark.read.parquet(path)
+
+
+def forest_faults(forest: DataFrame, n_features: int) -> DataFrame:
+    """One row of counts over a stored forest: trees, and rows that no tree can have."""
+    children = forest.where("feature is not null").select("tree", F.explode(F.array("left", "right")).alias("node"))
+    named = children.groupBy("tree", "node").agg(F.count("*").alias("n"))
+    rows = forest.join(named, ["tree", "node"], "full_outer")
+    root = F.col("node") == 0
+    return rows.agg(
+        F.countDistinct("tree").alias("trees"),
+        (F.count_if(F.col("feature").isNull()) - F.count("feature")).alias("leaves_less_inner"),
+        F.count_if(F.col("value").isNull() | ~F.coalesce("value", F.lit(0.0)).between(0, 1)).alias("bad_values"),
+        F.count_if((root & F.col("n").isNotNull()) | (~root & (F.coalesce("n", F.lit(0)) != 1))).alias("bad_links"),
+        F.count_if(F.col("feature").isNotNull() & (~F.col("feature").between(0, n_features - 1) | F.col("threshold").isNull())).alias("bad_splits"),
+    )
 
 
 def audit_sample(nodes: DataFrame, seed: int, n_licit: int = 25, n_illicit: int = 25, n_any: int = 60) -> DataFrame:

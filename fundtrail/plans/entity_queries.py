@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clusters, correlate, entities, learn
+from ..operators.ranking import one_row
 from ..session import scratch_path
 from ..sources import sinks
 from . import views  # noqa: F401
-from .domain import Tables
+from .domain import TEST_PARAMS, Tables
 from .registry import query
 
 
@@ -113,44 +114,76 @@ def class_weights(t: Tables):
     return learn.class_weights(learn.train_split(t.nodes, t.split).where("split = 'train'"))
 
 
-def fitted(t: Tables):
-    """A forest of the documented size on the train split, saved and loaded again."""
-    path = scratch_path(t.spark, "model")
-    learn.train_and_evaluate(t.features, t.split, t.params, model_path=path, report_path=f"{path}-report")
-    return path
+FOREST = f"{TEST_PARAMS.forest_trees} as n_estimators, {TEST_PARAMS.forest_depth} as max_depth, {TEST_PARAMS.seed} as seed"
+# What a report says about its rows, whatever the forest: tp + fn and fp + tn are the classes of the test split.
+EVALUATED = f"""
+    with r as (select label, split from nodes join splits using (tx_id) where label in (0, 1) and split in ('train', 'test') and tx_id in (select l_orderkey from lineitem)),
+         n as (select count(*) filter (split = 'test') as n_test, count(*) filter (split = 'test' and label = 1) as i_test,
+                      count(*) filter (split = 'train') as n_train, count(*) filter (split = 'train' and label = 1) as i_train from r)
+    select n_test, i_test as illicit, n_test - i_test as licit, n_train as n_train_txids, i_test as n_illicit_test, i_train as n_illicit_train,
+           round(n_train / (2 * i_train), 6) as weight_illicit, round(n_train / (2 * (n_train - i_train)), 6) as weight_licit, true as consistent, {FOREST} from n"""
 
 
-@query("train_model")
+def fitted(t: Tables) -> str:
+    """A forest of the documented size on the train split, stored with its report."""
+    def build() -> str:
+        path = scratch_path(t.spark, "model")
+        learn.train_and_evaluate(t.features, t.split, t.params, model_path=path, report_path=f"{path}-report")
+        return path
+
+    return t.once("forest", build)
+
+
+def evaluated(report):
+    """The columns of a report that follow from its rows, and whether the others follow from them."""
+    rate = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    near = lambda name, value: F.abs(F.col(name) - value) < 1e-9
+    consistent = near("illicit_recall", rate(tp, tp + fn)) & near("illicit_precision", rate(tp, tp + fp)) & near("accuracy", rate(tp + tn, F.col("n_test"))) & (F.col("training_seconds") > 0)
+    return report.select(
+        "n_test", (tp + fn).alias("illicit"), (fp + tn).alias("licit"), "n_train_txids", "n_illicit_test", "n_illicit_train", "weight_illicit", "weight_licit",
+        consistent.alias("consistent"), F.col("n_estimators").cast("int").alias("n_estimators"), F.col("max_depth").cast("int").alias("max_depth"), F.col("seed").cast("int").alias("seed"),
+    )
+
+
+@query("train_model", f"""
+    select {TEST_PARAMS.forest_trees} as trees, {TEST_PARAMS.forest_trees} as leaves_less_inner, 0 as bad_values, 0 as bad_links, 0 as bad_splits,
+           (select count(*) from nodes join splits using (tx_id) where label in (0, 1) and split = 'train' and tx_id in (select l_orderkey from lineitem)) as train_rows""")
 def train_model(t: Tables):
+    """A fitted forest as a table: whole trees, shares as values, splits on known features."""
     train = learn.train_split(t.features, t.split).where("split = 'train'")
-    model = learn.train_model(train, t.params)
-    forest = model.stages[-1]
-    trees = t.spark.createDataFrame([(forest.getNumTrees, forest.totalNumNodes)], "trees int, tree_nodes int")
-    return trees.withColumn("train_rows", train.agg(F.count("*")).scalar())
+    faults = learn.forest_faults(learn.forest_table(learn.train_model(train, t.params)), 8)
+    return faults.withColumn("train_rows", train.agg(F.count("*")).scalar())
 
 
-@query("train_and_evaluate")
+@query("train_and_evaluate", EVALUATED)
 def train_and_evaluate(t: Tables):
-    return learn.train_and_evaluate(t.features, t.split, t.params)[1]
+    return evaluated(learn.train_and_evaluate(t.features, t.split, t.params)[1])
 
 
-@query("model_eval_report")
+@query("model_eval_report", EVALUATED)
 def model_eval_report(t: Tables):
-    return t.spark.read.json(f"{fitted(t)}-report")
+    return evaluated(t.spark.read.json(f"{fitted(t)}-report"))
 
 
-@query("sink_model")
+@query("sink_model", f"""
+    select count(distinct l_orderkey) as scored, true as in_range, {TEST_PARAMS.forest_trees} as trees, {TEST_PARAMS.forest_trees} as leaves_less_inner from lineitem""")
 def sink_model(t: Tables):
-    model = learn.load_model(fitted(t))
-    return learn.predict_risk(model, t.features).select(
-        F.count("*").alias("scored"), F.min("risk").alias("lowest"), F.max("risk").alias("highest")
-    )
+    """Every row with features scored by joins with the stored forest."""
+    forest = learn.load_model(t.spark, fitted(t))
+    scored = learn.forest_risk(forest, t.features).agg(F.count("*").alias("scored"), F.min(F.col("risk").between(0, 1)).alias("in_range"))
+    return one_row(scored, learn.forest_faults(forest, 8).select("trees", "leaves_less_inner"))
 
 
-@query("score_all")
+@query("score_all", "select distinct l_orderkey as tx_id, true as in_range, true as agrees from lineitem")
 def score_all(t: Tables):
+    """Risks by the fitted model, within 0 and 1 and equal to those that joins with its table give."""
     train = learn.train_split(t.features, t.split).where("split = 'train'")
-    return learn.predict_risk(learn.train_model(train, t.params), t.features)
+    model = learn.train_model(train, t.params)
+    joined = learn.forest_risk(learn.forest_table(model), t.features).withColumnRenamed("risk", "by_joins")
+    return learn.predict_risk(model, t.features).join(joined, "tx_id").select(
+        "tx_id", F.col("risk").between(0, 1).alias("in_range"), (F.abs(F.col("risk") - F.col("by_joins")) < 1e-9).alias("agrees")
+    )
 
 
 @query("score_wallets", """

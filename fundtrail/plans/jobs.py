@@ -52,7 +52,7 @@ def verdicts(spark: SparkSession, store: str, mixers: DataFrame, params: Params
     wallets = nodes.select("tx_id")
     found = rules.run_rules(wallets, nodes, graph.read_graph_index(spark, f"{store}/graph"), mixers, params)
     if scored:
-        risks = learn.predict_risk(learn.load_model(f"{store}/model"), nodes)
+        risks = learn.forest_risk(learn.load_model(spark, f"{store}/model"), nodes)
     else:
         risks = nodes.select("tx_id", F.lit(None).cast("double").alias("risk"))
     result = correlate.correlate(found, learn.learned_signal(wallets, risks, params))

@@ -218,7 +218,7 @@ def test_training_uses_labelled_rows_and_leaves_unknown_wallets_unscored(spark,
     _, report = learn.train_and_evaluate(nodes, split, Params(forest_trees=5, forest_depth=3), path, f"{path}-report")
     row = report.first()
     assert row["illicit_recall"] == 1.0 and row["weight_illicit"] == 1.0 and row["n_estimators"] == 5
-    risks = learn.predict_risk(learn.load_model(path), nodes)
+    risks = learn.forest_risk(learn.load_model(spark, path), nodes)
     assert risks.where("risk < 0 or risk > 1").count() == 0
     asked = spark.createDataFrame([("t1",), ("stranger",)], "tx_id string")
     got = {r["tx_id"]: r for r in learn.learned_signal(asked, risks, Params()).collect()}
