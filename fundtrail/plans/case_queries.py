@@ -228,8 +228,9 @@ def alert_state(t: Tables):
     """The same state, kept by a stream over landed poll files."""
     landing, sink, checkpoint = t.landed(t.polls, "polls"), scratch_path(t.spark, "state"), scratch_path(t.spark, "state-cp")
     stream = watch.stream_polls(t.spark, landing, max_files=4)
-    watch.stream_alert_state(stream, sink, checkpoint, {"availableNow": True}, compact_every=2).awaitTermination()
-    return flat_state(watch.read_alert_state(t.spark, sink, landed_watchlist(t)))
+    listed = landed_watchlist(t)
+    watch.stream_alert_state(stream, sink, checkpoint, {"availableNow": True}, compact_every=2, watchlist=listed).awaitTermination()
+    return flat_state(watch.read_alert_state(t.spark, sink, listed))
 
 
 @query("stream_alerts", """

@@ -6,6 +6,8 @@ the name says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,22 +105,44 @@ def _changes_alert() -> Column:
     return F.col("ok") & ((F.col("n_txs") <= 0) | F.col("alert").isNotNull())
 
 
-def alert_state(outcomes: DataFrame) -> DataFrame:
-    """Current state per address, as an aggregate that a stream can keep incrementally.
+def state_parts(outcomes: DataFrame) -> DataFrame:
+    """What some polls say about each address: the newest settling poll and its alert, the newest success, the newest poll.
 
-    The newest settling poll decides the alert, the newest success the freshness and the
-    newest poll the error. Order of arrival does not matter.
+    Parts of any polls add up to the state after all of them, in any order and however often: see :func:`merge_states`.
     """
-    at = F.struct("poll_ts", "poll_id")
-    newest = F.max_by(F.struct("ok", "reason"), at)
+    at, settles = F.struct("poll_ts", "poll_id"), _changes_alert()
     return outcomes.groupBy("address").agg(
-        F.max_by("alert", F.when(_changes_alert(), at)).alias("alert"),
+        F.max(F.when(settles, at)).alias("settled_at"),
+        F.max_by("alert", F.when(settles, at)).alias("alert"),
         F.max(F.when(F.col("ok"), F.col("poll_ts"))).alias("last_ok_ts"),
-        newest["reason"].alias("reason"),
-        F.max("poll_ts").alias("last_poll_ts"),
+        F.max(at).alias("newest_at"),
+        F.max_by(F.struct("reason"), at)["reason"].alias("reason"),
+    )
+
+
+def merge_states(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("address").agg(
+        F.max("settled_at").alias("settled_at"),
+        F.max_by("alert", "settled_at").alias("alert"),
+        F.max("last_ok_ts").alias("last_ok_ts"),
+        F.max("newest_at").alias("newest_at"),
+        F.max_by(F.struct("reason"), "newest_at")["reason"].alias("reason"),
     )
 
 
+def alert_state(outcomes: DataFrame) -> DataFrame:
+    """Current state per address.
+
+    The newest settling poll decides the alert, the newest success the freshness and the
+    newest poll the error. Order of arrival does not matter.
+    """
+    return shown_state(state_parts(outcomes))
+
+
+def shown_state(state: DataFrame) -> DataFrame:
+    return state.select("address", "alert", "last_ok_ts", "reason", F.col("newest_at.poll_ts").alias("last_poll_ts"))
+
+
 def alert_history(outcomes: DataFrame, bucket: Column) -> DataFrame:
     """State of each address as of every poll (batch). ``bucket`` splits long histories in time."""
     settled = F.when(_changes_alert(), F.struct("alert"))
@@ -130,32 +154,42 @@ def alert_history(outcomes: DataFrame, bucket: Column) -> DataFrame:
     return filled.select("poll_id", "address", "poll_ts", F.col("settled.alert").alias("alert"), "reason", "last_ok_ts")
 
 
-def stream_alert_state(polls: DataFrame, sink: str, checkpoint: str, trigger: dict, compact_every: int = COMPACT_EVERY):
+def stream_alert_state(polls: DataFrame, sink: str, checkpoint: str, trigger: dict, compact_every: int = COMPACT_EVERY, watchlist: str | None = None):
     """Start the monitoring query.
 
-    State is kept for every polled address; the watch list applies when the state is read, so wallets may be added and
-    removed while the stream runs. Each batch adds the addresses it changed under its own batch folder, so a repeated batch
-    replaces itself. Every ``compact_every`` batches the folder holds one row per address and the older
-    ones are removed; until they are gone, readers find the same newest rows.
+    The stream itself holds no state. Each batch writes what its polls say about their addresses under its own folder, so a
+    repeated batch replaces itself, and late polls add up like any others. Every ``compact_every`` batches the folders
+    become one with one row per address.
+
+    With a ``watchlist`` only polls of wallets that are on the list at the time count, and a wallet that has left it loses its
+    state with the next compaction; back on the list it starts anew. Without one every polled address is kept.
     """
-    state = alert_state(read_polls(polls))
+    outcomes = read_polls(polls)
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows if watchlist is None else rows.join(read_watchlist(rows.sparkSession, watchlist).select("address").distinct(), "address", "left_semi")
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        older = [] if n == 0 or n % compact_every else [p for p in batch_folders(spark, sink) if p[0] <= n]
-        if older:
-            known = spark.read.schema(rows.schema).option("basePath", sink).parquet(*[p for _, p in older])
-            rows = materialize(newest_states(rows.withColumn("batch", F.lit(n + 1)).unionByName(known)), "alert-state")
-        rows.write.mode("overwrite").parquet(f"{sink}/batch={n}")
-        for m, path in older:
-            if m < n:
-                remove_path(spark, path)
-
-    return (
-        state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .foreachBatch(write).trigger(**trigger).start()
-    )
+        store_batch(state_parts(listed(batch)), sink, n, compact_every, lambda rows: listed(merge_states(rows)))
+
+    return outcomes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+
+
+def store_batch(rows: DataFrame, sink: str, n: int, compact_every: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the rows of batch ``n`` to its folder; every ``compact_every`` batches merge the folders before it into this one.
+
+    The merged rows are written elsewhere first and the older folders go last, so at any time readers find every row at least once;
+    ``merge`` must not mind finding one twice.
+    """
+    spark = rows.sparkSession
+    older = [] if n == 0 or n % compact_every else [p for p in batch_folders(spark, sink) if p[0] <= n]
+    if older:
+        known = spark.read.schema(rows.schema).option("basePath", sink).parquet(*[p for _, p in older])
+        rows = materialize(merge(rows.unionByName(known.select(*rows.columns))), "batches")
+    rows.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+    for m, path in older:
+        if m < n:
+            remove_path(spark, path)
 
 
 def batch_folders(spark: SparkSession, sink: str) -> list[tuple[int, str]]:
@@ -168,25 +202,21 @@ def batch_folders(spark: SparkSession, sink: str) -> list[tuple[int, str]]:
     return sorted((int(name.removeprefix("batch=")), path) for name, path in named if name.startswith("batch="))
 
 
-def newest_states(rows: DataFrame) -> DataFrame:
-    columns = [c for c in rows.columns if c not in ("address", "batch")]
-    return rows.groupBy("address").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("address", "s.*")
-
-
 def read_alert_state(spark: SparkSession, sink: str, watchlist: str) -> DataFrame:
-    """The newest state of every address that is on the list now, from the batches written so far."""
-    rows = spark.read.parquet(sink)
-    return newest_states(rows.join(read_watchlist(spark, watchlist).select("address"), "address", "left_semi"))
+    """The state of every address that is on the list now, from the batches written so far."""
+    rows = spark.read.parquet(sink).drop("batch")
+    return shown_state(merge_states(rows.join(read_watchlist(spark, watchlist).select("address"), "address", "left_semi")))
 
 
-def stream_alerts(polls: DataFrame, watchlist: str, sink: str, checkpoint: str, trigger: dict):
+def stream_alerts(polls: DataFrame, watchlist: str, sink: str, checkpoint: str, trigger: dict, compact_every: int = COMPACT_EVERY):
     """Start the alert feed: one row per poll with a relevant transaction of a wallet that is on the list at the time.
 
-    Each batch has its own folder below ``sink``; a repeated batch replaces itself.
+    Each batch has its own folder below ``sink``; a repeated batch replaces itself. Every ``compact_every`` batches the folders become one.
     """
     alerts = mempool_alerts(read_polls(polls))
 
     def write(batch: DataFrame, n: int) -> None:
-        watched_polls(batch, read_watchlist(batch.sparkSession, watchlist)).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        found = watched_polls(batch, read_watchlist(batch.sparkSession, watchlist))
+        store_batch(found, sink, n, compact_every, lambda rows: rows.dropDuplicates(["poll_id", "address"]))
 
     return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()

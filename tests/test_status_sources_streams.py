@@ -218,6 +218,29 @@ def test_state_as_a_stream_over_late_files(spark, tmp_path):
     assert len(watch.batch_folders(spark, str(tmp_path / "state"))) <= 2
 
 
+def test_a_wallet_off_the_list_loses_its_state(spark, tmp_path):
+    landing, path, sink = tmp_path / "landing", str(tmp_path / "list"), str(tmp_path / "state")
+    rows = transition_polls(spark)
+    put = lambda names: spark.createDataFrame([(n, "watch") for n in names], watchlist.WATCH_SCHEMA).write.mode("overwrite").parquet(path)
+    kept = lambda: spark.read.parquet(sink).select("address").distinct().count()
+
+    def poll(part):
+        part.coalesce(1).write.mode("append").json(str(landing))
+        stream = watch.stream_polls(spark, str(landing))
+        watch.stream_alert_state(stream, sink, str(tmp_path / "cp"), {"availableNow": True}, compact_every=2, watchlist=path).awaitTermination()
+
+    put(TRANSITIONS)
+    poll(rows)
+    assert kept() == len(TRANSITIONS) and as_dict(watch.read_alert_state(spark, sink, path)) == WANT
+    put(["raise", "recovery clears the error"])
+    later = rows.where("address = 'raise'").withColumn("poll_id", F.col("poll_id") + 100).withColumn("poll_ts", F.col("poll_ts") + 100)
+    for i in range(2):
+        poll(later.withColumn("poll_id", F.col("poll_id") + i))
+    assert kept() == 2 and as_dict(watch.read_alert_state(spark, sink, path)) == {"raise": ("gain", None, 101), "recovery clears the error": WANT["recovery clears the error"]}
+    put([*TRANSITIONS])  # back on the list they start anew
+    assert set(as_dict(watch.read_alert_state(spark, sink, path))) == {"raise", "recovery clears the error"}
+
+
 def test_alert_feed_follows_the_list_of_a_running_stream(spark, tmp_path):
     landing, path = tmp_path / "landing", str(tmp_path / "list")
     rows = transition_polls(spark).where("address = 'raise'")
