@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import TIER_DATASET, TIER_SUPPLEMENTARY
+from ..session import materialize
 from .ranking import top_per_key
 
 
@@ -105,9 +106,8 @@ def cluster_report_totals(attributed: DataFrame, tags: DataFrame) -> DataFrame:
     ).select("*", loaded.scalar().alias("exchange_list_loaded"))
 
 
-def cluster_report(entities: DataFrame, nodes: DataFrame, tags: DataFrame, address_map: DataFrame, verdicts: DataFrame, sample: int) -> DataFrame:
-    """The full report: one nested row per cluster."""
-    clusters = attribute_clusters(cluster_summary(entities, nodes), match_tags(tags, address_map, entities))
+def cluster_report(entities: DataFrame, clusters: DataFrame, verdicts: DataFrame, sample: int) -> DataFrame:
+    """The full report: one nested row per cluster of ``clusters``, as :func:`attribute_clusters` gives them."""
     counts = cluster_verdicts(cluster_verdict_join(verdicts, entities, clusters), clusters)
     return clusters.join(member_sample(entities, sample), "cluster_id").join(counts, "cluster_id").select(
         "cluster_id", "confidence_tier", "n_wallets",
@@ -140,3 +140,24 @@ def convergence(cases: DataFrame, reach: DataFrame, entities: DataFrame, attribu
         F.count("*").alias("n_cases"), F.round(F.sum("amount"), 2).alias("total_loss")
     ).where(F.col("n_cases") >= min_cases)
     return per_case.join(totals, "cluster_id")
+
+
+def converging_reports(reports: DataFrame, reach: DataFrame, entities: DataFrame, attributed: DataFrame, min_cases: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Where the traces of reports meet: (meetings, totals).
+
+    ``reports`` has ack_number, seed, victim_state, scam_category, amount_inr and amount_btc. A meeting is a row per
+    cluster and report with what the report says and its fewest hops; totals have, per cluster with at least ``min_cases`` reports, its
+    name and jurisdiction, how many reports, states and kinds of fraud meet there, and the joint loss in rupees and bitcoin.
+    """
+    of = entities.select(F.col("tx_id").alias("node"), F.col("entity_id").alias("cluster_id"))
+    met = reach.join(of, "node").groupBy("seed", "cluster_id").agg(F.min("hop").alias("hops"))
+    rows = reports.select("ack_number", "seed", "victim_state", "scam_category", "amount_inr", "amount_btc").join(met, "seed")
+    once = rows.groupBy("cluster_id", "ack_number").agg(
+        F.min(F.struct("hops", "seed", "victim_state", "scam_category", "amount_inr", "amount_btc")).alias("r")
+    ).select("cluster_id", "ack_number", "r.*")
+    totals = once.groupBy("cluster_id").agg(
+        F.count("*").alias("n_cases"), F.countDistinct("victim_state").alias("n_states"), F.countDistinct("scam_category").alias("n_scam_types"),
+        F.round(F.sum("amount_inr"), 2).alias("total_loss_inr"), F.round(F.sum("amount_btc"), 4).alias("total_loss_btc"), F.min("hops").alias("nearest_hops"),
+    ).where(F.col("n_cases") >= min_cases)
+    totals = materialize(totals.join(attributed.select("cluster_id", "attributed_name", "jurisdiction"), "cluster_id", "left"), "converging")
+    return once.join(totals.select("cluster_id"), "cluster_id", "left_semi"), totals

@@ -119,7 +119,7 @@ def split_overlap(split: DataFrame) -> DataFrame:
     return result
 
 
-def leakage_report(split: DataFrame, nodes: DataFrame, edges: DataFrame, params: Params) -> DataFrame:
+def leakage_report(split: DataFrame, nodes: DataFrame, edges: DataFrame, params: Params, require_span_zero: bool = True) -> DataFrame:
     """One row: overlaps, edges across splits, entity spans and the thresholds used."""
     per_id = lambda c: split.groupBy(c).agg((F.min("split") != F.max("split")).alias("mixed"))
     tx = split.groupBy("tx_id").agg(F.min("split").alias("split"), (F.min("split") != F.max("split")).alias("mixed")).agg(
@@ -129,7 +129,7 @@ def leakage_report(split: DataFrame, nodes: DataFrame, edges: DataFrame, params:
     entity = per_id("entity_id").agg(F.count("*").alias("n_entities"), F.count_if("mixed").alias("entity_overlap_count"))
     cross = cross_split_edges(edges, split).agg(F.count("*").alias("cross_split_edge_count"))
     span = entity_span(split, nodes).agg(
-        F.count_if(F.expr("span > 0")).alias("entity_time_span_violations"),
+        F.count_if(F.expr("span > 0")).alias("entity_time_span_violations"), F.count_if(F.expr("span = 0")).alias("n_entities_span0"),
         F.coalesce(F.max("span"), F.lit(0)).alias("max_entity_time_span"),
     )
     return one_row(tx, entity, cross, span).select(
@@ -138,6 +138,7 @@ def leakage_report(split: DataFrame, nodes: DataFrame, edges: DataFrame, params:
         (F.col("entity_time_span_violations") == 0).alias("time_span_ok"),
         F.lit(params.hub_degree).alias("hub_degree_threshold"),
         F.lit(params.train_fraction).alias("train_fraction"),
+        F.lit("time_respecting").alias("split_type"), F.lit(require_span_zero).alias("require_span_zero"),
     )
 
 

@@ -59,6 +59,15 @@ def read_tx_index(spark: SparkSession, path: str) -> TxIndex:
     return TxIndex(load_keyed(spark, f"{path}/by_address"), load_keyed(spark, f"{path}/by_tx"))
 
 
+def known_activity(addresses: DataFrame, index: TxIndex) -> DataFrame:
+    """Number of transactions per address of interest; 0 means no on-chain history."""
+    asked = addresses.select("address").distinct()
+    counts = index.by_address.meet(asked).groupBy("address").agg(F.count("*").alias("tx_count"))
+    return asked.join(counts, "address", "left").select(
+        "address", F.coalesce("tx_count", F.lit(0)).alias("tx_count"), F.col("tx_count").isNotNull().alias("has_history")
+    )
+
+
 def own_transactions(seeds: DataFrame, index: TxIndex) -> DataFrame:
     """(seed, tx_hash, side, address, rows): inputs and outputs of the transactions that each seed itself is in."""
     mine = index.by_address.meet(seeds.select("seed", F.col("seed").alias("address")).distinct()).select("seed", "tx_hash")

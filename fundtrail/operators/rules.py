@@ -154,15 +154,17 @@ def run_rules(wallets: DataFrame, nodes: DataFrame, index: GraphIndex, mixers: D
 def run_rules_shallow(wallets: DataFrame, nodes: DataFrame, index: GraphIndex, mixers: DataFrame, params: Params) -> DataFrame:
     """Rules when the neighbourhood is too small for the peel rule to see the whole graph.
 
-    The same chain operator runs on (seed, node) pairs, so degrees stop at the rim.
+    The same chain operator runs on (seed, node) pairs, so degrees stop at the rim. A wallet's own edges all lie within its
+    neighbourhood, so only wallets that pass on to one node can be in a chain; the others have no neighbourhood worked out.
     """
-    reach = materialize(khop(wallets.select(F.col("tx_id").alias("seed")), index, params.hop_depth), "reach")
+    degrees = materialize(index.degrees(), "degrees")
+    passing = degrees.where("out_degree = 1 and in_degree >= 1").select(F.col("node").alias("seed"))
+    reach = materialize(khop(wallets.select(F.col("tx_id").alias("seed")).join(passing, "seed", "left_semi"), index, params.hop_depth), "reach")
     pair = lambda c: F.struct(F.col("seed"), F.col(c).alias("node"))
     local_nodes = with_node_attributes(reach, nodes).select(pair("node").alias("tx_id"), "time_step")
     local_edges = induced_subgraph(reach, index).select(pair("src").alias("src"), pair("dst").alias("dst"))
     peel = peel_chains(local_nodes, graph_degrees(local_edges), params.peel_min_hops, params.peel_max_gap)
     own = peel.where("tx_id.seed = tx_id.node").withColumn("tx_id", F.col("tx_id.seed"))
-    degrees = materialize(index.degrees(), "degrees")
     burst = fan_out(nodes, index.simple_edges(), degrees, params.fanout_min_out, params.fanout_max_in, params.fanout_window)
     linked = degrees.select(F.col("node").alias("tx_id"))
     mixer = mixer_adjacent(mixers_in_graph(mixers, linked), index, min(params.mixer_max_hops, params.hop_depth))

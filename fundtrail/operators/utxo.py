@@ -119,7 +119,11 @@ def ownership_links(io: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def utxo_components(io: DataFrame) -> DataFrame:
-    """(address, cluster) over co-spend and change links, addresses without links included."""
+    """(address, cluster) over co-spend and change links, addresses without links included.
+
+    Transactions landed more than once count once, where rows have the ``ordinal`` that tells their places apart.
+    """
+    io = dedupe_io(io) if "ordinal" in io.columns else io
     nodes = with_address(io).select(F.col("address").alias("node")).distinct()
     return connected_components(nodes, ownership_links(io)).toDF("address", "cluster")
 

@@ -178,6 +178,20 @@ def convergence(t: Tables):
     return clusters.convergence(t.cases, reach, t.entities, attributed(t))
 
 
+@query("converging_reports", """
+    with hit as (select r.seed, e.entity_id as cluster_id, min(hop) as hops from reach3 r join ent e on e.tx_id = r.node group by 1, 2),
+         pc as (select * from hit join caseset using (seed))
+    select pc.cluster_id, attributed_name, jurisdiction, count(*) as n_cases, count(distinct c_nationkey) as n_states, count(distinct c_mktsegment) as n_scam_types,
+           round(sum(amount), 2) as total_loss_inr, round(sum(round(amount / 894800, 4)), 4) as total_loss_btc, min(hops) as nearest_hops
+    from pc left join attributed a on a.cluster_id = pc.cluster_id group by 1, 2, 3 having count(*) >= 2""")
+def converging_reports(t: Tables):
+    reports = t.cases.select(
+        F.col("case_id").alias("ack_number"), "seed", F.col("c_nationkey").alias("victim_state"), F.col("c_mktsegment").alias("scam_category"),
+        F.col("amount").alias("amount_inr"), money.inr_to_btc(F.col("amount")).alias("amount_btc"),
+    )
+    return clusters.converging_reports(reports, graph.khop(t.seeds, t.index, 3), t.entities, attributed(t))[1]
+
+
 # watch list and polls ----------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, correlate, entities, learn
 from ..operators.ranking import one_row
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import sinks
 from . import views  # noqa: F401
 from .domain import TEST_PARAMS, Tables
@@ -73,6 +73,7 @@ LEAKAGE = """
            (select count(*) from raw_edges join splits a on a.tx_id = src join splits b on b.tx_id = dst where a.split <> b.split) as cross_split_edge_count,
            (select count(*) from s where span > 0) as entity_time_span_violations, (select max(span) from s) as max_entity_time_span,
            (select count(*) from x) = 0 as leakage_free, (select count(*) from s where span > 0) = 0 as time_span_ok,
+           (select count(*) from s where span = 0) as n_entities_span0, 'time_respecting' as split_type, true as require_span_zero,
            4 as hub_degree_threshold, 0.7::double as train_fraction"""
 
 
@@ -330,9 +331,10 @@ def cluster_report_totals(t: Tables):
         select entity_id as cluster_id, count(*) filter (verdict = 'confirmed') as confirmed, least(count(*), 10)::int as n_members
         from verdictset join ent using (tx_id) group by 1) using (cluster_id)""")
 def sink_cluster_report(t: Tables):
-    report = clusters.cluster_report(t.entities, t.nodes, t.tags, t.address_map, t.verdicts, t.params.member_sample)
+    named = materialize(attributed(t), "attributed")
+    report = clusters.cluster_report(t.entities, named, t.verdicts, t.params.member_sample)
     path = scratch_path(t.spark, "cluster-report")
-    sinks.save_cluster_report(path, report, clusters.cluster_report_totals(attributed(t), t.tags))
+    sinks.save_cluster_report(path, report, clusters.cluster_report_totals(named, t.tags))
     return sinks.load_cluster_report(t.spark, path, report.schema).select(
         "cluster_id", "n_wallets", "label_counts.illicit", "illicit_fraction", F.col("attribution.name").alias("attributed_name"),
         "attribution.jurisdiction", "verdict_counts.confirmed", F.size("members_sample").alias("n_members"),

@@ -5,6 +5,8 @@ Each job reads the tables of the one before from ``store``, a folder on shared s
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions.status import request_failure
 from ..operators import cases, clusters, correlate, entities, graph, learn, live, rules, utxo
 from ..params import EXPECTED_EDGE_COUNT, EXPECTED_TX_COUNT, N_FEATURES, Params
 from ..session import materialize, prepare
-from ..sources import dataset, sinks
+from ..sources import dataset, lists, sinks
 
 MAX_HOPS = 10
 
@@ -30,7 +32,7 @@ def ingest(spark: SparkSession, raw: str, store: str, run_id: str, params: Param
     sinks.write_normalised(store, nodes, edges, split)
     graph.build_graph_index(edges, path=f"{store}/graph")
     nodes, edges, split = sinks.read_normalised(spark, store)
-    audit = entities.leakage_report(split, nodes, edges, params)
+    audit = entities.leakage_report(split, nodes, edges, params, require_span_zero)
     sinks.append_audit(f"{store}/split_audit", audit, run_id)
     entities.verify_no_leakage(audit, require_span_zero)
     return audit
@@ -66,20 +68,62 @@ def report_clusters(spark: SparkSession, store: str, tags: DataFrame, address_ma
     named = clusters.attribute_clusters(clusters.cluster_summary(split, nodes), clusters.match_tags(tags, address_map, split))
     named = materialize(named, "clusters")
     judged = spark.read.parquet(f"{store}/verdicts")
-    report = clusters.cluster_report(split, nodes, tags, address_map, judged, params.member_sample)
+    report = clusters.cluster_report(split, named, judged, params.member_sample)
     sinks.save_cluster_report(f"{store}/cluster_report", report, clusters.cluster_report_totals(named, tags))
     named.write.mode("overwrite").parquet(f"{store}/attributed")
     return sinks.load_cluster_report(spark, f"{store}/cluster_report", report.schema)
 
 
+class TracedCases(NamedTuple):
+    """What is known of each case. Nodes and edges are tables of all cases: ``edges`` those of the index, ``flows`` the inputs and
+    outputs of live transactions, whose product no table holds. ``live_clusters`` are those of a live wallet's own transactions."""
+
+    outcomes: DataFrame       # case_id, wallet, source, reason, outcome, verdict
+    summaries: DataFrame      # a row per case with a trace
+    nodes: DataFrame          # seed, node, hop, label, time_step, live
+    edges: DataFrame          # seed, src, dst
+    flows: DataFrame          # seed, tx_hash, side, address, time_step
+    live_clusters: DataFrame  # seed, cluster_id, confidence_tier, cluster, n_wallets, occurrences, members_sample, n_members_truncated
+
+
+class BulkTrace(NamedTuple):
+    traced: TracedCases
+    meetings: DataFrame  # cluster_id, ack_number and what the report says
+    totals: DataFrame    # a row per cluster where reports meet
+
+
+def bulk_trace(
+    spark: SparkSession, store: str, reports: DataFrame, io: DataFrame | live.TxIndex, mixers: DataFrame, params: Params = Params(), min_cases: int = 2, **known: DataFrame,
+) -> BulkTrace:
+    """Trace a table of reports (ack_number, victim_state, scam_category, suspect_address, amount_inr and optionally hop_depth).
+
+    Outcomes, summaries, where reports meet, and the ledger of all traces are written below ``store``/bulk. ``known`` are the
+    lookups, requests and failed clusters that :func:`trace_cases` takes.
+    """
+    depth = F.col("hop_depth") if "hop_depth" in reports.columns else F.lit(None).cast("int")
+    typed = lists.complaints(reports).join(reports.select("ack_number", depth.cast("int").alias("hop_depth")).dropDuplicates(["ack_number"]), "ack_number")
+    typed = materialize(typed.withColumn("seed", F.col("suspect_address")), "reports")
+    asked = typed.select(F.col("ack_number").alias("case_id"), F.col("seed").alias("wallet"), F.col("amount_inr").alias("amount"), "hop_depth")
+    traced = trace_cases(spark, store, asked, io, mixers, params, **known)
+    _, _, split = sinks.read_normalised(spark, store)
+    reach = traced.nodes.where("not live").select("seed", "node", "hop")
+    meetings, totals = clusters.converging_reports(typed, reach, split, spark.read.parquet(f"{store}/attributed"), min_cases)
+    ledger = cases.case_ledger(traced.edges, reach, spark.read.parquet(f"{store}/verdicts"))
+    sinks.write_ledger_csv(f"{store}/bulk/ledger", ledger)
+    for name, table in (("outcomes", traced.outcomes), ("summaries", traced.summaries), ("meetings", meetings), ("totals", totals)):
+        table.write.mode("overwrite").parquet(f"{store}/bulk/{name}")
+    stored = lambda name: spark.read.parquet(f"{store}/bulk/{name}")
+    return BulkTrace(traced._replace(outcomes=stored("outcomes"), summaries=stored("summaries")), stored("meetings"), stored("totals"))
+
+
 def trace_cases(
-    spark: SparkSession, store: str, reports: DataFrame, io: DataFrame, mixers: DataFrame, params: Params = Params(),
+    spark: SparkSession, store: str, reports: DataFrame, io: DataFrame | live.TxIndex, mixers: DataFrame, params: Params = Params(),
     attempts: DataFrame | None = None, requests: DataFrame | None = None, failed_clusters: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, summaries) for a table of reports (case_id, wallet, amount and optionally hop_depth).
+) -> TracedCases:
+    """What becomes of a table of reports (case_id, wallet, amount and optionally hop_depth).
 
     Wallets of the index get the full case summary. Others are judged by address format and then traced over the landed
-    transactions ``io``; with one signal only, their verdict stops at watch. A summary row exists for either kind.
+    transactions ``io``, given as rows or as a stored index; with one signal only, their verdict stops at watch. A summary row exists for either kind.
 
     What could not be found out stays apart from what was not there: ``attempts`` (address, status, timed_out) are the
     lookups behind ``io``, ``requests`` (case_id, status, aborted, retryable) those of whole reports, and ``failed_clusters``
@@ -87,10 +131,9 @@ def trace_cases(
     """
     nodes, _, split = sinks.read_normalised(prepare(spark), store)
     index = graph.read_graph_index(spark, f"{store}/graph")
-    io = materialize(utxo.dedupe_io(io), "io")
-    txs = live.build_tx_index(io)
+    txs = io if isinstance(io, live.TxIndex) else live.build_tx_index(materialize(utxo.dedupe_io(io), "io"))
     judged = address_quality(reports.withColumn("wallet", F.trim("wallet")), "wallet", params)
-    history = utxo.address_activity(judged.select(F.col("wallet").alias("address")), io)
+    history = live.known_activity(judged.select(F.col("wallet").alias("address")), txs)
     resolved = cases.resolve_source(judged, nodes, history)
     if "hop_depth" not in resolved.columns:
         resolved = resolved.withColumn("hop_depth", F.lit(params.hop_depth))
@@ -100,7 +143,8 @@ def trace_cases(
     indexed = resolved.where(in_range & F.col("indexed")).select("case_id", F.col("wallet").alias("seed"), "amount", "hop_depth")
     seeds = indexed.groupBy("seed").agg(F.max("hop_depth").alias("hop_depth"))
     reach = materialize(graph.khop(seeds, index, params.hop_depth), "reach")
-    stats = graph.subgraph_stats(reach, graph.induced_subgraph(reach, index), nodes)
+    edges = materialize(graph.induced_subgraph(reach, index), "case-edges")
+    stats = graph.subgraph_stats(reach, edges, nodes)
     lost = spark.createDataFrame([], "seed string") if failed_clusters is None else failed_clusters.select(F.col("wallet").alias("seed")).distinct()
     named = cases.seed_attribution(seeds.select("seed"), split, spark.read.parquet(f"{store}/attributed"), lost)
     summary = cases.case_summary(indexed, stats, spark.read.parquet(f"{store}/verdicts"), named)
@@ -143,4 +187,12 @@ def trace_cases(
         "has_rules": F.col("verdict").isNotNull(), "has_verdict": F.col("verdict").isNotNull(),
         "reason": F.when(~in_range, f"hop-depth-outside-1-to-{MAX_HOPS}").otherwise(F.col("reason")),
     })
-    return cases.case_outcomes(joined).select("case_id", "wallet", "source", "reason", "outcome", "verdict"), summary
+    columns = ["seed", "node", "hop", "label", "time_step"]
+    of_index = graph.with_node_attributes(reach, nodes).select(*columns, F.lit(False).alias("live"))
+    of_chain = met.withColumnRenamed("address", "node").select(*columns, F.lit(True).alias("live"))
+    owned = utxo.case_components(live.own_transactions(chain, txs))
+    return TracedCases(
+        cases.case_outcomes(joined).select("case_id", "wallet", "source", "reason", "outcome", "verdict"), summary,
+        of_index.unionByName(of_chain), edges, flows.select("seed", "tx_hash", "side", "address", "time_step"),
+        utxo.case_clusters(owned, params.member_sample),
+    )

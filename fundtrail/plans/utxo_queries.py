@@ -195,6 +195,16 @@ def utxo_clusters(t: Tables):
     return utxo.utxo_components(t.io)
 
 
+@query("utxo_clusters_landed_twice", "select address, cluster from utxocc")
+def utxo_clusters_landed_twice(t: Tables):
+    """The same clusters when every transaction was landed twice, once unconfirmed."""
+    from pyspark.sql import Window
+
+    place = Window.partitionBy("tx_hash", "side").orderBy("address", "amount_sats")
+    once = t.io.withColumn("ordinal", F.row_number().over(place))
+    return utxo.utxo_components(once.unionByName(once.withColumn("block_time", F.lit(None).cast("long"))))
+
+
 @query("utxo_cluster_numbering", """
     select 'live_cluster_' || row_number() over (order by cluster) as cluster_id, 'live-traced-utxo' as confidence_tier, count(*) as n_wallets,
            array_to_string(list_sort(list(address))[1:10], ',') as members, greatest(count(*) - 10, 0) as n_members_truncated

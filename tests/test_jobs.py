@@ -54,7 +54,8 @@ def test_from_files_to_cases(spark, raw, tmp_path):
     reports = spark.createDataFrame(
         [(1, "c03n2 ", 10.0), (2, GENESIS, 1.0), (3, OTHER, 2.0), (4, "nonsense", 3.0)], "case_id int, wallet string, amount double"
     )
-    outcomes, summary = jobs.trace_cases(spark, store, reports, io, mixers, p)
+    traced = jobs.trace_cases(spark, store, reports, io, mixers, p)
+    outcomes, summary = traced.outcomes, traced.summaries
     got = {r["case_id"]: (r["source"], r["outcome"], r["verdict"]) for r in outcomes.collect()}
     assert got == {
         1: ("elliptic-indexed", "pipeline", "confirmed"), 2: ("not-found-on-chain", "empty", None),
@@ -66,6 +67,22 @@ def test_from_files_to_cases(spark, raw, tmp_path):
     assert (row["case_id"], row["node_count"], row["edge_count"], row["hop_count"]) == (1, 5, 4, 2)
     assert (row["risk_level"], row["attributed_vasp"], row["verdict"]) == ("CRITICAL", "Exchange", "confirmed")
 
+    assert {(r["node"], r["hop"], r["live"]) for r in traced.nodes.where("seed = 'c03n2'").collect()} == {(f"c03n{i}", abs(i - 2), False) for i in range(5)}
+    assert sorted((r["src"], r["dst"]) for r in traced.edges.collect()) == [(f"c03n{i}", f"c03n{i + 1}") for i in range(4)]
+    assert traced.nodes.where("live").count() == traced.flows.count() == 13
+    sizes = sorted((r["n_wallets"], r["occurrences"]) for r in traced.live_clusters.where(F.col("seed") == OTHER).collect())
+    assert sizes == [(1, 1)] * 13
+
+    filed = spark.createDataFrame(
+        [("A1", "KA", "loan", "c03n2", 100.0, 2), ("A2", "MH", "job", " c03n5", 50.5, 1), ("A3", "KA", "loan", "c09n1", 5.0, 1), ("A4", "DL", "job", OTHER, 0.0, None)],
+        "ack_number string, victim_state string, scam_category string, suspect_address string, amount_inr double, hop_depth int",
+    )
+    bulk = jobs.bulk_trace(spark, store, filed, io, mixers, p)
+    assert [(r["cluster_id"], r["attributed_name"], r["n_cases"], r["n_states"], r["total_loss_inr"], r["nearest_hops"]) for r in bulk.totals.collect()] == [("entity::c03n0", "Exchange", 2, 2, 150.5, 0)]
+    assert sorted((r["ack_number"], r["hops"], r["scam_category"]) for r in bulk.meetings.collect()) == [("A1", 0, "loan"), ("A2", 0, "job")]
+    assert {r["case_id"]: r["outcome"] for r in bulk.traced.outcomes.collect()} == dict.fromkeys(["A1", "A2", "A3", "A4"], "pipeline")
+    assert spark.read.csv(f"{store}/bulk/ledger", header=True).where("case_seed = 'c03n5'").count() == 1
+
     # Everything that can go wrong with a report keeps an outcome of its own.
     reports = spark.createDataFrame(
         [(1, "c03n2", 1.0, 5), (2, GENESIS, 1.0, 2), (3, OTHER, 1.0, 2), (4, OTHER, 1.0, 2), (5, OTHER, 1.0, 2), (6, GENESIS, 1.0, None), (7, OTHER, 1.0, 11), (8, "nonsense", 1.0, 2)],
@@ -74,7 +91,7 @@ def test_from_files_to_cases(spark, raw, tmp_path):
     attempts = spark.createDataFrame([(GENESIS, 429, False), (GENESIS, None, True)], "address string, status int, timed_out boolean")
     requests = spark.createDataFrame([(3, 400, False, None), (4, None, False, None), (5, None, True, None)], "case_id int, status int, aborted boolean, retryable boolean")
     lost = spark.createDataFrame([("c03n2",)], "wallet string")
-    outcomes, summary = jobs.trace_cases(spark, store, reports, io.union(io), mixers, p, attempts, requests, lost)
+    outcomes, summary, *_ = jobs.trace_cases(spark, store, reports, io.union(io), mixers, p, attempts, requests, lost)
     got = {r["case_id"]: r["outcome"] for r in outcomes.collect()}
     assert got == {1: "pipeline", 2: "retryable", 3: "invalid_input", 4: "fallback", 5: "retryable", 6: "retryable", 7: "invalid_input", 8: "empty"}
     row = summary.where("case_id = 1").first()
