@@ -14,7 +14,8 @@ of the rarest one, in any order; they are reported beside the exact ones and hit
 Terms are 64-bit hashes of words. Windows are sent to the tasks in slices of at most ``SLICE_WINDOWS``, so a
 benchmark of any size is searched in several passes over the index.
 
-Null texts and texts without words have no places and are never hit; items without words are ignored. Rows
+Null texts and texts without words have no places and are never hit; items without words are ignored. An item without an id hits
+and counts as one item, but has no place in the digest of ids. Rows
 repeated are judged each by itself, and repeated windows of items count once per item. Empty tables are fine on either side.
 """
 
@@ -37,6 +38,8 @@ BLOCK_WORDS = 1 << 19
 GAP = 64
 SLOP = 20
 SLICE_WINDOWS = 1 << 18
+#: Stands for a null item id while searching.
+NO_ITEM = -(1 << 63)
 INDEX_SCHEMA = "block long, term long, n long, places binary, doc_ids array<long>"
 
 
@@ -144,7 +147,7 @@ def _windows(window: int):
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, terms): the distinct windows of each item."""
-    items = benchmark.where("item_id is not null").select("item_id", "text")
+    items = benchmark.select(F.coalesce("item_id", F.lit(NO_ITEM)).alias("item_id"), "text")
     return items.mapInArrow(_windows(window), "item_id long, terms array<long>").distinct()
 
 
@@ -281,11 +284,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.to_pylist()
         hit = [sum(len(x) for x in parts) if len(parts) == 1 else len(np.unique(np.concatenate(parts))) if parts else 0
                for parts in ([np.cumsum(unvarint(h)) for h in r["hits"] or []] for r in rows)]
-        items = [sorted({str(i) for part in r["items"] or [] for i in part}) for r in rows]
+        items = [sorted({str(i) for part in r["items"] or [] for i in part if i != NO_ITEM}) for r in rows]
         exact = [{i for part in r["items"] or [] for i in part} for r in rows]
         near = [len({i for part in r["near"] or [] for i in part} - e) for r, e in zip(rows, exact, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
+            [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(e) for e in exact], pa.int64()),
              pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), pa.array([h > 0 for h in hit]), pa.array(near, pa.int64())],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items"],
         )

@@ -36,6 +36,7 @@ UNKNOWN = "und"
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "kana", "han", "hangul", "other")
 _LEADS = {1: [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9)], 2: [(0xCD, 0xCF)], 3: [(0xD0, 0xD4)], 4: [(0xD6, 0xD7)], 5: [(0xD8, 0xDB)],
           6: [(0xE0, 0xE0)], 7: [(0xE3, 0xE3)], 8: [(0xE4, 0xE9)], 9: [(0xEA, 0xED)], 10: [(0xCA, 0xCC), (0xD5, 0xD5), (0xDC, 0xDF), (0xE1, 0xE2), (0xEE, 0xF4)]}
+LONE_LETTERS = (0xAA, 0xB5, 0xBA)  # after lead byte 0xC2
 SCRIPT_OF = np.zeros(256, dtype=np.uint8)
 for _script, _ranges in _LEADS.items():
     for _a, _b in _ranges:
@@ -72,6 +73,9 @@ def scripts(w: Words) -> np.ndarray:
     cuts = np.empty(2 * len(w.starts), dtype=np.int64)
     cuts[0::2], cuts[1::2] = w.starts, w.ends
     padded = np.append(SCRIPT_OF[w.chunk.bytes], np.uint8(0))
+    # Letters among the signs that share their lead byte: feminine and masculine ordinal, micro.
+    lead = np.flatnonzero(w.chunk.bytes[:-1] == 0xC2)
+    padded[lead[np.isin(w.chunk.bytes[lead + 1], LONE_LETTERS)]] = 1
     return np.maximum.reduceat(padded, cuts)[0::2]
 
 

@@ -47,8 +47,8 @@ with parts as (
   from pages),
 known as (select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad
           from labels where doc_id is not null and (quality is not null or toxic is not null) group by 1),
-hosts as (select host, count(*) as n, sum(bad)::double as bad, string_split(host, '.') as ls
-          from parts join known using (page_id) group by host),
+hosts as (select host, count(bad) as n, coalesce(sum(bad), 0)::double as bad, string_split(host, '.') as ls
+          from parts left join known using (page_id) group by host),
 named as (select *, case when array_to_string(ls[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in')
                          then 2 else 1 end as k from hosts),
 units as (select host, n, bad, array_to_string(ls[-k:], '.') as suffix, array_to_string(ls[-(k + 1):], '.') as domain from named),
@@ -62,7 +62,7 @@ p2 as (select domain, (m * s + bad) / (s + n) as mean from s2, f2),
 s3 as (select host, n, bad, least(greatest(mean, 0.001), 0.999) as m from units join p2 using (domain)),
 f3 as (select 1.0 / least(greatest(coalesce((sum((bad - n * m) * (bad - n * m) / (m * (1 - m))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0), 0.001), 0.5) - 1.0 as s from s3),
 p3 as (select host, (m * s + bad) / (s + n) as mean, s + n as total from s3, f3),
-bound as (select host, mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) as low from p3),
+bound as (select host, mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) as low from p3 where (select sum(n) from units) > 0),
 rules(rh, rp, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 fit as (select page_id, host, path, max_by(rh || rp, length(rh || rp)) as rule, max_by(v, length(rh || rp)) as v
         from parts join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by all)

@@ -462,3 +462,42 @@ def test_short_texts_are_taken_less_often(spark):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     share = lambda n: np.mean([r["taken"] / n for r in got if r["size"] == n and r["target"] < r["source_size"]])
     assert 0 < share(5) < 0.6 * share(60)
+
+
+# --- cases found in review
+
+
+def test_url_sql_judges_hosts_without_labels_like_the_query(spark, tmp_path):
+    """A sibling without labels under a bad domain is blocked by both, one under a good domain allowed by both."""
+    from compare import connect, difference
+    from fundtrail.llm import queries
+
+    rows = [(f"http://h{h}.{d}.org/{i}", int(i < bad)) for d, bad in (("bad", 9), ("good", 1)) for h in range(8) for i in range(10)]
+    new = ["http://new.bad.org/", "http://new.good.org/", "http://a.b.info/", None, "http://new.example.com/en/"]
+    pages = [(n, u, "") for n, (u, _) in enumerate(rows)] + [(900 + n, u, "") for n, u in enumerate(new)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(n, 1 - b, 0) for n, (_, b) in enumerate(rows)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = queries.queries()["op2_url_reputation"](spark, str(tmp_path))
+    assert {r["page_id"]: r["verdict"] for r in found.where("page_id >= 900").collect()} == {900: "block", 901: "allow", 902: "block", 903: "block", 904: "block"}
+    assert difference(found, con, queries.checks()["op2_url_reputation"]) is None
+
+
+def test_windows_of_items_without_an_id_hit(spark):
+    text = prose(77, 14)
+    docs = spark.createDataFrame([(1, text), (2, prose(78, 14)), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (14, 1, True), 2: (0, 0, False), 3: (0, 0, False)}
+
+
+def test_lone_latin_letters_have_a_language(spark):
+    learned = [(i, "the house and the garden were old", "en") for i in range(40)]
+    docs = spark.createDataFrame([*learned, (900, "\u00b5", None), (901, "\u00aa \u00ba", None), (902, "\u00a9 \u00a7 12", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs).where("doc_id >= 900").collect()}
+    assert got == {900: "en", 901: "en", 902: "und"}
