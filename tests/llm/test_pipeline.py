@@ -93,3 +93,17 @@ def test_nothing_in_nothing_out(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs_out = stage(spark, docs, folder[0])
         assert docs_out.collect() == []
+
+
+def test_near_duplicates_are_told_apart_by_row(spark):
+    """Near copies that share an id leave one row; wordless rows are linked with nothing, repeated or not."""
+    text = prose(60, 80)
+    near = text.replace(text.split()[-1], "other")
+    rows = [(7, text), (7, near), (7, text), (9, near), (None, text), (None, prose(61, 80)), (5, ""), (5, ""), (None, None), (None, None), (8, " \t"), (3, prose(62, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, "").collect())
+    linked = [k for k in got if k[1] in (text, near)]
+    assert len(linked) == 1 and linked[0][0] == 7 and got[linked[0]] == 1
+    rest = Counter({(None, prose(61, 80)): 1, (5, ""): 2, (None, None): 2, (8, " \t"): 1, (3, prose(62, 40)): 1})
+    assert got - Counter(linked) == rest
