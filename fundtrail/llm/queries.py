@@ -200,11 +200,14 @@ def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_SQL = r"""
-with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as ls from documents),
-w as (select rid, doc_id, i, array_to_string(ls[i:i + 2], chr(10)) as win from (select *, unnest(range(1, len(ls) - 1)) as i from d where len(ls) >= 3)),
-c as (select rid, i from w where regexp_matches(win, '[^\x20\x09-\x0D]')
-      qualify row_number() over (partition by win order by doc_id nulls last, rid, i) > 1),
-g as (select distinct rid, unnest(range(i, i + 3)) as p from c),
+with l as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as ls from documents),
+d as (select *, list_transform(ls, lambda x: len(regexp_extract_all(x,
+        '[^\x20\x09-\x0D\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]+|[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]'))) as ws from l),
+w as (select rid, doc_id, k, i, array_to_string(ls[i:i + k - 1], chr(10)) as win
+      from (select *, unnest(range(1, len(ls) - k + 2)) as i from d, (values (1), (2), (3)) as ks(k) where len(ls) >= k)
+      where list_sum(ws[i:i + k - 1]) >= case when k = 3 then 1 else 50 end),
+c as (select rid, k, i from w qualify row_number() over (partition by k, win order by doc_id nulls last, rid, i) > 1),
+g as (select distinct rid, unnest(range(i, i + k)) as p from c),
 n as (select rid, count(*) as n_deleted, count(*) filter (b is null or b <> p - 1) as n_runs, list(p) as gone
       from (select rid, p, lag(p) over (partition by rid order by p) as b from g) group by rid)
 select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(n_deleted, 0)::bigint as n_deleted, coalesce(n_runs, 0)::bigint as n_runs,
@@ -215,10 +218,10 @@ from d left join n using (rid)
 
 @query("op8_line_runs", LINE_SQL)
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three lines only, as LINE_SQL has it; ``clean_lines`` by default also takes shorter runs of many words."""
+    """Runs of three lines, and of one or two with 50 words."""
     from .line_dedup import clean_lines
 
-    found = clean_lines(table(spark, sf_dir, "documents"), min_words=None)
+    found = clean_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_deleted", "n_runs", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 
