@@ -47,10 +47,11 @@ WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 class Encoder:
     """Encodes whole texts, cutting them where the tokenizer cuts anyway.
 
-    Its pre-tokenizer never joins what stands on either side of a single space between non-spaces, so such
-    a text is the pieces between spaces, each but the first led by its space. Texts with white space beside a
-    space, or with an added token's string, go to the tokenizer whole. Pieces are kept in a bounded cache; those
-    that some texts have anew are encoded in one call, a line feed between any two, which is a token by itself.
+    Its pre-tokenizer never joins what stands on either side of a single space or line feed between non-spaces. A space
+    goes with the piece that it leads, a line feed is a token by itself, and so are both of two line feeds ahead of a non-space. So
+    such a text is its pieces, each led by its space or feed, the first by neither. Texts with other white space beside a space or feed, or with an
+    added token's string, go to the tokenizer whole. Pieces that some texts have anew are encoded in one call, a line feed between any two.
+    They are kept in two generations: once the younger is full the older goes, and pieces in use come over.
     """
 
     def __init__(self, path: str):
@@ -59,42 +60,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        twice = self.tokenizer.encode("a\n\nb", add_special_tokens=False).ids
+        #: The id of a line feed, if two of them ahead of a letter are just that id twice.
+        self.feed = feed[0] if len(feed) == 1 and twice[1:-1] == feed * 2 else None
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Put new pieces, given without their space, into the cache."""
-        plain = [p for p in new if p and "\n" not in p and "\r" not in p]
-        if plain and len(self.feed) == 1:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
-            if len(ends) == len(plain):
-                data, at = ids.tobytes(), 0
-                for p, end in zip(plain, ends.tolist(), strict=True):
-                    self.pieces[p] = data[4 * at : 4 * end]
-                    at = end + 1
-        for p in new:
-            if p not in self.pieces:
-                self.pieces[p] = self.encode(" " + p)
+    def learn(self, new: list[str], lead: str) -> None:
+        """Put new pieces into the cache, all led by a space or all by a line feed; that space is not in their keys."""
+        if not new:
+            return
+        text = "".join(new) if lead else "\n " + "\n ".join(new)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        starts = np.flatnonzero(ids == self.feed)
+        if len(starts) == len(new):
+            data, at = ids.tobytes(), (4 * starts).tolist()
+            skip = 0 if lead else 4
+            for p, i, j in zip(new, at, [*at[1:], len(data)], strict=True):
+                self.pieces[p] = data[i + skip : j]
+        else:
+            for p in new:
+                self.pieces[p] = self.encode(p if lead else " " + p)
 
     def whole(self, text: str) -> bool:
-        return "  " in text or "\n " in text or " \n" in text or any(c in text for c in WHITE) or any(s in text for s in self.special)
+        return (
+            self.feed is None or "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or text.endswith((" ", "\n\n"))
+            or any(c in text for c in WHITE) or any(s in text for s in self.special)
+        )
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [None if self.whole(t) else t.split(" ") for t in texts]
+        parts = [None if self.whole(t) else (t if t[:1] in " \n" else "\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         wanted: set[str] = set()
         for p in parts:
-            wanted.update(p[1:] if p else ())
-        if len(self.pieces) + len(wanted) > CACHED_PIECES:
-            self.pieces.clear()
-        self.learn(list(wanted.difference(self.pieces)))
+            wanted.update(p or ())
+        if len(self.pieces) + len(wanted) > CACHED_PIECES // 2:
+            self.pieces, self.older = {}, self.pieces
+        missing = wanted.difference(self.pieces)
+        known = {p: self.older[p] for p in missing if p in self.older}
+        self.pieces.update(known)
+        missing.difference_update(known)
+        fed = [p for p in missing if p[:1] == "\n"]
+        if fed:
+            missing.difference_update(fed)
+            self.learn(fed, "\n")
+        self.learn(list(missing), "")
         get = self.pieces.__getitem__
         return [
-            self.encode(t) if p is None else (self.encode(p[0]) if p[0] else b"") + b"".join(map(get, p[1:]))
+            self.encode(t) if p is None else b"".join(map(get, p))[0 if t[:1] in " \n" else 4 :]
             for t, p in zip(texts, parts, strict=True)
         ]
 
