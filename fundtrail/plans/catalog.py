@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import case_queries, entity_queries, graph_queries, utxo_queries  # noqa: F401
+from . import case_queries, entity_queries, graph_queries, job_queries, utxo_queries  # noqa: F401
 from .registry import CHECKS, QUERIES, runnable
 
 

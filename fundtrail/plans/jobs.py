@@ -122,6 +122,7 @@ def trace_cases(
 ) -> TracedCases:
     """What becomes of a table of reports (case_id, wallet, amount and optionally hop_depth).
 
+    Reports with a column ``valid`` have their address formats judged by the caller, as for chains other than Bitcoin.
     Wallets of the index get the full case summary. Others are judged by address format and then traced over the landed
     transactions ``io``, given as rows or as a stored index; with one signal only, their verdict stops at watch. A summary row exists for either kind.
 
@@ -132,7 +133,11 @@ def trace_cases(
     nodes, _, split = sinks.read_normalised(prepare(spark), store)
     index = graph.read_graph_index(spark, f"{store}/graph")
     txs = io if isinstance(io, live.TxIndex) else live.build_tx_index(materialize(utxo.dedupe_io(io), "io"))
-    judged = address_quality(reports.withColumn("wallet", F.trim("wallet")), "wallet", params)
+    judged = reports.withColumn("wallet", F.trim("wallet"))
+    if "valid" in reports.columns:
+        judged = judged.withColumn("reason", F.lit(None).cast("string"))
+    else:
+        judged = address_quality(judged, "wallet", params)
     history = live.known_activity(judged.select(F.col("wallet").alias("address")), txs)
     resolved = cases.resolve_source(judged, nodes, history)
     if "hop_depth" not in resolved.columns:

@@ -291,17 +291,20 @@ view("livefan", """
     where d.address = d.seed and d.o >= 3 and d.i <= 1 and n.time_step >= 0 group by 1 having max(n.time_step) - min(n.time_step) <= 60""")
 
 
+def live_mixers(t: Tables):
+    """The smallest output address of each mixer's transaction."""
+    first = t.mixers.select(F.sha2(F.col("mixer_id").cast("string"), 256).alias("tx_hash"))
+    outs = utxo.with_address(t.io).where("side = 'out'").join(first, "tx_hash", "left_semi")
+    return outs.groupBy("tx_hash").agg(F.min("address").alias("mixer_id")).select("mixer_id").distinct()
+
+
 @query("live_rules", """
     select seed as tx_id, seed in (select seed from livelink where seed in (src, dst)) as peel_fired, seed in (select seed from livefan) as fanout_fired,
            seed in (select seed from livenear) as mixer_fired from livenode where address = seed""")
 def live_rules(t: Tables):
     f = flows(t)
     nodes = materialize(live.live_nodes(f, live.live_hops(f, known_seeds(t))), "live-nodes")
-    first = t.mixers.select(F.sha2(F.col("mixer_id").cast("string"), 256).alias("tx_hash"))
-    mixers = utxo.with_address(t.io).where("side = 'out'").join(first, "tx_hash", "left_semi").groupBy("tx_hash").agg(
-        F.min("address").alias("mixer_id")
-    ).select("mixer_id").distinct()
-    return live.live_rules(nodes, f, mixers, t.params).select("tx_id", "peel_fired", "fanout_fired", "mixer_fired")
+    return live.live_rules(nodes, f, live_mixers(t), t.params).select("tx_id", "peel_fired", "fanout_fired", "mixer_fired")
 
 
 @query("live_node_cap", "select seed, address, hop from keptnode")

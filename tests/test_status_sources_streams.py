@@ -85,11 +85,37 @@ def test_dataset_folder(spark, tmp_path):
     write(tmp_path, "txs_classes.csv", "txId,class\nc,2\na,1\n")
     with pytest.raises(dataset.DatasetError, match="ids"):
         dataset.load_dataset(spark, str(tmp_path), n_features=2)
+    write(tmp_path, "txs_classes.csv", "txId,class\nb,2\na,1\n")
+    write(tmp_path, "deep/er/my_txs_Features.csv", "a,3,0.5\nb,4,much\n")
+    with pytest.raises(dataset.DatasetError, match="1 feature lines that don't parse, among them 'b,4,much'"):
+        dataset.load_dataset(spark, str(tmp_path), n_features=2)
     assert dataset.scan_address_map(spark, str(tmp_path / "deep")).count() == 0
     with pytest.raises(FileNotFoundError):
         dataset.find_files(spark, str(tmp_path / "none"), "x")
 
 
+def test_dataset_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Each raw file is scanned by one written table, and the tables outlive the files."""
+    from fundtrail import session
+
+    plans = []
+    write_table = session.materialize
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write_table(df, name)
+
+    monkeypatch.setattr(dataset, "materialize", noted)
+    write(tmp_path, "raw/txs_features.csv", "a,3,0.5\nb,4,1.5\n")
+    write(tmp_path, "raw/txs_classes.csv", "txId,class\nb,2\na,1\n")
+    write(tmp_path, "raw/txs_edgelist.csv", "txId1,txId2\na,b\n")
+    nodes, edges = dataset.load_dataset(spark, str(tmp_path / "raw"), n_features=2)
+    assert [p.count(" csv") for p in plans] == [2, 1]
+    for file in (tmp_path / "raw").iterdir():
+        file.unlink()
+    assert (nodes.count(), edges.count()) == (2, 1)
+
+
 def test_lists(spark, tmp_path):
     text = "# note\n\nx1, Name ,src,IN\nx2,Bare\nx3\n,NoAddress\nx4,Blank,,\n"
     write(tmp_path, "tags.txt", text)
