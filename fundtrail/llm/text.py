@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare as prepare_session
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
