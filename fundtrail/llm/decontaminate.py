@@ -11,8 +11,10 @@ window's start, and is intersected with the shifted places of its other terms, r
 left are exact matches. Proximity matches ask instead that every term stands within ``slop`` words of a place
 of the rarest one, in any order; they are reported beside the exact ones and hit nothing.
 
-Terms are 64-bit hashes of words. Windows are sent to the tasks in slices of at most ``SLICE_WINDOWS``, so a
-benchmark of any size is searched in several passes over the index.
+Terms are 64-bit hashes of words. Windows are sent to the tasks in slices of about ``SLICE_WINDOWS``, so a
+benchmark of any size is searched in several passes over the index. Hits of a slice are written before the next
+slice is read, so the driver and the tasks hold one slice at a time. A task looks at ``STARTS`` places of rarest terms
+together, so frequent words cost time and not memory.
 
 Null texts and texts without words have no places and are never hit; items without words are ignored. An item without an id hits
 and counts as one item, but has no place in the digest of ids. Rows
@@ -38,6 +40,8 @@ BLOCK_WORDS = 1 << 19
 GAP = 64
 SLOP = 20
 SLICE_WINDOWS = 1 << 18
+#: Places of rarest terms that a task looks at together.
+STARTS = 1 << 18
 #: Stands for a null item id while searching.
 NO_ITEM = -(1 << 63)
 INDEX_SCHEMA = "block long, term long, n long, places binary, doc_ids array<long>"
@@ -171,14 +175,29 @@ class Matcher:
 
         ``terms`` ascend; the places of term i are ``places[first[i]:first[i + 1]]``.
         """
+        if not len(terms) or not len(self.items):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, (none, none)
         rows = np.searchsorted(terms, self.terms)
         rows[rows == len(terms)] = 0
-        there = (terms[rows] == self.terms) | (self.offsets < 0) if len(terms) else np.zeros(self.terms.shape, dtype=bool)
-        live = np.flatnonzero(there.all(axis=1))
-        keys = np.repeat(np.arange(len(terms)), np.diff(first)) * span + places
-        n = np.diff(first)[rows[live, 0]] if len(live) else np.zeros(0, dtype=np.int64)
+        live = np.flatnonzero(((terms[rows] == self.terms) | (self.offsets < 0)).all(axis=1))
+        counts = np.diff(first)
+        keys = np.repeat(np.arange(len(terms)), counts) * span + places
+        # Windows in order, as many at a time as have STARTS places of their rarest term together, one at least.
+        total = np.cumsum(counts[rows[live, 0]])
+        found = []
+        at = 0
+        while at < len(live):
+            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + STARTS, "right")), at + 1)
+            found.append(self._intersect(live[at:to], rows, counts, keys, first, places, span))
+            at = to
+        window, start, near_window, near_at = (np.concatenate(parts) for parts in zip(*found, strict=True)) if found else [np.zeros(0, dtype=np.int64)] * 4
+        return window, start, (near_window, near_at)
+
+    def _intersect(self, live, rows, counts, keys, first, places, span) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = counts[rows[live, 0]]
         window = np.repeat(live, n)
-        at = places[ranges(first[rows[live, 0]], n)] if len(live) else np.zeros(0, dtype=np.int64)
+        at = places[ranges(first[rows[live, 0]], n)]
         start = at - self.offsets[window, 0]
         exact = start >= 0
         near = np.ones(len(at), dtype=bool)
@@ -196,7 +215,7 @@ class Matcher:
             keep = exact | near
             if not keep.all():
                 window, at, start, exact, near = window[keep], at[keep], start[keep], exact[keep], near[keep]
-        return window[exact], start[exact], (window[near], at[near])
+        return window[exact], start[exact], window[near], at[near]
 
 
 def _holds(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -263,7 +282,8 @@ def search(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
         shared = spark.sparkContext.broadcast(Matcher(rows, rarity, slop))
         postings = index.where("term is not null").join(own, "term", "left_semi").select("block", "term", "n", "places")
         blocks = index.where("term is null").select("block", "term", "n", "places")
-        hits = postings.unionByName(blocks).groupBy("block").applyInArrow(_block_hits(shared), HIT_SCHEMA)
+        hits = materialize(postings.unionByName(blocks).groupBy("block").applyInArrow(_block_hits(shared), HIT_SCHEMA), "hits")
+        shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     return found
 

@@ -338,6 +338,7 @@ def test_leaks_against_brute_force(spark, monkeypatch):
 
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 200)
     monkeypatch.setattr(decontaminate, "SLICE_WINDOWS", 7)
+    monkeypatch.setattr(decontaminate, "STARTS", 3)
     items = [(1, prose(1, 25, 40)), (2, "Two Words"), (3, None), (4, "  "), (11, "a a a a a a a a a a a a"), (None, "lost"), (5, prose(1, 25, 40))]
     texts = [None, "", "two", "TWO words, two words", prose(2, 30, 40) + " " + prose(1, 25, 40) + " " + prose(3, 5, 40), "a " * 30, prose(5, 2000, 40), prose(1, 25, 40)[:60], "two"]
     docs = frame(spark, list(enumerate(texts)) + [(None, texts[3]), (3, texts[3])])
