@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -23,23 +24,23 @@ from ..session import materialize
 SMALL_EDGES = 400_000
 
 
-def _finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, pick) for all edges of a small graph: every node picks its component's smallest member."""
-    parent: dict = {}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for part in parts:
-        for a, b in zip(part["src"].tolist(), part["dst"].tolist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": list(parent), "pick": [root(x) for x in parent]})
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, pick) for all edges of a small graph: every node of a component picks the same member."""
+    edges = pa.Table.from_batches(list(batches))
+    ends = pa.chunked_array([*edges.column("src").chunks, *edges.column("dst").chunks]).combine_chunks().dictionary_encode()
+    a, b = np.split(np.asarray(ends.indices, dtype=np.int64), 2)
+    root = np.arange(len(ends.dictionary))
+    while True:
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        apart = high > low
+        if not apart.any():
+            break
+        # Roots hook to the smallest root beside them; then every node points at its root again.
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = a[apart], b[apart]
+    yield pa.RecordBatch.from_arrays([ends.dictionary, ends.dictionary.take(pa.array(root))], names=["node", "pick"])
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         left = edges.count()
     if left:
         kind = edges.schema["src"].dataType
-        maps.append(materialize(edges.coalesce(1).mapInPandas(_finish, StructType([StructField("node", kind), StructField("pick", kind)])), "cc-picks"))
+        maps.append(materialize(edges.coalesce(1).mapInArrow(_finish, StructType([StructField("node", kind), StructField("pick", kind)])), "cc-picks"))
     if not maps:
         return nodes.select("node", F.col("node").alias("component"))
     roots = maps[-1].toDF("node", "root")
