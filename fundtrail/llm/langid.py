@@ -27,6 +27,8 @@ from .text import ALNUM, Chunk, Words, chunks
 BUCKETS = 1 << 16
 MAX_DOCS = 1500
 MAX_LANGUAGES = 400
+#: Scores, a word and language each, that a task labels together.
+CELLS = 1 << 22
 SWITCH = 12.0
 SMOOTH = 0.3
 OUTSIDE = -40.0
@@ -95,12 +97,12 @@ def emissions(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, lettered
 
 
-def viterbi(w: Words, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best language of every word; all documents of the chunk advance together, the longest to its end."""
+def viterbi(counts: np.ndarray, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """Best language of every word of documents with so many words each; they advance together, the longest to its end."""
     n, k = scores.shape
     path = np.zeros(n, dtype=np.int64)
-    docs = np.argsort(-w.counts, kind="stable")
-    at, counts = w.first[:-1][docs], w.counts[docs]
+    docs = np.argsort(-counts, kind="stable")
+    at, counts = (np.cumsum(counts) - counts)[docs], counts[docs]
     longest = int(counts[0]) if len(counts) else 0
     if not longest:
         return path
@@ -188,42 +190,47 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return Model(languages, logp.astype(np.float32), used > 0.01 * used.sum(axis=1, keepdims=True))
 
 
-def label_spans(c: Chunk, model: Model) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of a lower-cased chunk, the language of each and which have letters."""
-    w = c.words(ALNUM)
-    scores, lettered = emissions(w, model)
-    return w, viterbi(w, scores), lettered
+def scored_words(texts: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, words of each document, scores of all words, bytes of each word with a letter or 0), about CELLS scores at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    cells = row = begun = 0
+    for c in chunks(texts):
+        w = c.lower().words(ALNUM)
+        scores, lettered = emissions(w, model)
+        held.append((w.counts, scores, np.where(lettered, w.ends - w.starts, 0)))
+        cells, row = cells + scores.size, row + len(c)
+        if cells >= CELLS or row == len(texts):
+            counts, scores, weight = (np.concatenate(part) for part in zip(*held, strict=True))
+            yield begun, counts, scores, weight
+            held, cells, begun = [], 0, row
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(row, lang_pred, score, n_spans): every row of ``docs`` as a struct, whatever its columns, with its language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("n_spans", "long")
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
+        names, k = np.array([*m.languages, UNKNOWN], dtype=object), len(m.languages)
         for batch in batches:
             letter = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
-            for c in chunks(batch.column("text")):
-                pred, score = np.full(len(c), len(m.languages)), np.zeros(len(c))
-                spans = np.zeros(len(c), dtype=np.int64)
-                if m.languages:
-                    w, path, lettered = label_spans(c.lower(), m)
-                    doc, k = w.doc(), len(m.languages)
-                    weight = np.where(lettered, w.ends - w.starts, 0)
-                    share = np.bincount(doc * k + path, weights=weight, minlength=len(c) * k).reshape(-1, k)
-                    total = share.sum(axis=1)
-                    known = letter[c.row : c.row + len(c)] & (total > 0)
-                    pred[known] = share[known].argmax(axis=1)
-                    score[known] = share[known].max(axis=1) / total[known]
-                    change = np.ones(len(path), dtype=bool)
-                    change[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
-                    spans = np.bincount(doc[change], minlength=len(c))
-                    spans[~known] = 0
-                row = batch.column("row").slice(c.row, len(c))
-                yield pa.RecordBatch.from_arrays([row, pa.array(names[pred], pa.string()), pa.array(score), pa.array(spans)], names=["row", "lang_pred", "score", "n_spans"])
+            pred, score, spans = np.full(len(letter), k), np.zeros(len(letter)), np.zeros(len(letter), dtype=np.int64)
+            for begun, counts, scores, weight in scored_words(batch.column("row").field(text), m) if k else ():
+                path = viterbi(counts, scores)
+                n, doc = len(counts), np.repeat(np.arange(len(counts)), counts)
+                share = np.bincount(doc * k + path, weights=weight, minlength=n * k).reshape(-1, k)
+                total = share.sum(axis=1)
+                own = slice(begun, begun + n)
+                known = letter[own] & (total > 0)
+                pred[own][known] = share[known].argmax(axis=1)
+                score[own][known] = share[known].max(axis=1) / total[known]
+                change = np.ones(len(path), dtype=bool)
+                change[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
+                spans[own] = np.where(known, np.bincount(doc[change], minlength=n), 0)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names[pred], pa.string()), pa.array(score), pa.array(spans)], names=["row", "lang_pred", "score", "n_spans"])
 
     return rows.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare as prepare_session
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -54,15 +54,17 @@ _powers = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, kept for the longest chunk so far."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        inverse = U64(pow(int(BASE), -1, 1 << 64))
-        for i, base in enumerate((BASE, inverse)):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+    """Powers of BASE and of its inverse modulo 2**64, kept for chunks of up to 4 * CHUNK_BYTES."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    found = []
+    for base in (BASE, U64(pow(int(BASE), -1, 1 << 64))):
+        steps = np.full(max(n, CHUNK_BYTES + 1), base, dtype=U64)
+        steps[0] = 1
+        found.append(np.cumprod(steps))
+    if n <= 4 * CHUNK_BYTES:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 class Chunk:

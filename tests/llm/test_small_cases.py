@@ -193,7 +193,7 @@ def test_viterbi_agrees_with_the_plain_recursion():
     texts = ["a " * n for n in (0, 1, 5, 2, 9, 1, 30)]
     w = next(chunks(pa.array(texts))).words(ALNUM)
     scores = rng.normal(0, 6, (len(w.starts), 3)).astype(np.float32)
-    path = langid.viterbi(w, scores, 4.0)
+    path = langid.viterbi(w.counts, scores, 4.0)
     for d in range(len(texts)):
         s = scores[w.first[d] : w.first[d + 1]]
         if not len(s):
