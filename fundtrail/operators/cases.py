@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.status import (
     attempt_kind, attribution_status, case_outcome, case_risk_level, display_flag, laundering_marker, source_of,
 )
+from ..session import by_shuffle
 
 
 def lookup_verdict(attempts: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def case_ledger(case_edges: DataFrame, reach: DataFrame, rules: DataFrame) -> Da
     """Ledger rows of every case. An edge's hop is that of its farther end and its marker that
     of its source; the dataset has no amounts, so they are 0."""
     hop = reach.select("seed", "node", "hop")
-    flags = rules.select(F.col("tx_id").alias("src"), "peel_fired", "fanout_fired", "mixer_fired")
+    flags = by_shuffle(rules.select(F.col("tx_id").alias("src"), "peel_fired", "fanout_fired", "mixer_fired"))
     off = lambda c: F.coalesce(c, F.lit(False))
     return (
         case_edges.join(hop.toDF("seed", "src", "h1"), ["seed", "src"])

@@ -8,7 +8,7 @@ from ..functions.labels import decode_label, is_labelled, time_step_of
 from ..functions.status import laundering_marker
 from ..operators import chains, graph, rules
 from ..params import EXPECTED_EDGE_COUNT, EXPECTED_TX_COUNT
-from ..session import scratch_path
+from ..session import by_shuffle, scratch_path
 from ..sources import dataset, lists
 from . import views  # noqa: F401
 from .domain import Tables
@@ -380,6 +380,6 @@ def rule_false_positive_rate(t: Tables):
     select src, dst, case when peel_fired then 'PeelChain' when fanout_fired then 'FanOut' when mixer_fired then 'MixerHop' else 'Standard' end as marker
     from edges join ruleset on tx_id = src""")
 def markers(t: Tables):
-    flags = t.wallet_rules.select(F.col("tx_id").alias("src"), "peel_fired", "fanout_fired", "mixer_fired")
+    flags = by_shuffle(t.wallet_rules.select(F.col("tx_id").alias("src"), "peel_fired", "fanout_fired", "mixer_fired"))
     marker = laundering_marker(F.col("peel_fired"), F.col("fanout_fired"), F.col("mixer_fired"))
     return t.edges.join(flags, "src").select("src", "dst", marker.alias("marker"))
