@@ -123,7 +123,11 @@ def utxo_components(io: DataFrame) -> DataFrame:
 
     Transactions landed more than once count once, where rows have the ``ordinal`` that tells their places apart.
     """
-    io = dedupe_io(io) if "ordinal" in io.columns else io
+    if "ordinal" in io.columns:
+        # The columns up to the address decide which copy counts, and the rest of a row is not needed.
+        ahead = [c for c in io.columns[: io.columns.index("address")] if c not in ("tx_hash", "side", "ordinal")]
+        places = io.select("tx_hash", "side", "ordinal", *ahead, "address", *({"block_time"} - {*ahead}))
+        io = materialize(dedupe_io(places).select("tx_hash", "side", "address"), "io-once")
     nodes = with_address(io).select(F.col("address").alias("node")).distinct()
     return connected_components(nodes, ownership_links(io)).toDF("address", "cluster")
 

@@ -202,7 +202,8 @@ def utxo_clusters_landed_twice(t: Tables):
 
     place = Window.partitionBy("tx_hash", "side").orderBy("address", "amount_sats")
     once = t.io.withColumn("ordinal", F.row_number().over(place))
-    return utxo.utxo_components(once.unionByName(once.withColumn("block_time", F.lit(None).cast("long"))))
+    # Both landings of a row come from one pass over the places.
+    return utxo.utxo_components(once.withColumn("block_time", F.explode(F.array("block_time", F.lit(None).cast("long")))))
 
 
 @query("utxo_cluster_numbering", """

@@ -2,8 +2,8 @@
 
 from types import SimpleNamespace
 
-from fundtrail.operators import cases
-from fundtrail.plans import graph_queries
+from fundtrail.operators import cases, utxo
+from fundtrail.plans import graph_queries, utxo_queries
 
 
 def optimized(df):
@@ -26,3 +26,27 @@ def test_a_ledger_deals_the_rules_of_all_wallets_out(spark):
     got = cases.case_ledger(spark.createDataFrame([(1, 1, 2)], "seed long, src long, dst long"), reach, flags(spark))
     assert "strategy=merge" in optimized(got)
     assert [(r["Hop"], r["From"], r["Marker"]) for r in got.collect()] == [(1, "1", "PeelChain")]
+
+
+def test_both_landings_come_from_one_pass_and_are_written_once(spark, monkeypatch):
+    io = spark.createDataFrame(
+        [("t", "in", "a", 5, 10, 1), ("t", "in", "b", 5, 10, 1), ("t", "out", "c", 9, 10, 1), ("u", "in", "d", 4, 11, 2), ("u", "out", None, 4, 11, 2)],
+        "tx_hash string, side string, address string, amount_sats long, block_time long, block_height long",
+    )
+    landed, written = [], []
+    components, materialize = utxo.utxo_components, utxo.materialize
+    monkeypatch.setattr(utxo, "utxo_components", lambda rows: landed.append(rows) or components(rows))
+    monkeypatch.setattr(utxo, "materialize", lambda df, name: written.append(df) or materialize(df, name))
+    got = utxo_queries.utxo_clusters_landed_twice(SimpleNamespace(io=io))
+    assert optimized(landed[0]).count("Window [") == 1 and landed[0].count() == 10
+    assert [df.count() for df in written] == [5]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in components(io).collect()) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+
+
+def test_the_confirmed_copy_decides_the_address(spark):
+    rows = [("t", "in", 0, "old", 1, None), ("t", "in", 0, "new", 1, 7), ("t", "in", 1, "b", 1, 7), ("t", "in", 1, "a", 2, 7)]
+    io = spark.createDataFrame(rows, "tx_hash string, side string, ordinal int, address string, amount_sats long, block_time long")
+    assert sorted(tuple(r) for r in utxo.utxo_components(io).collect()) == [("b", "b"), ("new", "b")]
+    # Where amounts come first they decide among copies of equal time.
+    turned = io.select("tx_hash", "side", "ordinal", "amount_sats", "block_time", "address")
+    assert sorted(tuple(r) for r in utxo.utxo_components(turned).collect()) == [("a", "a"), ("new", "a")]
