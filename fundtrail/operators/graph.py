@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..session import is_empty, materialize_bucketed, read_bucketed, scratch_path, write_bucketed
 from .ranking import global_rank, top_per_key
-from .stored import PART_ROWS, KeyedTable, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, take_off
+from .stored import (
+    PART_ROWS, KeyedTable, level_key, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, store_level, take_off,
+)
 
-# Seeds that spread together, which bounds the set packed into a node's row.
+# Seeds that share a row, which bounds the set packed into it.
 SEED_SET = 100_000
 
 
@@ -143,7 +145,8 @@ def khop(seeds: DataFrame, index: GraphIndex, hop_depth: int) -> DataFrame:
     All seeds spread together, a node's seeds packed in one row. A hop joins the frontier to the stored arcs where it lies,
     unites the seeds that arrive at a node ahead of the exchange, and deals one row per node: the only exchange of a
     level. What arrives from a level lies in it, in the one before or in the next, so the seeds of two levels are taken off,
-    without moving them. Above SEED_SET seeds, sets of seeds go one after the other, which bounds a row.
+    without moving them. Above SEED_SET seeds, a node has a row for each part of the seeds, which bounds a row; all parts
+    meet the arcs together, and a level is dealt by node and part, then by node.
     A ``hop_depth`` column on the seeds replaces ``hop_depth`` for each seed that has a value there.
     """
     sets, deepest = seed_sets(seeds, hop_depth, SEED_SET)
@@ -151,11 +154,12 @@ def khop(seeds: DataFrame, index: GraphIndex, hop_depth: int) -> DataFrame:
 
 
 def hop_step(index: GraphIndex, level: DataFrame, before: DataFrame | None, hop: int) -> DataFrame:
-    """The next level (node, seeds), from the last one and the one before it, each with a row per node."""
-    reached = index.expand(still_going(level, hop)).select(F.col("nbr").alias("node"), F.explode("seeds").alias("s"))
-    arrived = take_off(pack(reached, ["node"], "s", "seeds"), level, ["node"], "seeds")
+    """The next level (node, seeds), from the last one and the one before it, each with a row per node and part of the seeds."""
+    key = level_key(level, "node")
+    reached = index.expand(still_going(level, hop)).select(F.col("nbr").alias("node"), *key[1:], F.explode("seeds").alias("s"))
+    arrived = take_off(pack(reached, key, "s", "seeds"), level, key, "seeds")
     if before is not None:
-        arrived = take_off(arrived, before, ["node"], "seeds")
+        arrived = take_off(arrived, before, key, "seeds")
     return arrived.where("size(seeds) > 0")
 
 
@@ -163,8 +167,7 @@ def _khop(seeds: DataFrame, index: GraphIndex, deepest: int) -> DataFrame:
     level, before = start_level(seeds, "node", index.n_buckets), None
     levels = [level]
     for hop in range(deepest):
-        # A level lies by node after its group, so it is stored without another exchange.
-        after = materialize_bucketed(hop_step(index, level, before, hop), "khop", ["node"], index.n_buckets, dealt=True)
+        after = store_level(hop_step(index, level, before, hop), "khop", "node", index.n_buckets)
         if is_empty(after):
             break
         levels.append(after)

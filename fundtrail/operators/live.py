@@ -18,10 +18,12 @@ from ..session import is_empty, materialize, materialize_bucketed
 from .chains import peel_chains_of
 from .ranking import top_per_key
 from .rules import score_rules
-from .stored import PART_ROWS, KeyedTable, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, take_off
+from .stored import (
+    PART_ROWS, KeyedTable, level_key, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, store_level, take_off,
+)
 from .utxo import address_transactions, newest_txs_per_address, tx_time_step, with_address
 
-# Seeds that spread together, which bounds the set packed into an address's row.
+# Seeds that share a row, which bounds the set packed into it.
 SEED_SET = 100_000
 
 
@@ -83,7 +85,7 @@ def bounded_expansion(seeds: DataFrame, index: TxIndex, hop_depth: int, params:
 
     All seeds go together, an address's seeds packed in one row. A level meets the two stored tables where they lie and
     deals out one row per transaction and one per address; an address of a level can only have been met in that level or
-    the one before it.
+    the one before it. Above SEED_SET seeds, an address has a row for each part of the seeds.
     """
     if params.tx_cap is not None or params.fetch_cap is not None:
         return _capped_expansion(seeds, index, hop_depth, params)
@@ -93,22 +95,23 @@ def bounded_expansion(seeds: DataFrame, index: TxIndex, hop_depth: int, params:
 
 
 def expansion_step(index: TxIndex, level: DataFrame, before: DataFrame | None, hop: int) -> DataFrame:
-    """The next level (address, seeds), from the last one and the one before it, each with a row per address."""
-    entered = index.by_address.meet(still_going(level, hop)).select("tx_hash", F.explode("seeds").alias("s"))
-    entered = pack(entered, ["tx_hash"], "s", "seeds")
-    reached = index.by_tx.meet(entered).select("address", F.explode("seeds").alias("s"))
-    arrived = take_off(pack(reached, ["address"], "s", "seeds"), level, ["address"], "seeds")
+    """The next level (address, seeds), from the last one and the one before it, each with a row per address and part of the seeds."""
+    key = level_key(level, "address")
+    entered = index.by_address.meet(still_going(level, hop)).select("tx_hash", *key[1:], F.explode("seeds").alias("s"))
+    entered = pack(entered, ["tx_hash", *key[1:]], "s", "seeds")
+    reached = index.by_tx.meet(entered).select("address", *key[1:], F.explode("seeds").alias("s"))
+    arrived = take_off(pack(reached, key, "s", "seeds"), level, key, "seeds")
     if before is not None:
-        arrived = take_off(arrived, before, ["address"], "seeds")
+        arrived = take_off(arrived, before, key, "seeds")
     return arrived.where("size(seeds) > 0")
 
 
 def _expansion(seeds: DataFrame, index: TxIndex, deepest: int) -> tuple[DataFrame, DataFrame]:
     n = index.by_address.n_buckets
-    level = materialize_bucketed(index.by_address.known(start_level(seeds, "address", n)), "live-level", ["address"], n, dealt=True)
+    level = store_level(index.by_address.known(start_level(seeds, "address", n)), "live-level", "address", n)
     levels, before = [level], None
     for hop in range(1, deepest):
-        after = materialize_bucketed(expansion_step(index, level, before, hop), "live-level", ["address"], n, dealt=True)
+        after = store_level(expansion_step(index, level, before, hop), "live-level", "address", n)
         if is_empty(after):
             break
         levels.append(after)

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import buckets, is_empty, materialize, materialize_bucketed, read_bucketed, scratch_path, write_bucketed
+from ..session import buckets, by_shuffle, is_empty, materialize, materialize_bucketed, read_bucketed, scratch_path, write_bucketed
 
 #: Rows that one key, or one part of a hot key, holds at most.
 PART_ROWS = 100_000
 
+#: The column of a level that says which part of the seeds a row packs.
+SEED_PART = "seed_part"
+
 
 @dataclass(frozen=True)
 class KeyedTable:
@@ -104,8 +107,10 @@ def take_off(arrived: DataFrame, old: DataFrame, key: Sequence[str], name: str)
 
 
 def seed_sets(seeds: DataFrame, hop_depth: int, size: int) -> tuple[list[DataFrame], int]:
-    """Seeds (seed, depth) in sets of about ``size``, which bounds what is packed into one row, and the largest depth.
+    """The tables of seeds (seed, depth) that are searched one after the other, here one, and the largest depth.
 
+    More than ``size`` seeds get a column ``part`` with about ``size`` seeds to a value, which bounds what is packed into one
+    row. All parts go together, so a stored table is met once a level however many seeds there are.
     ``depth`` is the seed's own ``hop_depth`` where there is a column with a value, else the call's.
     """
     own = "hop_depth" in seeds.columns
@@ -115,13 +120,28 @@ def seed_sets(seeds: DataFrame, hop_depth: int, size: int) -> tuple[list[DataFra
     if (least if n else hop_depth) < 1:
         raise ValueError(f"hop_depth must be at least 1, got {least if n else hop_depth}")
     asked, sets = asked.select("seed", "depth"), max(1, -(-n // size))
-    return [asked if sets == 1 else asked.where(F.pmod(F.xxhash64("seed"), F.lit(sets)) == k) for k in range(sets)], deepest or 0
+    return [asked if sets == 1 else asked.withColumn(SEED_PART, F.pmod(F.xxhash64("seed"), F.lit(sets)).cast("int"))], deepest or 0
+
+
+def level_key(level: DataFrame, node: str) -> list[str]:
+    """What tells the rows of a level apart: the node, and the part of the seeds if these come in parts."""
+    return [node, SEED_PART] if SEED_PART in level.columns else [node]
+
+
+def store_level(level: DataFrame, name: str, node: str, n_buckets: int) -> DataFrame:
+    """Store a level by node. Without parts it lies that way after its group and is written without another exchange.
+
+    Parts mean many seeds: joins with such a level deal it out, as packed seeds take far more memory than their files tell.
+    """
+    in_parts = SEED_PART in level.columns
+    stored = materialize_bucketed(level, name, [node], n_buckets, dealt=not in_parts)
+    return by_shuffle(stored) if in_parts else stored
 
 
 def start_level(seeds: DataFrame, node: str, n_buckets: int) -> DataFrame:
     """The first level of a search: each seed at the node of its name."""
-    first = seeds.select(F.col("seed").alias(node), F.array(F.struct("seed", "depth")).alias("seeds"))
-    return materialize_bucketed(first, "level", [node], n_buckets)
+    first = seeds.select(F.col("seed").alias(node), *level_key(seeds, node)[1:], F.array(F.struct("seed", "depth")).alias("seeds"))
+    return store_level(first.repartition(n_buckets, node), "level", node, n_buckets)
 
 
 def still_going(level: DataFrame, hop: int) -> DataFrame:

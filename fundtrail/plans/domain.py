@@ -17,7 +17,7 @@ from ..operators import chains, entities, graph, learn, live, rules, utxo
 from ..operators.correlate import correlate
 from ..operators.ranking import next_in_sequence
 from ..params import Params
-from ..session import materialize, prepare, scratch_path, spread
+from ..session import by_shuffle, materialize, prepare, scratch_path, spread
 from ..sources import lists
 
 # Thresholds fitted to the shape of the test tables; the library defaults stay as they are.
@@ -245,7 +245,7 @@ class Tables:
     def _live_seeds(self) -> DataFrame:
         first = self.seeds.select(F.sha2(F.col("seed").cast("string"), 256).alias("tx_hash"))
         outs = utxo.with_address(self.io).where("side = 'out'")
-        return outs.join(first, "tx_hash", "left_semi").groupBy("tx_hash").agg(F.min("address").alias("seed")).select("seed").distinct()
+        return outs.join(by_shuffle(first), "tx_hash", "left_semi").groupBy("tx_hash").agg(F.min("address").alias("seed")).select("seed").distinct()
 
     @property
     def utxo_components(self) -> DataFrame:

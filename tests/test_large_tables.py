@@ -2,7 +2,9 @@
 
 from types import SimpleNamespace
 
-from fundtrail.operators import cases, utxo
+from pyspark.sql import functions as F
+
+from fundtrail.operators import cases, graph, live, utxo
 from fundtrail.plans import graph_queries, utxo_queries
 
 
@@ -50,3 +52,22 @@ def test_the_confirmed_copy_decides_the_address(spark):
     # Where amounts come first they decide among copies of equal time.
     turned = io.select("tx_hash", "side", "ordinal", "amount_sats", "block_time", "address")
     assert sorted(tuple(r) for r in utxo.utxo_components(turned).collect()) == [("a", "a"), ("new", "a")]
+
+
+def test_a_level_is_one_step_however_many_seeds_there_are(spark, monkeypatch):
+    steps = []
+    for module, name in ((graph, "hop_step"), (live, "expansion_step")):
+        monkeypatch.setattr(module, "SEED_SET", 3)
+        step = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, step=step, name=name: steps.append(name) or step(*a))
+    ring = spark.range(30).select(F.col("id").alias("src"), ((F.col("id") + 1) % 30).alias("dst"))
+    reach = graph.khop(spark.range(30).toDF("seed"), graph.build_graph_index(ring), 2)
+    assert steps == ["hop_step"] * 2
+    assert sorted(tuple(r) for r in reach.collect()) == sorted((s, (s + d) % 30, abs(d)) for s in range(30) for d in range(-2, 3))
+
+    steps.clear()
+    io = ring.select(F.col("src").cast("string").alias("tx_hash"), F.explode(F.array(F.struct(F.lit("in").alias("side"), F.col("src").cast("string").alias("address")), F.struct(F.lit("out").alias("side"), F.col("dst").cast("string").alias("address")))).alias("r")).select("tx_hash", "r.side", "r.address", F.lit(5).alias("block_time"))
+    found = live.bounded_expansion(spark.range(30).select(F.col("id").cast("string").alias("seed")), live.build_tx_index(io), 3)
+    assert steps == ["expansion_step"] * 2
+    assert sorted(tuple(r) for r in found.fetched.collect()) == sorted((str(s), str((s + d) % 30), abs(d)) for s in range(30) for d in range(-2, 3))
+    assert found.txs.count() == 30 * 5 * 2
