@@ -21,7 +21,7 @@ from .rules import score_rules
 from .stored import (
     PART_ROWS, KeyedTable, level_key, load_keyed, pack, seed_sets, start_level, still_going, store_keyed, store_level, take_off,
 )
-from .utxo import address_transactions, newest_txs_per_address, tx_time_step, with_address
+from .utxo import newest_txs_per_address, tx_time_step, with_address
 
 # Seeds that share a row, which bounds the set packed into it.
 SEED_SET = 100_000
@@ -49,12 +49,16 @@ class TxIndex:
 
 
 def build_tx_index(io: DataFrame, path: str | None = None, part_rows: int = PART_ROWS) -> TxIndex:
-    """Index the flat transactions in ``path``, or in a folder of the session: one exchange for each of the two tables."""
+    """Index the flat transactions in ``path``, or in a folder of the session: one exchange for each of the two tables.
+
+    Both are grouped where their rows lie after it.
+    """
     rows = with_address(io)
     sides = rows.select("tx_hash", "side", "address", tx_time_step(F.col("block_time")).alias("time_step"))
-    sides = sides.groupBy("tx_hash", "side", "address", "time_step").agg(F.count("*").alias("rows"))
-    by_address = store_keyed(address_transactions(io), ["address"], "tx_hash", path and f"{path}/by_address", part_rows, counted=rows)
-    return TxIndex(by_address, store_keyed(sides, ["tx_hash"], "address", path and f"{path}/by_tx", None))
+    txs = lambda dealt, *more: dealt.groupBy("address", "tx_hash", *more).agg(F.max("block_time").alias("block_time"))
+    by_address = store_keyed(rows.select("address", "tx_hash", "block_time"), ["address"], "tx_hash", path and f"{path}/by_address", part_rows, group=txs)
+    flows = lambda dealt, *more: dealt.groupBy("tx_hash", "side", "address", "time_step", *more).agg(F.count("*").alias("rows"))
+    return TxIndex(by_address, store_keyed(sides, ["tx_hash"], "address", path and f"{path}/by_tx", None, group=flows))
 
 
 def read_tx_index(spark: SparkSession, path: str) -> TxIndex:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +56,19 @@ class KeyedTable:
 
 def store_keyed(
     rows: DataFrame, key: Sequence[str], spread_by: str, path: str | None = None, part_rows: int | None = PART_ROWS, counted: DataFrame | None = None,
+    group: Callable[..., DataFrame] | None = None,
 ) -> KeyedTable:
     """Store ``rows`` by ``key`` in ``path``, or in a folder of the session; a hot key's rows are dealt by ``spread_by``.
 
     Hot keys are found ahead, so that no task ever writes one whole: in ``counted`` if that holds at least the rows of every
     key and is cheaper to read. Without ``part_rows`` keys are known to be small, and nothing is counted.
+
+    ``group(dealt, *more)`` makes the stored rows from ``rows`` where these lie after they are dealt, by groups that hold the key,
+    ``spread_by`` and the columns ``more``. So rows that are grouped before they are stored move once.
     """
     spark, key = rows.sparkSession, list(key)
+    grouped = group or (lambda dealt, *more: dealt)
+    schema = grouped(rows).schema
     folder, n = path or scratch_path(spark, "keyed"), buckets(spark)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
     parts, hot, has_hot = spark.createDataFrame([], f"{kinds}, n_parts int"), None, False
@@ -75,11 +81,12 @@ def store_keyed(
     whole = rows
     if has_hot:
         part = F.pmod(F.xxhash64(spread_by), F.col("n_parts")).cast("int").alias("part")
-        hot = write_bucketed(rows.join(parts, key).select(*rows.columns, part), f"{folder}/hot", [*key, "part"], n)
+        dealt = rows.join(parts, key).select(*rows.columns, part).repartition(n, *key, "part")
+        hot = write_bucketed(grouped(dealt, "part").select(*schema.names, "part"), f"{folder}/hot", [*key, "part"], n, dealt=True)
         whole = rows.join(parts, key, "left_anti")
-    cold = write_bucketed(whole, f"{folder}/cold", key, n)
+    cold = write_bucketed(grouped(whole.repartition(n, *key)), f"{folder}/cold", key, n, dealt=True)
     if path:
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         layout = spark.createDataFrame([(",".join(key), n, has_hot, columns)], "key string, n_buckets int, has_hot boolean, columns string")
         layout.coalesce(1).write.parquet(f"{path}/layout")
     return KeyedTable(key, cold, hot if has_hot else cold.withColumn("part", F.lit(0)).limit(0), parts, n, has_hot)

@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from fundtrail.operators import cases, graph, live, utxo
+from fundtrail.operators import cases, graph, live, stored, utxo
 from fundtrail.plans import graph_queries, utxo_queries
 
 
@@ -71,3 +71,22 @@ def test_a_level_is_one_step_however_many_seeds_there_are(spark, monkeypatch):
     assert steps == ["expansion_step"] * 2
     assert sorted(tuple(r) for r in found.fetched.collect()) == sorted((str(s), str((s + d) % 30), abs(d)) for s in range(30) for d in range(-2, 3))
     assert found.txs.count() == 30 * 5 * 2
+
+
+def test_the_transaction_index_deals_each_table_once(spark, monkeypatch):
+    io = spark.createDataFrame(
+        [("t", "in", "a", 1), ("t", "in", "a", 2), ("t", "out", "b", 1)] + [(f"u{i}", "in", "a", i) for i in range(9)] + [("v", "in", None, 3)],
+        "tx_hash string, side string, address string, block_time long",
+    )
+    plans, write = {}, stored.write_bucketed
+
+    def written(df, path, key, *rest, **how):
+        plans[path.rsplit("/", 1)[-1], key[0]] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, path, key, *rest, **how)
+
+    monkeypatch.setattr(stored, "write_bucketed", written)
+    index = live.build_tx_index(io, part_rows=4)
+    assert plans["cold", "tx_hash"].count("Exchange hashpartitioning") == 1
+    assert index.by_address.has_hot
+    assert sorted(tuple(r) for r in index.by_address.rows().collect()) == sorted([("a", "t", 2), ("b", "t", 1)] + [("a", f"u{i}", i) for i in range(9)])
+    assert sorted(tuple(r) for r in index.by_tx.rows().where("tx_hash = 't'").select("side", "address", "rows").collect()) == [("in", "a", 2), ("out", "b", 1)]
