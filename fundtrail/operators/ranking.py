@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import buckets, materialize, materialize_bucketed
 
 
 #: Bits of a row's place within its partition, as monotonically_increasing_id has them.
@@ -46,14 +46,17 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 
 def next_in_sequence(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, out: str
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, out: str, unique: bool = False
 ) -> DataFrame:
-    """``lead(value)`` per key, worked out bucket by bucket.
+    """``lead(value)`` per key, worked out bucket by bucket; with ``unique``, equal rows count once.
 
     ``bucket`` must not decrease along ``order``. Each window group is one bucket of one
-    key; the last row of a bucket takes the first value of the key's next bucket.
+    key; the last row of a bucket takes the first value of the key's next bucket. Rows are dealt
+    once, by key and bucket, and are made unique, stored and followed where they lie.
     """
-    rows = materialize(df.withColumn("_bucket", bucket), "sequence")
+    by, n = [*keys, "_bucket"], buckets(df.sparkSession)
+    dealt = df.withColumn("_bucket", bucket).repartition(n, *by)
+    rows = materialize_bucketed(dealt.distinct() if unique else dealt, "sequence", by, n, dealt=True)
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     first = rows.groupBy(*keys, "_bucket").agg(
         F.min(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_first")

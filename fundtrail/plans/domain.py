@@ -66,9 +66,9 @@ class Tables:
             orders = self.read("orders").select("o_orderkey", F.col("o_orderdate").alias("d"))
             uses = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
                 "p", "s", "n", F.col("o_orderkey").alias("src"), "d"
-            ).distinct()
+            )
             month = F.year("d") * 12 + F.month("d")
-            return next_in_sequence(uses, ["p", "s", "n"], month, ["d", "src"], "src", "dst").where(
+            return next_in_sequence(uses, ["p", "s", "n"], month, ["d", "src"], "src", "dst", unique=True).where(
                 "dst is not null"
             ).select("src", "dst")
 

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from fundtrail.operators import cases, graph, live, stored, utxo
+from fundtrail.operators.ranking import next_in_sequence
 from fundtrail.plans import graph_queries, utxo_queries
 
 
@@ -90,3 +91,18 @@ def test_the_transaction_index_deals_each_table_once(spark, monkeypatch):
     assert index.by_address.has_hot
     assert sorted(tuple(r) for r in index.by_address.rows().collect()) == sorted([("a", "t", 2), ("b", "t", 1)] + [("a", f"u{i}", i) for i in range(9)])
     assert sorted(tuple(r) for r in index.by_tx.rows().where("tx_hash = 't'").select("side", "address", "rows").collect()) == [("in", "a", 2), ("out", "b", 1)]
+
+
+def test_a_sequence_follows_its_rows_where_they_are_stored(spark):
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 1, "a"), ("k", 1, "b"), ("k", 3, "c"), ("l", 2, "d")], "k string, d int, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = next_in_sequence(rows, ["k"], F.col("d"), ["d", "v"], "v", "after", unique=True)
+        assert sorted((r["v"], r["after"]) for r in found.collect()) == [("a", "b"), ("b", "c"), ("c", None), ("d", None)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Only the first rows of the buckets move: to their key's other buckets, and back.
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 2
+    again = next_in_sequence(rows, ["k"], F.col("d"), ["d", "v"], "v", "after")
+    assert sorted((r["v"], r["after"] or "") for r in again.collect()) == [("a", "a"), ("a", "b"), ("b", "c"), ("c", ""), ("d", "")]
