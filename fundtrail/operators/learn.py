@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
+from operator import add
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +18,13 @@ from ..params import Params
 from ..session import materialize, scratch_path
 from .ranking import one_row
 
+#: Rows times trees that one fit keeps at most, unless that leaves fewer than GROUP_TREES trees to a fit.
+FIT_CELLS = 400_000_000
+GROUP_TREES = 25
+
+#: Rows that a task fits on at most.
+FIT_ROWS = 100_000
+
 
 def train_split(nodes: DataFrame, split: DataFrame) -> DataFrame:
     """Labelled rows of the train and test splits; val and unknown labels are left out."""
@@ -31,27 +41,51 @@ def class_weights(labelled: DataFrame) -> DataFrame:
     return counts.select("label", "rows", F.round(weight, 6).alias("weight"))
 
 
+def tree_groups(rows: int, trees: int) -> list[int]:
+    """How many trees each fit takes, so that rows times trees stay within FIT_CELLS. Groups are of about one size and of GROUP_TREES at least."""
+    size = max(GROUP_TREES, FIT_CELLS // max(rows, 1))
+    n = max(1, min(-(-trees // size), trees // GROUP_TREES))
+    return [trees // n + (i < trees % n) for i in range(n)]
+
+
 def train_model(rows: DataFrame, params: Params) -> PipelineModel:
-    """Fit on (label 0/1, features array). The row weight makes both classes weigh the same."""
-    counts = rows.groupBy("label").count()
-    total = rows.count()
-    weights = {r["label"]: total / (2 * r["count"]) for r in counts.collect()}  # two classes
+    """Fit on (label 0/1, features array). The row weight makes both classes weigh the same.
+
+    MLlib keeps each row with its count in every tree of a fit. Of many rows the forest is fitted a group of trees after the
+    other, each a stage of the model, over partitions of at most FIT_ROWS rows, so neither outgrows an executor.
+    ``rows`` are read several times and should be a stored table.
+    """
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two classes
+    total = sum(counts.values())
+    weights = {label: total / (2 * n) for label, n in counts.items()}
     weighted = rows.select(
         F.col("label").cast("double").alias("target"),
         array_to_vector(F.col("features").cast("array<double>")).alias("vector"),
         F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0)).alias("row_weight"),
     )
-    forest = RandomForestClassifier(
-        labelCol="target", featuresCol="vector", weightCol="row_weight",
-        numTrees=params.forest_trees, seed=params.seed, maxDepth=params.forest_depth,
-    )
-    return Pipeline(stages=[forest]).fit(weighted)
+    large = total > FIT_ROWS * rows.sparkSession.sparkContext.defaultParallelism
+    if large:
+        weighted = weighted.repartition(-(-total // FIT_ROWS)).persist(StorageLevel.DISK_ONLY)
+    forests = [
+        RandomForestClassifier(
+            labelCol="target", featuresCol="vector", weightCol="row_weight",
+            predictionCol=f"prediction{i}", probabilityCol=f"probability{i}", rawPredictionCol=f"votes{i}",
+            numTrees=trees, seed=params.seed + i, maxDepth=params.forest_depth,
+        )
+        for i, trees in enumerate(tree_groups(total, params.forest_trees))
+    ]
+    model = Pipeline(stages=forests).fit(weighted)
+    if large:
+        weighted.unpersist()
+    return model
 
 
 def predict_risk(model: PipelineModel, features: DataFrame) -> DataFrame:
     """(tx_id, risk): probability of the illicit class for every row."""
     vectors = features.select("tx_id", array_to_vector(F.col("features").cast("array<double>")).alias("vector"))
-    return model.transform(vectors).select("tx_id", vector_to_array("probability")[1].alias("risk"))
+    shares = [vector_to_array(f"probability{i}")[1] * F.lit(float(f.getNumTrees)) for i, f in enumerate(model.stages)]
+    trees = sum(f.getNumTrees for f in model.stages)
+    return model.transform(vectors).select("tx_id", (reduce(add, shares) / trees).alias("risk"))
 
 
 def forest_table(model: PipelineModel) -> DataFrame:
@@ -60,20 +94,24 @@ def forest_table(model: PipelineModel) -> DataFrame:
     ``value`` is the illicit share of the weight at a node, ``feature`` is null at leaves, and node 0 is a tree's root.
     ``levels`` is the longest way down, the same on all rows. The rows come from the files a model is saved in.
     """
-    forest = model.stages[-1]
     spark = SparkSession.active()
-    path = scratch_path(spark, "forest")
-    forest.save(path)
     node, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
     inner = node["leftChild"] >= 0
-    return spark.read.load(f"{path}/data").select(
-        F.col("treeID").alias("tree"), node["id"].alias("node"),
-        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
-        F.when(inner, F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
-        F.when(inner, node["leftChild"]).alias("left"), F.when(inner, node["rightChild"]).alias("right"),
-        (F.coalesce(F.get(stats, F.lit(1)), F.lit(0.0)) / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("value"),
-        F.lit(max(t.depth for t in forest.trees)).alias("levels"),
-    )
+    levels = max(t.depth for forest in model.stages for t in forest.trees)
+    tables, first = [], 0
+    for forest in model.stages:
+        path = scratch_path(spark, "forest")
+        forest.save(path)
+        tables.append(spark.read.load(f"{path}/data").select(
+            (F.col("treeID") + first).alias("tree"), node["id"].alias("node"),
+            F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+            F.when(inner, F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+            F.when(inner, node["leftChild"]).alias("left"), F.when(inner, node["rightChild"]).alias("right"),
+            (F.coalesce(F.get(stats, F.lit(1)), F.lit(0.0)) / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("value"),
+            F.lit(levels).alias("levels"),
+        ))
+        first += forest.getNumTrees
+    return reduce(DataFrame.unionByName, tables)
 
 
 def forest_risk(forest: DataFrame, features: DataFrame) -> DataFrame:

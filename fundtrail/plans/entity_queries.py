@@ -152,7 +152,7 @@ def evaluated(report):
            (select count(*) from nodes join splits using (tx_id) where label in (0, 1) and split = 'train' and tx_id in (select l_orderkey from lineitem)) as train_rows""")
 def train_model(t: Tables):
     """A fitted forest as a table: whole trees, shares as values, splits on known features."""
-    train = learn.train_split(t.features, t.split).where("split = 'train'")
+    train = materialize(learn.train_split(t.features, t.split).where("split = 'train'").select("label", "features"), "train")
     faults = learn.forest_faults(learn.forest_table(learn.train_model(train, t.params)), 8)
     return faults.withColumn("train_rows", train.agg(F.count("*")).scalar())
 
@@ -179,7 +179,7 @@ def sink_model(t: Tables):
 @query("score_all", "select distinct l_orderkey as tx_id, true as in_range, true as agrees from lineitem")
 def score_all(t: Tables):
     """Risks by the fitted model, within 0 and 1 and equal to those that joins with its table give."""
-    train = learn.train_split(t.features, t.split).where("split = 'train'")
+    train = materialize(learn.train_split(t.features, t.split).where("split = 'train'").select("label", "features"), "train")
     model = learn.train_model(train, t.params)
     joined = learn.forest_risk(learn.forest_table(model), t.features).withColumnRenamed("risk", "by_joins")
     return learn.predict_risk(model, t.features).join(joined, "tx_id").select(

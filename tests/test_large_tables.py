@@ -4,7 +4,8 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from fundtrail.operators import cases, graph, live, stored, utxo
+from fundtrail import Params
+from fundtrail.operators import cases, graph, learn, live, stored, utxo
 from fundtrail.operators.ranking import next_in_sequence
 from fundtrail.plans import graph_queries, utxo_queries
 
@@ -106,3 +107,19 @@ def test_a_sequence_follows_its_rows_where_they_are_stored(spark):
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 2
     again = next_in_sequence(rows, ["k"], F.col("d"), ["d", "v"], "v", "after")
     assert sorted((r["v"], r["after"] or "") for r in again.collect()) == [("a", "a"), ("a", "b"), ("b", "c"), ("c", ""), ("d", "")]
+
+
+def test_a_forest_of_many_rows_is_fitted_in_groups_of_trees(spark, monkeypatch):
+    for name, value in (("FIT_CELLS", 600), ("GROUP_TREES", 3), ("FIT_ROWS", 10)):
+        monkeypatch.setattr(learn, name, value)
+    assert learn.tree_groups(120, 8) == [4, 4] and learn.tree_groups(10, 8) == [8] and learn.tree_groups(1000, 2) == [2]
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 2), float(i % 7), float(i)]) for i in range(120)], "tx_id long, label int, features array<float>")
+    model = learn.train_model(rows, Params(forest_trees=8, forest_depth=3))
+    assert [f.getNumTrees for f in model.stages] == [4, 4]
+    forest = learn.forest_table(model)
+    assert {r["tree"] for r in forest.select("tree").distinct().collect()} == set(range(8))
+    assert learn.forest_faults(forest, 3).first().asDict() == {"trees": 8, "leaves_less_inner": 8, "bad_values": 0, "bad_links": 0, "bad_splits": 0}
+    by_joins = {r["tx_id"]: r["risk"] for r in learn.forest_risk(forest, rows).collect()}
+    by_model = {r["tx_id"]: r["risk"] for r in learn.predict_risk(model, rows).collect()}
+    assert by_joins.keys() == by_model.keys() == set(range(120))
+    assert all(abs(by_joins[i] - by_model[i]) < 1e-9 for i in by_joins) and by_model[1] > 0.5 > by_model[2]
