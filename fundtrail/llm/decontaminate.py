@@ -320,6 +320,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     found = search(index, benchmark_windows(benchmark, window), slop)
     per_doc = found.groupBy("block", "doc").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"), F.collect_list("near").alias("near"))
     rows = index.where("term is null").select("block", "places", "doc_ids").mapInArrow(_document_rows, "block long, doc int, doc_id long, n_words long")
+    rows = materialize(rows, "document-words")  # read again, a task needs one Python worker and not two, each of which stays
     joined = rows.join(per_doc, ["block", "doc"], "left").select("doc_id", "n_words", "hits", "items", "near")
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
     return joined.mapInArrow(_digest, schema)
