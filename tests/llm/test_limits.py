@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from fundtrail.llm import decontaminate, ngram_join
+from fundtrail.operators.components import connected_components
 
 
 def cell(sets, block, i, j, copies=None):
@@ -50,6 +51,35 @@ def test_cell_holds_little_beside_its_intersections():
     assert peak < 80e6  # some 250 MB with all pairs of both blocks at once
 
 
+def test_shared_tokens_move_once_and_sets_stay(spark, monkeypatch):
+    kept = []
+    for name in ("materialize", "materialize_bucketed"):
+        old = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda df, name, *a, old=old, **b: (kept.append(name), old(df, name, *a, **b))[1])
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:50], f"x{k}"]) for k in range(6)] + ["a b c d e f", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {**{k: (0, 5) for k in range(6)}, 6: (6, 0), 7: (7, 0)}
+    assert "token-sets" in kept and not {"shared-tokens", "prefix-edges"} & set(kept)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        postings = spark.createDataFrame([(1, 5, 0, False)], "token long, sid long, salt tinyint, rest boolean")
+        classes = spark.createDataFrame([(5, 5, 2)], "sid long, n long, m long")
+        plan = ngram_join.rarest_prefixes(postings, classes, 80)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3  # postings by token, shared ones and classes by class
+
+
+def test_components_of_links_alone(spark):
+    links = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    rows = {tuple(r) for r in connected_components(None, links([(3, 2), (2, 9), (2, 3), (7, 7), (5, 6)])).collect()}
+    assert rows == {(2, 2), (3, 2), (9, 2), (5, 5), (6, 5)}
+    assert connected_components(None, links([(7, 7)])).collect() == []
+
+
 def test_a_task_of_decontamination_has_one_python_worker(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None), (None, "d")], "doc_id long, text string")
     found = decontaminate.contamination(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"))
