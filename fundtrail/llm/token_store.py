@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ from ..session import scratch_path
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
 CACHED_PIECES = 1_000_000
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 21
+#: New pieces that go to the tokenizer in one call.
+NEW_PIECES = 1 << 16
 END_ID = 0
 DATA_SCHEMA = "shard int, segment int, first long, doc_ids array<long>, lengths array<long>, blocks array<array<binary>>"
 READ_SCHEMA = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
@@ -50,7 +53,8 @@ class Encoder:
     Its pre-tokenizer never joins what stands on either side of a single space or line feed between non-spaces. A space
     goes with the piece that it leads, a line feed is a token by itself, and so are both of two line feeds ahead of a non-space. So
     such a text is its pieces, each led by its space or feed, the first by neither. Texts with other white space beside a space or feed, or with an
-    added token's string, go to the tokenizer whole. Pieces that some texts have anew are encoded in one call, a line feed between any two.
+    added token's string, go to the tokenizer whole. Pieces that some texts have anew are encoded in one call and told apart by their
+    first ids: a space is a piece's first byte and in no other place, so it is only in the first of the piece's ids.
     They are kept in two generations: once the younger is full the older goes, and pieces in use come over.
     """
 
@@ -62,6 +66,10 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         twice = self.tokenizer.encode("a\n\nb", add_special_tokens=False).ids
+        words = self.tokenizer.get_vocab()
+        #: Which ids begin with a space, as byte-level tokenizers write it.
+        self.spaced = np.zeros(max(words.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for w, i in words.items() if w[:1] == "Ġ"]] = True
         #: The id of a line feed, if two of them ahead of a letter are just that id twice.
         self.feed = feed[0] if len(feed) == 1 and twice[1:-1] == feed * 2 else None
         self.pieces: dict[str, bytes] = {}
@@ -74,14 +82,12 @@ class Encoder:
         """Put new pieces into the cache, all led by a space or all by a line feed; that space is not in their keys."""
         if not new:
             return
-        text = "".join(new) if lead else "\n " + "\n ".join(new)
+        text = "".join(new) if lead else " " + " ".join(new)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        starts = np.flatnonzero(ids == self.feed)
+        starts = np.flatnonzero(ids == self.feed if lead else self.spaced[ids])
         if len(starts) == len(new):
             data, at = ids.tobytes(), (4 * starts).tolist()
-            skip = 0 if lead else 4
-            for p, i, j in zip(new, at, [*at[1:], len(data)], strict=True):
-                self.pieces[p] = data[i + skip : j]
+            self.pieces.update(zip(new, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
         else:
             for p in new:
                 self.pieces[p] = self.encode(p if lead else " " + p)
@@ -95,9 +101,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [None if self.whole(t) else (t if t[:1] in " \n" else "\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p or ())
+        wanted = set(chain.from_iterable(filter(None, parts)))
         if len(self.pieces) + len(wanted) > CACHED_PIECES // 2:
             self.pieces, self.older = {}, self.pieces
         missing = wanted.difference(self.pieces)
@@ -108,8 +112,11 @@ class Encoder:
         if fed:
             missing.difference_update(fed)
             self.learn(fed, "\n")
-        self.learn(list(missing), "")
-        get = self.pieces.__getitem__
+        new = list(missing)
+        for i in range(0, len(new), NEW_PIECES):
+            self.learn(new[i : i + NEW_PIECES], "")
+        # The pieces of these texts alone fit the processor's cache, all that are kept do not.
+        get = dict(zip(wanted, map(self.pieces.__getitem__, wanted), strict=True)).__getitem__
         return [
             self.encode(t) if p is None else b"".join(map(get, p))[0 if t[:1] in " \n" else 4 :]
             for t, p in zip(texts, parts, strict=True)

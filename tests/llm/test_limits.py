@@ -1,11 +1,13 @@
 """What steps hold in memory and how often they move rows."""
 
 import tracemalloc
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
-from fundtrail.llm import decontaminate, ngram_join
+from fundtrail.llm import decontaminate, ngram_join, token_store
+from fundtrail.llm.queries import tokenizer_path
 from fundtrail.operators.components import connected_components
 
 
@@ -85,3 +87,21 @@ def test_a_task_of_decontamination_has_one_python_worker(spark):
     found = decontaminate.contamination(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"))
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert {(r["doc_id"], r["n_words"], r["n_hit"]) for r in found.collect()} == {(1, 3, 2), (2, 0, 0), (None, 1, 0)}
+
+
+def test_new_pieces_are_encoded_without_line_feeds():
+    encode = token_store.Encoder(tokenizer_path())
+    tokenizer, sent = encode.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return tokenizer.encode(text, **options)
+
+    encode.tokenizer = Watched()
+    texts = ["one two, three. $$$ don't 's", "naïve Ġa Ġ 日本 語 1 22", " led by a space", "a\x00b \x01 c", "word"]
+    assert encode(texts) == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert sent and not any("\n " in t for t in sent)
