@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, remove_path, scratch_path
 from .text import ALNUM, chunks, ranges, signed
 
 WINDOW = 10
@@ -128,9 +128,11 @@ def _varint_rows(step: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray
     return varint(step), np.add.reduceat(size, first)
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """Store the postings of ``docs`` (doc_id, text); rows without a term describe a block's documents."""
-    return materialize(docs.select("doc_id", "text").mapInArrow(_index, INDEX_SCHEMA), "postings")
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Store the postings of ``docs`` (doc_id, text) in ``path``, or with the tables of iterations; rows without a term describe a block's documents."""
+    path = path or scratch_path(docs.sparkSession, "postings")
+    docs.select("doc_id", "text").mapInArrow(_index, INDEX_SCHEMA).write.parquet(path)
+    return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 
 def _windows(window: int):
@@ -316,11 +318,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items) of every row of ``docs``."""
-    index = build_index(docs)
+    path = scratch_path(docs.sparkSession, "postings")
+    index = build_index(docs, path)
     found = search(index, benchmark_windows(benchmark, window), slop)
     per_doc = found.groupBy("block", "doc").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"), F.collect_list("near").alias("near"))
     rows = index.where("term is null").select("block", "places", "doc_ids").mapInArrow(_document_rows, "block long, doc int, doc_id long, n_words long")
     rows = materialize(rows, "document-words")  # read again, a task needs one Python worker and not two, each of which stays
+    remove_path(docs.sparkSession, path)  # hits and words are stored, nothing reads the postings any more
     joined = rows.join(per_doc, ["block", "doc"], "left").select("doc_id", "n_words", "hits", "items", "near")
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
     return joined.mapInArrow(_digest, schema)

@@ -2,10 +2,13 @@
 
 import tracemalloc
 from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
+from fundtrail import session
 from fundtrail.llm import decontaminate, ngram_join, token_store
 from fundtrail.llm.queries import tokenizer_path
 from fundtrail.operators.components import connected_components
@@ -105,3 +108,24 @@ def test_new_pieces_are_encoded_without_line_feeds():
     texts = ["one two, three. $$$ don't 's", "naïve Ġa Ġ 日本 語 1 22", " led by a space", "a\x00b \x01 c", "word"]
     assert encode(texts) == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
     assert sent and not any("\n " in t for t in sent)
+
+
+def test_texts_are_not_dealt_out_because_others_leak(spark):
+    rows = spark.createDataFrame([(i % 50 - 9, f"t{i % 60}") for i in range(120)], "id long, row string")
+    ids = spark.createDataFrame([(i,) for i in (-9, 0, 7, 40, 99)], "id long")
+    want = sorted((r["id"], r["row"]) for r in rows.collect() if r["id"] not in (-9, 0, 7, 40))
+    for bits in (1, 16, 1 << 15, 1 << 23):
+        assert sorted((r["id"], r["row"]) for r in corpus_pipeline.without(rows, ids, bits).collect()) == want
+    assert corpus_pipeline.without(rows, ids.limit(0)).count() == rows.count()
+    # Of the two parts, the rows whose bit is not set meet the bits only, which go to every task.
+    parts = corpus_pipeline.without(rows, ids)._jdf.queryExecution().sparkPlan().toString().split("LeftAnti")
+    assert len(parts) == 2 and "Join" in parts[0] and "SortMergeJoin" not in parts[0].rpartition("\n")[0]
+
+
+def test_postings_go_once_words_and_hits_are_stored(spark):
+    root = Path(session._scratch_root(spark).removeprefix("file:"))
+    before = {*root.glob("postings-*")}
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x")], "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"))
+    assert {*root.glob("postings-*")} == before and [*root.glob("document-words-*")]
+    assert {(r["doc_id"], r["n_hit"]) for r in found.collect()} == {(1, 2), (2, 0)}
