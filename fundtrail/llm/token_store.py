@@ -20,42 +20,75 @@ segment of its own, cut into blocks like any other.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .text import ranges
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
 CACHED_PIECES = 1_000_000
-BATCH_CHARS = 1 << 21
+BATCH_BYTES = 1 << 22
 #: New pieces that go to the tokenizer in one call.
-NEW_PIECES = 1 << 16
+NEW_PIECES = 1 << 14
 END_ID = 0
 DATA_SCHEMA = "shard int, segment int, first long, doc_ids array<long>, lengths array<long>, blocks array<array<binary>>"
 READ_SCHEMA = "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Ends in a letter or digit, as every version of Unicode has it.
+ENDS_BODY = r"[0-9A-Za-zÀ-ÖØ-öø-ɏ]\z"
 WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
+class Pieces:
+    """Ids of strings, end to end: those of string k are ``flat[starts[k] : starts[k + 1]]``. The empty string has none."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {"": 0}
+        self.flat = np.zeros(1 << 16, dtype="<u4")
+        self.starts = np.zeros(1 << 14, dtype=np.int64)
+
+    def add(self, new: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.number)
+        at = int(self.starts[n])
+        self.flat, self.starts = _room(self.flat, at, len(ids)), _room(self.starts, n + 1, len(new))
+        self.flat[at : at + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(new)] = at + np.cumsum(counts)
+        self.number.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def take(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known strings end to end, and how many each has."""
+        at = np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+        counts = self.starts[at + 1] - self.starts[at]
+        return self.flat[ranges(self.starts[at], counts)], counts
+
+
+def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    return values if used + more <= len(values) else np.concatenate([values[:used], np.zeros(used + more, dtype=values.dtype)])
+
+
 class Encoder:
     """Encodes whole texts, cutting them where the tokenizer cuts anyway.
 
     Its pre-tokenizer never joins what stands on either side of a single space or line feed between non-spaces. A space
     goes with the piece that it leads, a line feed is a token by itself, and so are both of two line feeds ahead of a non-space. So
-    such a text is its pieces, each led by its space or feed, the first by neither. Texts with other white space beside a space or feed, or with an
-    added token's string, go to the tokenizer whole. Pieces that some texts have anew are encoded in one call and told apart by their
-    first ids: a space is a piece's first byte and in no other place, so it is only in the first of the piece's ids.
-    They are kept in two generations: once the younger is full the older goes, and pieces in use come over.
+    such a text is its pieces, each led by its space or feed, the first by neither. Nor does it join a letter or digit with ASCII
+    punctuation after it, so a piece that ends in punctuation is a body and a tail, each encoded by itself. Texts with other white
+    space beside a space or feed, or with an added token's string, go to the tokenizer whole. Arrow cuts some texts together and
+    finds their distinct pieces; only these are looked up. Bodies that they have anew are encoded in one call and told apart by their
+    first ids: a space is a body's first byte and in no other place, so it is only in the first of the body's ids.
+    Bodies and tails are kept in two generations: once the younger is full the older goes, and those in use come over.
     """
 
     def __init__(self, path: str):
@@ -63,7 +96,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What sends a text to the tokenizer whole.
+        self.odd = "|".join(["  ", "\n ", " \n", "\n\n\n", r" \z", r"\n\n\z", f"[{''.join(WHITE)}]", *map(re.escape, special)])
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         twice = self.tokenizer.encode("a\n\nb", add_special_tokens=False).ids
         words = self.tokenizer.get_vocab()
@@ -72,55 +107,111 @@ class Encoder:
         self.spaced[[i for w, i in words.items() if w[:1] == "Ġ"]] = True
         #: The id of a line feed, if two of them ahead of a letter are just that id twice.
         self.feed = feed[0] if len(feed) == 1 and twice[1:-1] == feed * 2 else None
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.bodies, self.older = Pieces(), Pieces()
+        self.tails, self.older_tails = Pieces(), Pieces()
 
-    def encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn(self, new: list[str], lead: str) -> None:
-        """Put new pieces into the cache, all led by a space or all by a line feed; that space is not in their keys."""
-        if not new:
-            return
+        """Put new bodies with the known ones, all led by a space or all by a line feed; that space is not in their keys."""
         text = "".join(new) if lead else " " + " ".join(new)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         starts = np.flatnonzero(ids == self.feed if lead else self.spaced[ids])
         if len(starts) == len(new):
-            data, at = ids.tobytes(), (4 * starts).tolist()
-            self.pieces.update(zip(new, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
+            self.bodies.add(new, ids, np.diff(np.append(starts, len(ids))))
         else:
-            for p in new:
-                self.pieces[p] = self.encode(p if lead else " " + p)
-
-    def whole(self, text: str) -> bool:
-        return (
-            self.feed is None or "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or text.endswith((" ", "\n\n"))
-            or any(c in text for c in WHITE) or any(s in text for s in self.special)
-        )
+            self.learn_each(self.bodies, new, "" if lead else " ")
+
+    def learn_each(self, known: Pieces, new: list[str], lead: str = "") -> None:
+        found = [self.encode(lead + p) for p in new]
+        known.add(new, np.concatenate(found), np.array([len(x) for x in found]))
+
+    def ids_of_bodies(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some distinct bodies end to end, and how many each has; new bodies are learnt."""
+        if len(self.bodies.number) + len(wanted) > CACHED_PIECES // 2:
+            self.bodies, self.older = Pieces(), self.bodies
+        missing = _carry(wanted, self.bodies, self.older)
+        for lead in ("\n", ""):
+            new = [p for p in missing if (p[0] == "\n") == bool(lead)]
+            for i in range(0, len(new), NEW_PIECES):
+                self.learn(new[i : i + NEW_PIECES], lead)
+        return self.bodies.take(wanted)
+
+    def ids_of_tails(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.tails.number) + len(wanted) > CACHED_PIECES // 2:
+            self.tails, self.older_tails = Pieces(), self.tails
+        missing = _carry(wanted, self.tails, self.older_tails)
+        if missing:
+            self.learn_each(self.tails, missing)
+        return self.tails.take(wanted)
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are their pieces, end to end, and how many each text has."""
+        led = np.asarray(pc.match_substring_regex(texts, r"\A(?: |\n|\z)"))
+        fed = pc.if_else(pa.array(led), texts, pc.binary_replace_slice(texts, 0, 0, "\n"))
+        cut = pc.split_pattern(pc.replace_substring(fed, "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        bodies, tails = (x.dictionary_encode() for x in _bodies_and_tails(coded.dictionary))
+        counts = []
+        flats = []
+        for part, known in ((bodies, self.ids_of_bodies), (tails, self.ids_of_tails)):
+            ids, n = known(part.dictionary.to_pylist())
+            rows = np.asarray(part.indices)
+            flats.append(ids[ranges((np.cumsum(n) - n)[rows], n[rows])])
+            counts.append(n[rows])
+        n = counts[0] + counts[1]
+        starts = np.cumsum(n) - n
+        ids = np.empty(int(n.sum()), dtype="<u4")
+        ids[ranges(starts, counts[0])] = flats[0]
+        ids[ranges(starts + counts[0], counts[1])] = flats[1]
+        at = np.asarray(coded.indices)
+        n = n[at]
+        total = np.concatenate([[0], np.cumsum(n)])[np.asarray(cut.offsets)]
+        # The line feed put ahead of a text is its first id.
+        return np.delete(ids[ranges(starts[at], n)], total[:-1][~led]), np.diff(total) - ~led
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end as little-endian unsigned 32-bit integers, and how many each text has."""
+        whole = np.asarray(pc.match_substring_regex(texts, self.odd)) if self.feed is not None else np.ones(len(texts), dtype=bool)
+        if not whole.any():
+            return self.cut(texts)
+        apart = [self.encode(t) for t in texts.filter(pa.array(whole)).to_pylist()]
+        n = np.zeros(len(texts), dtype=np.int64)
+        n[whole] = [len(x) for x in apart]
+        cut, n[~whole] = self.cut(texts.filter(pa.array(~whole)))
+        starts = np.cumsum(n) - n
+        ids = np.empty(int(n.sum()), dtype="<u4")
+        ids[ranges(starts[whole], n[whole])] = np.concatenate(apart)
+        ids[ranges(starts[~whole], n[~whole])] = cut
+        return ids, n
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [None if self.whole(t) else (t if t[:1] in " \n" else "\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        wanted = set(chain.from_iterable(filter(None, parts)))
-        if len(self.pieces) + len(wanted) > CACHED_PIECES // 2:
-            self.pieces, self.older = {}, self.pieces
-        missing = wanted.difference(self.pieces)
-        known = {p: self.older[p] for p in missing if p in self.older}
-        self.pieces.update(known)
-        missing.difference_update(known)
-        fed = [p for p in missing if p[:1] == "\n"]
-        if fed:
-            missing.difference_update(fed)
-            self.learn(fed, "\n")
-        new = list(missing)
-        for i in range(0, len(new), NEW_PIECES):
-            self.learn(new[i : i + NEW_PIECES], "")
-        # The pieces of these texts alone fit the processor's cache, all that are kept do not.
-        get = dict(zip(wanted, map(self.pieces.__getitem__, wanted), strict=True)).__getitem__
-        return [
-            self.encode(t) if p is None else b"".join(map(get, p))[0 if t[:1] in " \n" else 4 :]
-            for t, p in zip(texts, parts, strict=True)
-        ]
+        ids, n = self.ids(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
+
+
+def _carry(wanted: list[str], known: Pieces, older: Pieces) -> list[str]:
+    """Take from the older generation what is wanted and not in the younger; what is in neither is returned."""
+    missing = [p for p in wanted if p not in known.number]
+    old = [p for p in missing if p in older.number]
+    if old:
+        known.add(old, *older.take(old))
+        missing = [p for p in missing if p not in older.number]
+    return missing
+
+
+def _bodies_and_tails(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Cut the punctuation at the end of pieces off, where a letter or digit stands before it."""
+    bodies = pc.ascii_rtrim(pieces, PUNCTUATION)
+    bodies = pc.if_else(pc.match_substring_regex(bodies, ENDS_BODY), bodies, pieces)
+    _, offsets, data = pieces.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[pieces.offset + 1 : pieces.offset + len(pieces) + 1]
+    n = np.asarray(pc.subtract(pc.binary_length(pieces), pc.binary_length(bodies)))
+    tails = np.frombuffer(data, dtype=np.uint8)[ranges(ends - n, n)] if n.any() else np.zeros(0, dtype=np.uint8)
+    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return bodies, pa.LargeStringArray.from_buffers(len(pieces), pa.py_buffer(at), pa.py_buffer(tails))
 
 
 @lru_cache(maxsize=2)
@@ -150,18 +241,17 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, kind: str, block_ids: int, segment_ids: int) -> Iterator[pa.RecordBatch]:
     shard, encode = TaskContext.get().partitionId(), encoder(path)
-    end = np.array([END_ID], dtype="<u4").tobytes()
     state = {"segment": 0, "first": 0}
     doc_ids: list[int | None] = []
-    parts: list[bytes] = []
+    parts: list[np.ndarray] = []
 
     def row() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), dtype="<u4")
+        ids = np.concatenate(parts)
         blocks = [to_planes(ids[i : i + block_ids], kind) for i in range(0, len(ids), block_ids)]
         out = pa.RecordBatch.from_arrays(
             [
                 pa.array([shard], pa.int32()), pa.array([state["segment"]], pa.int32()), pa.array([state["first"]], pa.int64()),
-                pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())),
+                pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
                 pa.array([blocks], pa.list_(pa.list_(pa.binary()))),
             ],
             names=["shard", "segment", "first", "doc_ids", "lengths", "blocks"],
@@ -174,18 +264,21 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, kind: str, block_ids
 
     held = 0
     for batch in batches:
-        ids_of, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-        cuts = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+        ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_string()).fill_null("")
+        cuts = np.cumsum(np.asarray(pc.binary_length(texts))) // BATCH_BYTES
         for run in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cuts)) + 1):
-            encoded = encode([texts[i] for i in run])
-            for doc_id, ids in zip([ids_of[i] for i in run], encoded, strict=True):
-                ids += end
-                if held and held + len(ids) // 4 > segment_ids:
+            if not len(run):
+                continue
+            ids, n = encode.ids(texts.slice(run[0], len(run)))
+            ends = np.cumsum(n + 1)
+            ids = np.insert(ids, np.cumsum(n), END_ID)
+            for i, a, b in zip(run, ends - n - 1, ends, strict=True):
+                if held and held + b - a > segment_ids:
                     yield row()
                     held = 0
-                doc_ids.append(doc_id)
-                parts.append(ids)
-                held += len(ids) // 4
+                doc_ids.append(ids_of[i])
+                parts.append(ids[a:b])
+                held += b - a
     if doc_ids:
         yield row()
 

@@ -110,6 +110,24 @@ def test_new_pieces_are_encoded_without_line_feeds():
     assert sent and not any("\n " in t for t in sent)
 
 
+def test_bodies_are_encoded_once_whatever_their_punctuation():
+    encode = token_store.Encoder(tokenizer_path())
+    tokenizer, sent = encode.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return tokenizer.encode(text, **options)
+
+    encode.tokenizer = Watched()
+    texts = ["one two", "one, two. one... two\none!", "it's 5' x€. ²! ½, 日. naïve, café's; ''s '' !", "", "\n\none,\ntwo", "a  b", "two,\n", "x\ty."]
+    assert encode(texts) == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert " ".join(sent).count("two") <= 2 and "two." not in " ".join(sent)  # once led by a space, once by a line feed
+
+
 def test_texts_are_not_dealt_out_because_others_leak(spark):
     rows = spark.createDataFrame([(i % 50 - 9, f"t{i % 60}") for i in range(120)], "id long, row string")
     ids = spark.createDataFrame([(i,) for i in (-9, 0, 7, 40, 99)], "id long")
