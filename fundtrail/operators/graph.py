@@ -16,6 +16,8 @@ from .stored import (
 
 # Seeds that share a row, which bounds the set packed into it.
 SEED_SET = 100_000
+# Depths at which a neighbourhood's growth is checked.
+GROWTH_DEPTHS = (1, 2, 3, 5)
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -236,7 +238,7 @@ def hop_histogram(reach: DataFrame) -> DataFrame:
     return reach.groupBy("seed", "hop").agg(F.count("*").alias("nodes"))
 
 
-def hop_growth_check(reach: DataFrame, depths: tuple[int, ...] = (1, 2, 3, 5)) -> DataFrame:
+def hop_growth_check(reach: DataFrame, depths: tuple[int, ...] = GROWTH_DEPTHS) -> DataFrame:
     """Node counts at growing depths from one pass over the deepest neighbourhood."""
     sizes = reach.groupBy("seed").agg(
         F.max("hop").alias("max_hop_reached"),

@@ -205,14 +205,21 @@ def hop_histogram(t: Tables):
     return graph.hop_histogram(graph.khop(t.seeds, t.index, 3))
 
 
+view("walk5", """
+    select seed, seed, 0 from seedset union
+    select seed, nbr, hop + 1 from walk5 join und using (node) where hop < 5""", "seed, node, hop")
+view("reach5", "select seed, node, min(hop) as hop from walk5 group by 1, 2")
+
+
 @query("hop_growth_check", """
-    select seed, max(hop) as max_hop_reached, count(*) filter (hop <= 1) as nodes_1, count(*) filter (hop <= 2) as nodes_2, count(*) as nodes_3,
+    select seed, max(hop) as max_hop_reached, count(*) filter (hop <= 1) as nodes_1, count(*) filter (hop <= 2) as nodes_2,
+           count(*) filter (hop <= 3) as nodes_3, count(*) as nodes_5,
            true as monotonic, count(*) > count(*) filter (hop <= 1) as grows_with_hop,
            count(*) filter (hop <= 2) = count(*) filter (hop <= 1) as saturated,
            count(*) > count(*) filter (hop <= 1) or count(*) filter (hop <= 2) = count(*) filter (hop <= 1) as ok
-    from reach3 group by 1""")
+    from reach5 group by 1""")
 def hop_growth_check(t: Tables):
-    return graph.hop_growth_check(graph.khop(t.seeds, t.index, 3), (1, 2, 3))
+    return graph.hop_growth_check(graph.khop(t.seeds, t.index, max(graph.GROWTH_DEPTHS)))
 
 
 @query("trace_view_filter", """

@@ -4,6 +4,7 @@
 all of them with ``ALL_QUERIES=1``.
 """
 
+import datetime
 import os
 import pathlib
 import re
@@ -42,6 +43,18 @@ def test_query_agrees_with_sql(spark, duck, sf_dir, name):
     assert difference(entry.queries()[name](spark, sf_dir), duck, entry.oracle_sql()[name]) is None
 
 
+def test_growth_is_checked_to_five_hops(spark, tmp_path):
+    """Orders in a line, each sharing a part with the next; the one customer's first order is at its end."""
+    orders = [(i, i % 7, datetime.datetime(2020, 1, 1 + i)) for i in range(1, 8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i, i + d, 1, 1) for i in range(1, 8) for d in (0, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    customer = spark.createDataFrame([(1, "c", 0, 0.0, "s")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    customer.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    row = catalog.queries()["hop_growth_check"](spark, str(tmp_path)).first().asDict()
+    assert [row.get(f"nodes_{d}") for d in (1, 2, 3, 5)] == [2, 3, 4, 6] and row["max_hop_reached"] == 5 and row["ok"]
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["rule", "nodes"]
 
