@@ -25,6 +25,9 @@ TEST_PARAMS = Params(
     hub_degree=4, peel_max_gap=52, fanout_min_out=3, fanout_window=60, node_cap=12, forest_depth=5,
 )
 
+# Lines of a landed text file, which compression keeps whole.
+LANDED_ROWS = 1_000_000
+
 _WRITTEN: dict[tuple[str, str, str], Any] = {}
 
 
@@ -333,6 +336,7 @@ class Tables:
         return path
 
     def landed_text(self, frame: DataFrame, name: str) -> str:
+        """Text files as feeds leave them: compressed, and of at most LANDED_ROWS lines, since one task reads each."""
         path = scratch_path(self.spark, name)
-        frame.write.text(path)
+        frame.write.option("maxRecordsPerFile", LANDED_ROWS).text(path, compression="gzip")
         return path

@@ -1,5 +1,6 @@
 """What must not grow with the tables: passes over stored tables, and what joins send through the driver."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from fundtrail import Params
 from fundtrail.operators import cases, graph, learn, live, stored, utxo
 from fundtrail.operators.ranking import next_in_sequence
-from fundtrail.plans import graph_queries, utxo_queries
+from fundtrail.plans import domain, graph_queries, utxo_queries
 
 
 def optimized(df):
@@ -123,3 +124,12 @@ def test_a_forest_of_many_rows_is_fitted_in_groups_of_trees(spark, monkeypatch):
     by_model = {r["tx_id"]: r["risk"] for r in learn.predict_risk(model, rows).collect()}
     assert by_joins.keys() == by_model.keys() == set(range(120))
     assert all(abs(by_joins[i] - by_model[i]) < 1e-9 for i in by_joins) and by_model[1] > 0.5 > by_model[2]
+
+
+def test_landed_text_is_compressed_in_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(domain, "LANDED_ROWS", 1000, raising=False)
+    lines = spark.range(5000).select(F.format_string('{"txid":"%d","status":{"block_time":1,"block_height":2}}', "id").alias("json")).coalesce(1)
+    path = Path(domain.Tables(spark, str(tmp_path)).landed_text(lines, "feed"))
+    files = [f for f in path.iterdir() if f.name.startswith("part-")]
+    assert len(files) == 5 and sum(f.stat().st_size for f in files) < sum(len(r[0]) for r in lines.collect()) / 3
+    assert sorted(r[0] for r in spark.read.text(str(path)).collect()) == sorted(r[0] for r in lines.collect())
