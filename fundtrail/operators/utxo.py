@@ -143,6 +143,7 @@ def case_components(case_rows: DataFrame) -> DataFrame:
     addresses can't join. A cluster is named after its smallest address.
     """
     node = lambda c: F.concat_ws(JOINT, F.col("seed").cast("string"), F.col(c))
+    case_rows = materialize(case_rows, "case-rows")  # counts, links and change read them seven times
     seen = with_address(case_rows).groupBy("seed", "address").agg(F.sum("rows").alias("occurrences"))
     seen = materialize(seen.withColumn("node", node("address")), "case-addresses")
     links = ownership_links(case_rows, ["seed"]).select(node("src").alias("src"), node("dst").alias("dst"))

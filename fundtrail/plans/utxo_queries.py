@@ -295,7 +295,7 @@ view("livefan", """
 def live_mixers(t: Tables):
     """The smallest output address of each mixer's transaction."""
     first = t.mixers.select(F.sha2(F.col("mixer_id").cast("string"), 256).alias("tx_hash"))
-    outs = utxo.with_address(t.io).where("side = 'out'").join(first, "tx_hash", "left_semi")
+    outs = t.tx_index.by_tx.meet(first).where("side = 'out'")
     return outs.groupBy("tx_hash").agg(F.min("address").alias("mixer_id")).select("mixer_id").distinct()
 
 

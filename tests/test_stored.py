@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fundtrail.operators import components, graph, live, rules, stored
+from fundtrail import session
+from fundtrail.operators import components, graph, live, rules, stored, utxo
 
 
 @pytest.fixture
@@ -34,6 +35,29 @@ def test_a_hop_has_one_exchange_and_none_above_the_stored_arcs(spark, no_broadca
     assert exchanges(index.expand(level)) == exchanges(index.degrees()) == []
 
 
+def test_a_stored_table_is_sorted_once_and_read_as_sorted(spark, no_broadcasts, tmp_path):
+    rows = spark.range(1000).select(F.concat(F.lit("k"), (F.col("id") * 7919 % 100).cast("string")).alias("k"), "id")
+    kept = session.write_bucketed(rows, str(tmp_path / "t"), ["k"], 3)
+    files = sorted((tmp_path / "t").glob("part-*"))
+    assert len(files) == 3
+    for f in files:
+        keys = [r["k"] for r in spark.read.parquet(str(f)).collect()]
+        assert keys == sorted(keys)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
+    plan = kept.join(rows.repartition(3, "k").withColumnRenamed("id", "other"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "SortMergeJoin" in plan
+    assert spark.conf.get(session.PLANNED_WRITE) == "true"
+
+
+def test_components_of_cases_take_their_rows_once(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(utxo, "materialize", lambda df, name: wrote.append(name) or session.materialize(df, name))
+    rows = spark.createDataFrame([("s", "t", "in", "a", 1), ("s", "t", "in", "b", 1), ("s", "t", "out", "c", 1)], "seed string, tx_hash string, side string, address string, rows long")
+    found = utxo.case_components(rows)
+    assert sorted((r["address"], r["occurrences"], r["cluster"]) for r in found.collect()) == [("a", 1, "a"), ("b", 1, "a"), ("c", 1, "c")]
+    assert "case-rows" in wrote
+
+
 def test_a_level_of_a_trace_deals_out_transactions_and_addresses_only(spark, no_broadcasts):
     io = spark.createDataFrame([("t", "in", "a", 1), ("t", "out", "b", 1), ("u", "in", "b", 2), ("u", "out", "c", 2)], "tx_hash string, side string, address string, block_time long")
     index = live.build_tx_index(io)
