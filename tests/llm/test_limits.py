@@ -78,6 +78,28 @@ def test_shared_tokens_move_once_and_sets_stay(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 3  # postings by token, shared ones and classes by class
 
 
+def test_texts_that_share_nothing_are_read_once(spark):
+    root = Path(session._scratch_root(spark).removeprefix("file:"))
+    before, read = {*root.glob("shingle-sets-*")}, spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(8)], "doc_id long, text string")
+    found = ngram_join.near_duplicates(docs.mapInArrow(watched, docs.schema))
+    assert sorted(map(tuple, found.collect())) == [(k, 26, k, 0) for k in range(8)]
+    assert read.value == 8 and {*root.glob("shingle-sets-*")} == before
+
+
+def test_tokens_become_postings_in_pieces():
+    sets = [[1, 2, 3], [4], list(range(9)), [5, 6]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "tokens"])
+    parts = [p.column("tokens").to_pylist() for p in ngram_join.pieces(batch.slice(1), 3)]
+    assert parts == [[[4]], [list(range(9))], [[5, 6]]] and [len(p) for p in ngram_join.pieces(batch, 4)] == [2, 1, 1]
+
+
 def test_components_of_links_alone(spark):
     links = lambda rows: spark.createDataFrame(rows, "src long, dst long")
     rows = {tuple(r) for r in connected_components(None, links([(3, 2), (2, 9), (2, 3), (7, 7), (5, 6)])).collect()}
